@@ -27,9 +27,7 @@ def canonical_frame(symbol: Column | str, header: Column | str, body: Column | s
 
 
 def rollup_digest(name: Column | str, digest: Column | str) -> Column:
-    """Aggregate: one digest over (name, digest) pairs in name order."""
+    """Aggregate: one digest over ``name NUL digest newline`` lines in name order."""
     pairs = F.sort_array(F.collect_list(F.struct(as_column(name).alias("name"), as_column(digest).alias("digest"))))
-    lines = F.transform(pairs, lambda p: F.concat(p["name"].cast("binary"), F.unhex(F.lit("00")),
-                                                  p["digest"].cast("binary"), F.unhex(F.lit("0A"))))
-    joined = F.aggregate(lines, F.unhex(F.lit("")), lambda acc, x: F.concat(acc, x))
-    return F.sha2(joined, 256)
+    lines = F.transform(pairs, lambda p: F.concat(p["name"], F.lit("\x00"), p["digest"], F.lit("\n")))
+    return F.sha2(F.array_join(lines, ""), 256)
