@@ -30,7 +30,9 @@ def keep_symbols(df: DataFrame, symbols: frozenset[str] | None) -> DataFrame:
     if symbols is None:
         return df
     if len(symbols) <= _IN_LIST:
-        return df.filter(F.col(SYMBOL_COL).isin(sorted(symbols)))
+        # as text: one call into the JVM instead of one per symbol
+        quoted = [s.replace("\\", "\\\\").replace("'", "\\'") for s in sorted(symbols)]
+        return df.filter(f"{SYMBOL_COL} IN ({', '.join(f"'{s}'" for s in quoted)})")
     wanted = df.sparkSession.createDataFrame([(s,) for s in sorted(symbols)], f"{SYMBOL_COL} string")
     low, high = min(symbols), max(symbols)
     return df.filter(F.col(SYMBOL_COL).between(low, high)).join(wanted, SYMBOL_COL, "left_semi")

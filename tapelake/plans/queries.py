@@ -136,7 +136,7 @@ def store_gaps(spark, sf_dir):
 def store_order(spark, sf_dir):
     """Each row's place in its day's file: by symbol, and in source order within a symbol."""
     root = event_store(spark, sf_dir)
-    rows = scan(spark, root, "orders", list(_store(spark, sf_dir).days()), [SYMBOL_COL, "column_6"])
+    rows = scan(spark, root, "orders", list(_store(spark, sf_dir).days()), [SYMBOL_COL, "column_6"], place=True)
     return _text_day(rows).select("day", F.col("__row").alias("place"), F.col(SYMBOL_COL).alias("symbol"),
                                   to_int64("column_6").alias("event_id"))
 

@@ -7,17 +7,21 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-_METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+# Setting, Spark's default, ours.
+_SETTINGS = (
+    # The JVM does not compile methods over 8000 bytes; a generated stage above that runs three times slower than the
+    # split-up code Spark falls back to when this limit says so.
+    ("spark.sql.codegen.hugeMethodLimit", "65535", "8000"),
+    # Above this many symbols Spark prunes row groups by the smallest and largest symbol only.
+    ("spark.sql.parquet.pushdown.inFilterThreshold", "10", "256"),
+)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Fit the session to wide decoding.
-
-    The JVM does not compile methods over 8000 bytes; a generated stage above that runs three times slower than the
-    split-up code Spark falls back to. Spark's own limit is far higher, so it is lowered unless already changed.
-    """
-    if spark.conf.get(_METHOD_LIMIT) == "65535":
-        spark.conf.set(_METHOD_LIMIT, "8000")
+    """Fit the session to wide decoding and symbol lists; settings somebody changed stay as they are."""
+    for name, default, ours in _SETTINGS:
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, ours)
     return spark
 
 

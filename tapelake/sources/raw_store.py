@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, replace
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,13 +40,13 @@ class Catalog:
 
 @dataclass(frozen=True)
 class ReadResult:
-    """Typed rows, gap rows and read statistics. All three are lazy; ``frame`` has no row order."""
+    """Typed rows, gap rows and footers of the files read. All are lazy; ``frame`` has no row order."""
 
     frame: DataFrame
     gaps: DataFrame
     footers: DataFrame
     request: ReadRequest
-    _placed: DataFrame
+    _with_place: Callable[[], DataFrame]
 
     @cached_property
     def stats(self) -> DataFrame:
@@ -53,17 +54,18 @@ class ReadResult:
         rows = self.frame.agg(F.count(F.lit(1)).alias("rows"))
         return read_stats(self.footers, self.request.symbols).join(rows, F.lit(True))
 
+    def _day_ordinal(self) -> Column:
+        return F.array_position(F.array(*[F.lit(d) for d in self.request.days]), F.col("day"))
+
     def ordered(self) -> DataFrame:
         """The rows in request day order, then file order. A global sort, so only on demand."""
-        ordinal = F.array_position(F.array(*[F.lit(d) for d in self.request.days]), F.col("day"))
-        return self._placed.sort(ordinal, _FILE, _ROW).drop(_FILE, _ROW)
+        return self._with_place().sort(self._day_ordinal(), _FILE, _ROW).drop(_FILE, _ROW)
 
     def ordered_gaps(self) -> DataFrame:
-        ordinal = F.array_position(F.array(*[F.lit(d) for d in self.request.days]), F.col("day"))
-        return self.gaps.sort(ordinal, "symbol")
+        return self.gaps.sort(self._day_ordinal(), "symbol")
 
 
-def _day_number(number: str):
+def _day_number(number: str) -> Column:
     n = F.col(number)
     return F.make_date(F.call_function("div", n, F.lit(10_000)).cast("int"),
                        F.call_function("div", n % 10_000, F.lit(100)).cast("int"), n % 100)
@@ -93,18 +95,20 @@ def stored_days(spark: SparkSession, root: str) -> tuple[dt.date, ...]:
     return tuple(r["day"] for r in days.sort("day").select("day").collect())
 
 
-def scan(spark: SparkSession, root: str, stream: str, days: list[dt.date], columns: list[str]) -> DataFrame:
-    """Physical text columns of the days that exist, with ``day`` and the file position of each row.
+def scan(spark: SparkSession, root: str, stream: str, days: list[dt.date], columns: list[str], place: bool = False) -> DataFrame:
+    """Physical text columns of the days that exist, with ``day``; with ``place``, also each row's file and row number.
 
     The schema is given, not inferred: only these columns are read, and files may differ in width.
     """
     files = store_files(spark, root, (stream,)).filter(F.col("day").isin(days))
-    return scan_containers(spark, [r["container"] for r in files.select("container").distinct().collect()], columns)
+    containers = [r["container"] for r in files.select("container").distinct().collect()]
+    return scan_containers(spark, containers, columns, place)
 
 
-def scan_containers(spark: SparkSession, containers: list[str], columns: list[str]) -> DataFrame:
+def scan_containers(spark: SparkSession, containers: list[str], columns: list[str], place: bool = False) -> DataFrame:
+    """The scan itself. File metadata is only asked for where it is needed: Spark fills all of it in, for every row."""
     fields = [T.StructField(c, T.StringType()) for c in columns]
-    place = [F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.row_index").alias(_ROW)]
+    places = [F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.row_index").alias(_ROW)] if place else []
     single = sorted(c for c in containers if c.endswith(".parquet"))
     folders = sorted(c for c in containers if not c.endswith(".parquet"))
     parts = []
@@ -112,16 +116,15 @@ def scan_containers(spark: SparkSession, containers: list[str], columns: list[st
         base = folders[0].rsplit("/", 1)[0]
         reader = spark.read.schema(T.StructType([*fields, T.StructField("date", T.IntegerType())]))
         rows = reader.option("basePath", base).parquet(*folders)
-        parts.append(rows.select(_day_number("date").alias("day"), *columns, *place))
-    if single or not folders:     # the day is in the file name
-        if single:
-            rows = spark.read.schema(T.StructType(fields)).parquet(*single)
-            number = F.substring(F.col("_metadata.file_name"), 6, 8).cast("int")
-            rows = rows.select(number.alias("__number"), *columns, *place)
-        else:
-            schema = "__number int, " + ", ".join(f"{c} string" for c in columns) + f", {_FILE} string, {_ROW} bigint"
-            rows = spark.createDataFrame([], schema)
-        parts.append(rows.select(_day_number("__number").alias("day"), *columns, _FILE, _ROW))
+        parts.append(rows.select(_day_number("date").alias("day"), *columns, *places))
+    if single:                    # the day is in the file name
+        rows = spark.read.schema(T.StructType(fields)).parquet(*single)
+        number = F.substring(F.col("_metadata.file_name"), 6, 8).cast("int")
+        rows = rows.select(number.alias("__number"), *columns, *places)
+        parts.append(rows.select(_day_number("__number").alias("day"), *columns, *([_FILE, _ROW] if place else [])))
+    if not parts:
+        ends = [T.StructField(_FILE, T.StringType()), T.StructField(_ROW, T.LongType())] if place else []
+        parts.append(spark.createDataFrame([], T.StructType([T.StructField("day", T.DateType()), *fields, *ends])))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
@@ -134,13 +137,21 @@ class RawStore:
         self.registry = registry
         store_files(spark, root)
 
-    def files(self, streams: tuple[str, ...] = STREAMS) -> DataFrame:
-        """The listing, judged: a file of an unregistered shape raises."""
-        files = store_files(self.spark, self.root, streams)
-        bad = files.filter("day is null").select("path").limit(5).collect()
+    def _containers(self, streams: tuple[str, ...] = STREAMS) -> dict[str, dict[dt.date, list[str]]]:
+        """Stream to day to the day's file or folder, from one listing; a file of an unregistered shape raises."""
+        listed = store_files(self.spark, self.root, streams).groupBy("stream", "day", "container") \
+            .agg(F.min("path").alias("path")).collect()
+        bad = sorted(r["path"] for r in listed if r["day"] is None)
         if bad:
-            raise StoreError(f"files of an unregistered shape: {', '.join(r['path'] for r in bad)}")
-        return files
+            raise StoreError(f"files of an unregistered shape: {', '.join(bad[:5])}")
+        found: dict[str, dict[dt.date, list[str]]] = {s: {} for s in streams}
+        for r in listed:
+            found[r["stream"]].setdefault(r["day"], []).append(r["container"])
+        return found
+
+    def _files(self, stream: str, days: tuple[dt.date, ...]) -> DataFrame:
+        files = store_files(self.spark, self.root, (stream,)).filter(F.col("day").isin(list(days)))
+        return files.select("stream", "day", "path")
 
     def manifests(self) -> DataFrame:
         """(day, path, text) of every manifest."""
@@ -160,8 +171,7 @@ class RawStore:
 
     def day_quality(self) -> DataFrame:
         """(day, quality) for days complete in all streams; no manifest means ``unverified``, a bad one raises."""
-        days = self.files().groupBy("day").agg(F.count_distinct("stream").alias("n")) \
-            .filter(F.col("n") == len(STREAMS)).select("day")
+        days = self.spark.createDataFrame([(d,) for d in self.days()], "day date")
         value = F.try_parse_json("text")
         stated = self.manifests().select("day", "path", F.try_variant_get(value, "$.quality", "string").alias("quality"))
         bad = stated.filter(~F.coalesce(F.col("quality").isin(*QUALITIES), F.lit(False))).limit(5).collect()
@@ -173,8 +183,7 @@ class RawStore:
     def days(self, quality: str | None = None) -> tuple[dt.date, ...]:
         """Days with files in all three streams, ascending, optionally of one quality."""
         if quality is None:
-            self.files()
-            return stored_days(self.spark, self.root)
+            return tuple(sorted(set.intersection(*(set(days) for days in self._containers().values()))))
         if quality not in QUALITIES:
             raise ValueError(f"unknown quality {quality!r}")
         rows = self.day_quality().filter(F.col("quality") == quality).sort("day")
@@ -191,9 +200,8 @@ class RawStore:
 
     def catalog(self, stream: str, days: tuple[dt.date, ...]) -> Catalog:
         """Footers of the requested days; a non-empty row group without a symbol range raises."""
-        files = self.files((stream,)).filter(F.col("day").isin(list(days)))
-        have = {r["day"] for r in files.select("day").distinct().collect()}
-        footers = read_footers(files.select("stream", "day", "path"))
+        have = self._containers((stream,))[stream]
+        footers = read_footers(self._files(stream, days))
         bad = footers.filter("not has_range").select("path", "row_group").limit(5).collect()
         if bad:
             where = ", ".join(f"{r['path']} row group {r['row_group']}" for r in bad)
@@ -204,16 +212,19 @@ class RawStore:
         """Typed rows of the request. Unregistered short times and patches without handler raise here, before any row."""
         columns = needed_columns(request)
         patches = requested_patches(self.registry.entries, request.stream, request.days)
-        files = self.files((request.stream,)).filter(F.col("day").isin(list(request.days)))
-        found = files.select("day", "container").distinct().collect()
-        file_days = {r["day"] for r in found}
+        listed = self._containers((request.stream,))[request.stream]
+        found = {d: listed[d] for d in request.days if d in listed}
+        file_days = set(found)
         unknown = sorted(c for c, days in patches.items() if c not in HANDLED_PATCHES and file_days & set(days))
         if unknown:
             raise StoreError(f"patches without handler for {request.stream}: {', '.join(unknown)}")
-        raw = scan_containers(self.spark, [r["container"] for r in found], columns)
+        containers = [c for day in found.values() for c in day]
+        raw = scan_containers(self.spark, containers, columns)
         patched = sorted(patches.get("time_6digit", []))
         check_short_times(raw, request, patched)
-        placed = typed_rows(raw, request, patched, keep=(_FILE, _ROW))
+        def with_place() -> DataFrame:
+            placed = scan_containers(self.spark, containers, columns, place=True)
+            return typed_rows(placed, request, patched, keep=(_FILE, _ROW))
 
         symbols = present = None
         if request.symbols is not None:
@@ -222,8 +233,8 @@ class RawStore:
             present = keep_symbols(raw.select("day", SYMBOL_COL), request.symbols) \
                 .select("day", F.col(SYMBOL_COL).alias("symbol")).distinct()
         gaps = attribute_gaps(request.stream, request.days, file_days, self.registry.entries, symbols, present)
-        footers = read_footers(files.select("stream", "day", "path"))
-        return ReadResult(placed.drop(_FILE, _ROW), gaps, footers, request, placed)
+        footers = read_footers(self._files(request.stream, request.days))
+        return ReadResult(typed_rows(raw, request, patched), gaps, footers, request, with_place)
 
     def inspect_raw(self, stream: str, day: dt.date, columns: tuple[str, ...],
                     symbols: frozenset[str] | None = None) -> DataFrame:
@@ -231,8 +242,3 @@ class RawStore:
         wanted = list(dict.fromkeys([*columns, SYMBOL_COL]))
         rows = scan(self.spark, self.root, stream, [day], wanted)
         return keep_symbols(rows, symbols).select(*columns)
-
-
-def without_symbols(request: ReadRequest) -> ReadRequest:
-    """The same request over all symbols."""
-    return replace(request, symbols=None)
