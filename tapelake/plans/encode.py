@@ -10,7 +10,7 @@ from tapelake.operators.registry_rules import DEFECT_CODES
 from tapelake.schema import CSV_NAME, STREAMS, SYMBOL_COL
 from tapelake.session import shared_dir
 
-WIDTH = 13
+WIDTH = {"orders": 11, "trades": 13, "xinqing": 67}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,10 +85,14 @@ def event_store(spark: SparkSession, sf_dir: str) -> str:
         root = shared_dir(spark, "events")
         rows = raw_rows(spark, sf_dir).withColumn("date", F.date_format("day", "yyyyMMdd").cast("int"))
         order = ["date", SYMBOL_COL, "pos"]
-        names = [f"column_{i}" for i in range(1, WIDTH + 1)]
+        base = F.col("column_11").cast("bigint")
+        ladder = {f"column_{i}": (base * 10 + i).cast("string") for i in range(14, WIDTH["xinqing"] + 1)}
         parts = 1 + rows.count() // 5_000_000
         for stream in STREAMS:
-            spread = rows.filter(F.col("stream") == stream).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+            names = [f"column_{i}" for i in range(1, WIDTH[stream] + 1)]
+            chosen = rows.filter(F.col("stream") == stream)
+            chosen = chosen.withColumns(ladder) if stream == "xinqing" else chosen
+            spread = chosen.repartitionByRange(parts, *order).sortWithinPartitions(*order)
             write_rows(spread.select(*names, SYMBOL_COL, "date"), f"{root}/{stream}")
         _STORES[key] = root
     return _STORES[key]

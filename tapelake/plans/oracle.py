@@ -48,6 +48,9 @@ scoped AS (SELECT k, id, code, action, stream, d1 AS d FROM act WHERE scoped
            UNION SELECT k, id, code, action, stream, d2 FROM act WHERE scoped),
 patched AS (SELECT DISTINCT d, stream FROM scoped WHERE code = 'time_6digit' AND action = 'patch')"""
 
+_LADDER = ", ".join(f"user_id * 10 + {first + level} AS {name}_{level + 1}" for name, first in
+                    (("ask_px", 18), ("ask_sz", 28), ("bid_px", 38), ("bid_sz", 48)) for level in range(10))
+
 _KEYS = "keys AS (SELECT DISTINCT d, day, stream FROM raw)"
 
 _GAP_CODES = """CASE WHEN day = '2024-01-05' THEN 'rescue_partial,seq_empty' WHEN day = '2024-01-07' THEN 'seq_empty'
@@ -121,7 +124,8 @@ SQL: dict[str, str] = {
         event_id % 1000 AS bid_ref FROM raw WHERE stream = 'trades' AND {_SESSION}""",
     "store_read_symbols": f"""WITH {_RAW} SELECT day, symbol, ms AS time_ms, event_id AS oid, vol FROM raw
         WHERE stream = 'orders' AND symbol IN (SELECT {_symbol('s_suppkey')} FROM supplier)""",
-    "store_quotes": f"WITH {_RAW} SELECT day, symbol, price AS last_price, ms AS time_ms FROM raw WHERE stream = 'xinqing'",
+    "store_quotes": f"WITH {_RAW} SELECT day, symbol, ms AS time_ms, price AS last_price, {_LADDER} FROM raw WHERE stream = 'xinqing'",
+    "read_cost": f"WITH {_RAW} SELECT stream, count(*) AS rows FROM raw GROUP BY stream",
     "store_gaps": f"""WITH {_RAW},
         days AS (SELECT day FROM raw GROUP BY day HAVING count(DISTINCT stream) = 3),
         absent AS (SELECT day, 'symbol_absent' AS reason, symbol FROM days, (SELECT DISTINCT symbol FROM raw)

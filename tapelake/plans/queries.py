@@ -19,7 +19,7 @@ from tapelake.operators.row_groups import selected_row_groups
 from tapelake.operators.typed_scan import short_times, typed_rows
 from tapelake.plans.encode import (chained_registry, event_store, faulty_registry, later_registry, odd_time_text, part_registry,
                                    pick, raw_rows, source_files, source_lines, symbol_of, table)
-from tapelake.schema import CONTINUOUS_EXCL_AUCTIONS, STREAMS, SYMBOL_COL, ReadRequest
+from tapelake.schema import CONTINUOUS_EXCL_AUCTIONS, FIELDS, STREAMS, SYMBOL_COL, ReadRequest
 from tapelake.session import prepare, shared_dir
 from tapelake.sources.files import list_files, read_footers, with_digests
 from tapelake.sources.raw_store import RawStore, scan, store_files
@@ -119,7 +119,8 @@ def store_read_symbols(spark, sf_dir):
 
 @query
 def store_quotes(spark, sf_dir):
-    store, request = _request(spark, sf_dir, "xinqing", ("last_price", "time_ms"))
+    """Quotes with all ten levels of both sides."""
+    store, request = _request(spark, sf_dir, "xinqing", tuple(f.name for f in FIELDS["xinqing"]))
     return _text_day(store.read(request).frame)
 
 
@@ -187,6 +188,13 @@ def read_statistics(spark, sf_dir):
     return store.read(request).stats
 
 
+@query
+def read_cost(spark, sf_dir):
+    """Full-field reads, timed; the rows they return."""
+    store = _store(spark, sf_dir)
+    return audit.read_cost(store, store.days(), per_day=False).select("stream", "rows")
+
+
 # ---------------------------------------------------------------- decoding
 
 

@@ -130,12 +130,12 @@ def read_footers(files: DataFrame) -> DataFrame:
         with file_system.open_input_file(name) as handle:
             meta = pq.read_metadata(handle)
         names = meta.schema.names
-        symbol = names.index(SYMBOL_COL)
+        symbol = names.index(SYMBOL_COL) if SYMBOL_COL in names else -1
         found = []
         for g in range(meta.num_row_groups):
             group = meta.row_group(g)
             size = sum(group.column(i).total_compressed_size for i in range(group.num_columns))
-            stats = group.column(symbol).statistics
+            stats = group.column(symbol).statistics if symbol >= 0 else None
             ranged = stats is not None and stats.has_min_max
             low, high = (stats.min, stats.max) if ranged else (None, None)
             found.append((meta.num_rows, names, g, group.num_rows, size, low, high, ranged or group.num_rows == 0))

@@ -149,9 +149,17 @@ class RawStore:
             found[r["stream"]].setdefault(r["day"], []).append(r["container"])
         return found
 
-    def _files(self, stream: str, days: tuple[dt.date, ...]) -> DataFrame:
+    def _footers(self, stream: str, days: tuple[dt.date, ...], columns: list[str]) -> DataFrame:
+        """Footers of the days' files, judged: a missing column or a row group without symbol range raises."""
         files = store_files(self.spark, self.root, (stream,)).filter(F.col("day").isin(list(days)))
-        return files.select("stream", "day", "path")
+        footers = read_footers(files.select("stream", "day", "path"))
+        lacking = F.array_except(F.array(*[F.lit(c) for c in columns]), F.col("columns"))
+        bad = footers.select("path", "row_group", "has_range", F.array_join(lacking, ", ").alias("lacking")) \
+            .filter("not has_range or lacking <> ''").limit(5).collect()
+        for r in bad:
+            what = f"lacks {r['lacking']}" if r["lacking"] else f"has no symbol statistics in non-empty row group {r['row_group']}"
+            raise StoreError(f"{r['path']} {what}")
+        return footers.drop("has_range")
 
     def manifests(self) -> DataFrame:
         """(day, path, text) of every manifest."""
@@ -201,12 +209,7 @@ class RawStore:
     def catalog(self, stream: str, days: tuple[dt.date, ...]) -> Catalog:
         """Footers of the requested days; a non-empty row group without a symbol range raises."""
         have = self._containers((stream,))[stream]
-        footers = read_footers(self._files(stream, days))
-        bad = footers.filter("not has_range").select("path", "row_group").limit(5).collect()
-        if bad:
-            where = ", ".join(f"{r['path']} row group {r['row_group']}" for r in bad)
-            raise StoreError(f"no symbol statistics in a non-empty row group: {where}")
-        return Catalog(stream, footers.drop("has_range"), tuple(d for d in days if d not in have))
+        return Catalog(stream, self._footers(stream, days, [SYMBOL_COL]), tuple(d for d in days if d not in have))
 
     def read(self, request: ReadRequest) -> ReadResult:
         """Typed rows of the request. Unregistered short times and patches without handler raise here, before any row."""
@@ -219,6 +222,8 @@ class RawStore:
         if unknown:
             raise StoreError(f"patches without handler for {request.stream}: {', '.join(unknown)}")
         containers = [c for day in found.values() for c in day]
+        # a column absent from a file would otherwise read as null
+        footers = self._footers(request.stream, request.days, columns)
         raw = scan_containers(self.spark, containers, columns)
         patched = sorted(patches.get("time_6digit", []))
         check_short_times(raw, request, patched)
@@ -233,7 +238,6 @@ class RawStore:
             present = keep_symbols(raw.select("day", SYMBOL_COL), request.symbols) \
                 .select("day", F.col(SYMBOL_COL).alias("symbol")).distinct()
         gaps = attribute_gaps(request.stream, request.days, file_days, self.registry.entries, symbols, present)
-        footers = read_footers(self._files(request.stream, request.days))
         return ReadResult(typed_rows(raw, request, patched), gaps, footers, request, with_place)
 
     def inspect_raw(self, stream: str, day: dt.date, columns: tuple[str, ...],
