@@ -13,9 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NUMBER = r"(?U)^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+_NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _EXACT = r"^[+-]?0*[0-9]{1,19}$"
-_EDGES = r"(?U)^\s+|\s+$"
+# The characters Unicode calls white space.
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _EXACT_DIGITS = 15            # integers of up to 15 characters are always exact in a double
 
 
@@ -31,10 +32,7 @@ def framed_by_digits(c: Column) -> Column:
 
 def strip_edges(c: Column | str) -> Column:
     """Drop white space (Unicode included) at both ends; other characters, NUL included, stay."""
-    c = as_column(c)
-    last = F.substring(c, -1, 1)
-    clean = (c >= "!") & (c < "\x7f") & (last >= "!") & (last < "\x7f")
-    return F.when(clean | (F.octet_length(c) == 0), c).otherwise(F.regexp_replace(c, _EDGES, ""))
+    return F.btrim(as_column(c), F.lit(_WHITE))
 
 
 def to_int64(c: Column | str) -> Column:
@@ -42,8 +40,9 @@ def to_int64(c: Column | str) -> Column:
     c = as_column(c)
     # A bare cast would also accept control characters at the ends, so both ends are looked at first.
     short_integer = (F.octet_length(c) <= _EXACT_DIGITS) & framed_by_digits(c) & ~c.contains(".") & ~c.contains("e")
-    other_number = (F.octet_length(c) > 0) & c.rlike(_NUMBER)
-    return F.coalesce(F.when(short_integer, c.try_cast("bigint")), F.when(other_number, _through_double(strip_edges(c))))
+    text = strip_edges(c)
+    other_number = (F.octet_length(c) > 0) & text.rlike(_NUMBER)
+    return F.coalesce(F.when(short_integer, c.try_cast("bigint")), F.when(other_number, _through_double(text)))
 
 
 def _through_double(number: Column) -> Column:
