@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapelake.operators.registry_lookup import with_defects
+from tapelake.session import small_frame
 
 GAP_COLUMNS = ("day", "stream", "reason", "symbol", "defects")
 
@@ -23,7 +24,7 @@ def attribute_gaps(stream: str, days: tuple[dt.date, ...], file_days: set[dt.dat
     """
     spark = entries.sparkSession
     missing = [(d,) for d in days if d not in file_days]
-    gaps = spark.createDataFrame(missing, "day date").select(
+    gaps = small_frame(spark, missing, "day date").select(
         "day", F.lit("day_missing").alias("reason"), F.lit(None).cast("string").alias("symbol"))
     existing = [d for d in days if d in file_days]
     if symbols is not None and existing:

@@ -18,7 +18,7 @@ from tapelake.operators.ingest_rules import (dropped_by_prefix, file_facts, file
                                              path_problems, placed_files, quote_only, repeated_days, stream_receipts,
                                              symbol_streams)
 from tapelake.schema import MAIN_PREFIXES, ROW_GROUP_ROWS, STREAMS, SYMBOL_COL
-from tapelake.session import qualified, shared_dir
+from tapelake.session import qualified, shared_dir, small_frame
 from tapelake.sources.csv_tree import SourceError, header_text, tree_files, tree_lines
 from tapelake.sources.files import list_files, read_footers, with_digests
 from tapelake.sources.raw_store import store_files
@@ -47,7 +47,7 @@ def manifests(spark: SparkSession, root: str) -> DataFrame:
     """The receipts of all finished days."""
     base = f"{qualified(spark, root).rstrip('/')}/manifest"
     if list_files(spark, [base]).filter("rel is not null").isEmpty():
-        return spark.createDataFrame([], RECEIPT)
+        return small_frame(spark, [], RECEIPT)
     return spark.read.schema(RECEIPT).option("mode", "FAILFAST").option("recursiveFileLookup", True).json(base)
 
 
@@ -143,7 +143,7 @@ def _write_streams(lines: DataFrame, facts: DataFrame, root: str, days: list[dt.
         for r in group:           # a day of headers only still gets its file
             if not r["n"]:
                 names = [f"column_{i + 1}" for i in range(width)] + [SYMBOL_COL]
-                nothing = spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in names]))
+                nothing = small_frame(spark, [], T.StructType([T.StructField(c, T.StringType()) for c in names]))
                 nothing.coalesce(1).write.mode("overwrite").option("compression", "zstd").parquet(f"{target}/date={r['day']:%Y%m%d}")
 
 
@@ -174,7 +174,7 @@ def _ingest(spark: SparkSession, trees: dict[dt.date, str], root: str, prefixes:
             stop_on_error: bool) -> list[tuple[dt.date, str, str, str | None]]:
     """Outcome rows in the order of ``trees``."""
     files = _stored(_digested(spark, trees), "files")
-    source = spark.createDataFrame([(d, t) for d, t in trees.items()], "day date, source string")
+    source = small_frame(spark, [(d, t) for d, t in trees.items()], "day date, source string")
     sources = _stored(source.join(files.groupBy("day").agg(rollup_digest("rel", "sha256").alias("found")), "day", "left"), "sources")
     errors = _done_days(spark, root, sources, prefixes)
     done = {d for d, e in errors.items() if e is None}
@@ -235,7 +235,7 @@ def ingest_days(spark: SparkSession, trees: list[str], root: str, prefixes: tupl
 
     Other names are skipped and listed. With ``stop_on_error`` no day after the first bad one is published.
     """
-    named = spark.createDataFrame([(i, t, t.rstrip("/").rsplit("/", 1)[-1]) for i, t in enumerate(trees)],
+    named = small_frame(spark, [(i, t, t.rstrip("/").rsplit("/", 1)[-1]) for i, t in enumerate(trees)],
                                   "pos int, source string, name string").withColumn("day", archive_day("name"))
     twice = repeated_days(named).collect()
     if twice:
@@ -243,5 +243,5 @@ def ingest_days(spark: SparkSession, trees: list[str], root: str, prefixes: tupl
     skipped = named.filter("day is null").select("source", F.lit("name is not YYYYMMDD.7z").alias("reason"))
     chosen = {r["day"]: r["source"] for r in named.filter("day is not null").sort("pos").collect()}
     rows = _ingest(spark, chosen, root, tuple(prefixes), stop_on_error) if chosen else []
-    outcomes = spark.createDataFrame(rows, "day date, source string, status string, error string")
+    outcomes = small_frame(spark, rows, "day date, source string, status string, error string")
     return BatchOutcome(outcomes, skipped)

@@ -117,8 +117,8 @@ def snapshot_problems(old: DataFrame, new: DataFrame) -> DataFrame:
     """(id, problem) where the new registry snapshot does more than append to the old one."""
     c = F.col
     names = [x for x in old.columns if x != "id"]
-    both = old.filter("id is not null").select("id", F.struct(*names).alias("old")).join(
-        new.filter("id is not null").select("id", F.struct(*names).alias("new")), "id", "full_outer")
+    both = old.filter("id is not null").select("id", F.col("id").alias("old_id"), F.struct(*names).alias("old")).join(
+        new.filter("id is not null").select("id", F.col("id").alias("new_id"), F.struct(*names).alias("new")), "id", "full_outer")
     no_days = F.array().cast(old.schema["days"].dataType)
     old_days, new_days = F.coalesce(c("old.days"), no_days), F.coalesce(c("new.days"), no_days)
     before, after = F.coalesce(c("old.status"), F.lit("active")), F.coalesce(c("new.status"), F.lit("active"))
@@ -135,8 +135,8 @@ def snapshot_problems(old: DataFrame, new: DataFrame) -> DataFrame:
         F.when(c("old.superseded_by").isNotNull() & ~c("old.superseded_by").eqNullSafe(c("new.superseded_by")),
                F.lit("superseded_by changed")),
     ]
-    problems = F.when(c("new").isNull(), F.array(F.lit("entry deleted"))) \
-        .when(c("old").isNull(), F.array_compact(F.array(F.when(after != "pending", F.lit("new entry not pending"))))) \
+    problems = F.when(c("new_id").isNull(), F.array(F.lit("entry deleted"))) \
+        .when(c("old_id").isNull(), F.array_compact(F.array(F.when(after != "pending", F.lit("new entry not pending"))))) \
         .otherwise(F.array_compact(F.array(*changes)))
     return both.select("id", F.explode(problems).alias("problem"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tapelake.functions import in_windows, is_short_time, to_int64, with_time_ms
 from tapelake.schema import MAX_SYMBOLS, SYMBOL_COL, TIME_COL, Field, ReadRequest
+from tapelake.session import small_frame
 
 _IN_LIST = 1000
 
@@ -33,7 +34,7 @@ def keep_symbols(df: DataFrame, symbols: frozenset[str] | None) -> DataFrame:
         # as text: one call into the JVM instead of one per symbol
         quoted = [s.replace("\\", "\\\\").replace("'", "\\'") for s in sorted(symbols)]
         return df.filter(f"{SYMBOL_COL} IN ({', '.join(f"'{s}'" for s in quoted)})")
-    wanted = df.sparkSession.createDataFrame([(s,) for s in sorted(symbols)], f"{SYMBOL_COL} string")
+    wanted = small_frame(df.sparkSession, [(s,) for s in sorted(symbols)], f"{SYMBOL_COL} string")
     if len(symbols) <= MAX_SYMBOLS:      # always so for well-formed symbols: tens of megabytes at most
         wanted = F.broadcast(wanted)
     low, high = min(symbols), max(symbols)

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Setting, Spark's default, ours.
 _SETTINGS = (
@@ -25,6 +29,14 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def small_frame(spark: SparkSession, rows: Sequence[tuple], schema: str | T.StructType) -> DataFrame:
+    """Rows the driver holds anyway, as a local relation: its size is known, so Catalyst can judge a broadcast."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    fields = to_arrow_schema(schema)
+    cells = [pa.array([row[i] for row in rows], f.type) for i, f in enumerate(fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(cells, schema=fields), schema)
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name under the cluster's shared checkpoint folder; a local session without one gets its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapelake.schema import CSV_NAME
-from tapelake.session import qualified
+from tapelake.session import qualified, small_frame
 from tapelake.sources.files import list_files, with_heads
 
 
@@ -30,7 +30,7 @@ def stream_of(name: Column) -> Column:
 
 def tree_files(spark: SparkSession, trees: dict[dt.date, str]) -> DataFrame:
     """(day, root, rel, length, header, body_offset) for every file of the trees, empty files included."""
-    roots = spark.createDataFrame([(qualified(spark, t).rstrip("/"), d) for d, t in trees.items()], "root string, day date")
+    roots = small_frame(spark, [(qualified(spark, t).rstrip("/"), d) for d, t in trees.items()], "root string, day date")
     listed = list_files(spark, [t.rstrip("/") for t in trees.values()])
     absent = [r["root"] for r in listed.filter("rel is null").collect()]
     if absent:

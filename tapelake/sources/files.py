@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type
 
 from tapelake.schema import SYMBOL_COL
-from tapelake.session import qualified
+from tapelake.session import qualified, small_frame
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])     # executors need not have the package installed
 
@@ -73,7 +73,7 @@ def list_files(spark: SparkSession, roots: list[str]) -> DataFrame:
         infos = file_system.get_file_info(pafs.FileSelector(base, recursive=True))
         return [(i.path[len(base):].lstrip("/"), i.size) for i in infos if i.type == pafs.FileType.File]
 
-    names = spark.createDataFrame([(qualified(spark, r),) for r in roots], "root string")
+    names = small_frame(spark, [(qualified(spark, r),) for r in roots], "root string")
     return _per_file(names, [("rel", pa.string()), ("length", pa.int64())], listing, most=len(roots))
 
 

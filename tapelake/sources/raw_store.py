@@ -18,7 +18,7 @@ from tapelake.operators.registry_lookup import requested_patches
 from tapelake.operators.row_groups import read_stats
 from tapelake.operators.typed_scan import check_short_times, keep_symbols, needed_columns, typed_rows
 from tapelake.schema import QUALITIES, STREAMS, SYMBOL_COL, ReadRequest
-from tapelake.session import prepare, qualified
+from tapelake.session import prepare, qualified, small_frame
 from tapelake.sources.files import list_files, read_footers
 from tapelake.sources.registry import HANDLED_PATCHES, Registry
 
@@ -124,7 +124,7 @@ def scan_containers(spark: SparkSession, containers: list[str], columns: list[st
         parts.append(rows.select(_day_number("__number").alias("day"), *columns, *([_FILE, _ROW] if place else [])))
     if not parts:
         ends = [T.StructField(_FILE, T.StringType()), T.StructField(_ROW, T.LongType())] if place else []
-        parts.append(spark.createDataFrame([], T.StructType([T.StructField("day", T.DateType()), *fields, *ends])))
+        parts.append(small_frame(spark, [], T.StructType([T.StructField("day", T.DateType()), *fields, *ends])))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
@@ -179,7 +179,7 @@ class RawStore:
 
     def day_quality(self) -> DataFrame:
         """(day, quality) for days complete in all streams; no manifest means ``unverified``, a bad one raises."""
-        days = self.spark.createDataFrame([(d,) for d in self.days()], "day date")
+        days = small_frame(self.spark, [(d,) for d in self.days()], "day date")
         value = F.try_parse_json("text")
         stated = self.manifests().select("day", "path", F.try_variant_get(value, "$.quality", "string").alias("quality"))
         bad = stated.filter(~F.coalesce(F.col("quality").isin(*QUALITIES), F.lit(False))).limit(5).collect()
@@ -233,7 +233,7 @@ class RawStore:
 
         symbols = present = None
         if request.symbols is not None:
-            symbols = self.spark.createDataFrame([(s,) for s in sorted(request.symbols)], "symbol string")
+            symbols = small_frame(self.spark, [(s,) for s in sorted(request.symbols)], "symbol string")
             # one aggregation over the symbol column alone; the symbol filter prunes row groups here too
             present = keep_symbols(raw.select("day", SYMBOL_COL), request.symbols) \
                 .select("day", F.col(SYMBOL_COL).alias("symbol")).distinct()

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapelake.operators.registry_rules import chain_problems, rule_problems
+from tapelake.session import small_frame
 
 # Fixed values.
 HANDLED_PATCHES = frozenset({"time_6digit"})
@@ -42,7 +43,7 @@ def registry_rows(spark: SparkSession, text: str) -> DataFrame:
         if "days" in entry:
             row["days"] = [d.isoformat() if isinstance(d, dt.date) else str(d) for d in entry["days"]]
         rows.append(tuple(row.get(c) for c in _COLUMNS))
-    return spark.createDataFrame(rows, REGISTRY_SCHEMA)
+    return small_frame(spark, rows, REGISTRY_SCHEMA)
 
 
 def typed_entries(rows: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapelake.session import small_frame
+
 RECORD = "receipt_id string, body string, written_at timestamp"
 
 
@@ -34,7 +36,7 @@ def append_records(records: DataFrame, log: str) -> DataFrame:
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        existing = spark.createDataFrame([], RECORD)
+        existing = small_frame(spark, [], RECORD)
     bad = [r["receipt_id"] for r in record_conflicts(records, existing).limit(5).collect()]
     if bad:
         raise RecordConflict(f"records exist with other content: {', '.join(bad)}")
