@@ -206,3 +206,21 @@ def test_manifest_is_plain_json(spark, tmp_path, root):
     (file,) = [p for p in (root / "manifest").rglob("part-*.json")]
     data = json.loads(file.read_text())
     assert data["quality"] == "self_consistent" and data["day"] == "2022-01-04" and len(data["streams"]) == 3
+
+
+def test_one_file_spreads_over_tasks_and_part_files(spark, tmp_path, root, monkeypatch):
+    """Small splits and small outputs: the lines of one symbol stay in source order over splits and part files."""
+    monkeypatch.setattr("tapelake.operators.ingest._BYTES_PER_TASK", 20_000)
+    tree = write_tree(tmp_path / "t", {"000001.SZ": 5, "000002.SZ": 900, "600000.SH": 7}, eol="\r\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        receipt = ingest(spark, DAY, str(tree), str(root)).first()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {s["n_rows_parquet"] for s in receipt["streams"]} == {912}
+    assert len([p for p in parts(root / "orders") if p.suffix == ".parquet"]) > 1
+    store = RawStore(spark, str(root), parse_registry(spark, REGISTRY))
+    got = store.read(ReadRequest("orders", (DAY,), ("vol",))).ordered().collect()
+    assert [r["symbol"] for r in got] == ["000001.SZ"] * 5 + ["000002.SZ"] * 900 + ["600000.SH"] * 7
+    assert [r["vol"] for r in got] == [*range(100, 105), *range(100, 1000), *range(100, 107)]
