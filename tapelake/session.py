@@ -16,6 +16,8 @@ _SETTINGS = (
     # The JVM does not compile methods over 8000 bytes; a generated stage above that runs three times slower than the
     # split-up code Spark falls back to when this limit says so.
     ("spark.sql.codegen.hugeMethodLimit", "65535", "8000"),
+    # A stage this wide is over that limit anyway; not generating it first halves the fixed cost of a ten-level read.
+    ("spark.sql.codegen.maxFields", "100", "40"),
     # Above this many symbols Spark prunes row groups by the smallest and largest symbol only.
     ("spark.sql.parquet.pushdown.inFilterThreshold", "10", "256"),
 )
