@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelake.llm import quality_divergence, shuffle_matrix
+from tapelake.llm import language_id, phrase_index, quality_divergence, shuffle_matrix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    return language_id.identified(_table(spark, sf_dir, "documents"))
+
+
+def op3_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that benchmark windows of ten words cover, and whose windows they are."""
+    rows = phrase_index.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", F.col("n_words"), "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+                       F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
+
+
 def op6_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document and whether the divergence rule keeps it."""
     rows = quality_divergence.judged(_table(spark, sf_dir, "documents"), ["doc_id"])
@@ -31,6 +43,8 @@ def op8_communication_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_naive_bayes": op2_naive_bayes,
+    "op3_phrase_index": op3_phrase_index,
     "op6_distribution_divergence": op6_distribution_divergence,
     "op8_communication_matrix": op8_communication_matrix,
 }

@@ -25,8 +25,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS = np.cumprod(np.concatenate(([1], np.full(_BLOCK, _RADIX, np.uint64))), dtype=np.uint64)
-_INVERSE = np.cumprod(np.concatenate(([1], np.full(_BLOCK, pow(_RADIX, -1, 1 << 64), np.uint64))), dtype=np.uint64)
+
+
+def _powers(base: int) -> np.ndarray:
+    factors = np.full(_BLOCK + 1, base, np.uint64)
+    factors[0] = 1
+    return np.cumprod(factors)
+
+
+_POWERS, _INVERSE = _powers(_RADIX), _powers(pow(_RADIX, -1, 1 << 64))
 _BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64))
 _LOWER_VALUES = _BYTE_VALUES.copy()
 _LOWER_VALUES[65:91] = _BYTE_VALUES[97:123]
