@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelake.llm import language_id, phrase_index, quality_divergence, shuffle_matrix
+from tapelake.llm import disclosure, language_id, phrase_index, quality_divergence, shuffle_matrix, source_mix, tag_paths
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,12 +26,30 @@ def op3_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_block_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix of the sources takes."""
+    rows = source_mix.mixed_words(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
+                       F.col("_target").alias("target"), F.col("_taken").cast("long").alias("taken"))
+
+
+def op5_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    rows = tag_paths.extracted(_table(spark, sf_dir, "pages"))
+    return rows.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document and whether the divergence rule keeps it."""
     rows = quality_divergence.judged(_table(spark, sf_dir, "documents"), ["doc_id"])
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, and the terms that disclose it."""
+    return disclosure.digests(disclosure.personal_data(_table(spark, sf_dir, "documents")))
+
+
 def op8_communication_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of 24 and its place there."""
     text = F.coalesce("text", F.lit(""))
@@ -45,6 +63,9 @@ def op8_communication_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_naive_bayes": op2_naive_bayes,
     "op3_phrase_index": op3_phrase_index,
+    "op4_block_mix": op4_block_mix,
+    "op5_tag_paths": op5_tag_paths,
     "op6_distribution_divergence": op6_distribution_divergence,
+    "op7_disclosure": op7_disclosure,
     "op8_communication_matrix": op8_communication_matrix,
 }
