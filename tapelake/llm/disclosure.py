@@ -1,12 +1,12 @@
 """Personal data: patterns, and terms that give protected entities away.
 
 E-mail addresses, IP addresses, card and phone numbers are found by pattern; their values are the protected entities. A term
-is a word of four letters or more within a few words of an entity. Counted over distinct texts of the whole corpus, its
+is a word of four letters or more within a few words of an entity. Counted over the documents of the whole corpus, its
 pointwise mutual information with the entity says how much of the entity's information content it reveals: a term met only
 where the entity is reveals all of it. Terms seen with an entity in enough distinct texts and revealing at least a stated
 share of it are disclosed: those that reveal all are to be removed, the others generalised.
 
-Null texts count as empty; texts are searched whole; repeated rows give the same spans and one vote; an empty table gives no
+Null texts count as empty; texts are searched whole; repeated rows give the same spans, and copies of a text lend no support; an empty table gives no
 rows; further columns are ignored; a null id stays null. Places are code points, ends exclusive.
 """
 
@@ -123,22 +123,21 @@ def found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 def disclosing_terms(docs: DataFrame, rows: DataFrame, support: int = SUPPORT, share: float = DISCLOSED, text: str = "text") -> DataFrame:
     """(entity, term, revealed): terms that give at least the share of the entity's information away.
 
-    ``rows`` is what ``found`` made of ``docs``. Probabilities are shares of distinct texts.
+    ``rows`` is what ``found`` made of ``docs``. Probabilities are shares of documents; support counts distinct texts. The
+    documents with a term are counted for all words at once, with partial counts before the shuffle.
     """
-    pairs = rows.select("text_id", F.explode("near").alias("x")).select("text_id", "x.entity", "x.term").distinct()
-    joint = stored(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_joint")).filter(F.col("n_joint") >= support), "disclosure-pairs")
-    entities = rows.select("text_id", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(
-        F.count(F.lit(1)).alias("n_entity"))
-    wanted = stored(joint.select("term").distinct(), "disclosure-terms")
-    words = docs.select(F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_id"),
-                        F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("\\p{L}{4,}"), F.lit(0)))).alias("term"))
-    terms = words.join(wanted, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    texts = rows.agg(F.count_distinct("text_id").alias("n_texts"))
-    # One row: the number of texts.
-    scored = joint.join(terms, "term").join(entities, "entity").join(F.broadcast(texts))
-    information = F.log2(F.col("n_texts") / F.col("n_entity"))
-    mutual = F.log2(F.col("n_joint") * F.col("n_texts") / (F.col("n_term") * F.col("n_entity")))
-    # An entity in every text has no information to give away.
+    pairs = rows.select("text_id", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"], x["term"])))).alias("x"))
+    joint = pairs.groupBy(F.col("x.entity").alias("entity"), F.col("x.term").alias("term"), "text_id").agg(F.count(F.lit(1)).alias("n"))
+    joint = joint.groupBy("entity", "term").agg(F.sum("n").alias("n_joint"), F.count(F.lit(1)).alias("n_texts"))
+    joint = stored(joint.filter(F.col("n_texts") >= support).drop("n_texts"), "disclosure-pairs")
+    entities = rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("\\p{L}{4,}"), F.lit(0)))
+    terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    # One row: the number of documents.
+    scored = joint.join(terms, "term").join(entities, "entity").join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n_docs"))))
+    information = F.log2(F.col("n_docs") / F.col("n_entity"))
+    mutual = F.log2(F.col("n_joint") * F.col("n_docs") / (F.col("n_term") * F.col("n_entity")))
+    # An entity in every document has no information to give away.
     return scored.filter(information > 0).withColumn("revealed", mutual / information).filter(F.col("revealed") >= share).select(
         "entity", "term", "revealed")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelake.llm import disclosure, language_id, phrase_index, quality_divergence, shuffle_matrix, source_mix, tag_paths
+from tapelake.llm import disclosure, language_id, phrase_index, quality_divergence, shuffle_matrix, source_mix, substring_dedup, tag_paths
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,12 @@ def op8_communication_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that a document with a smaller id has in a window of 50, and the digest of the rest."""
+    rows = substring_dedup.deduplicated(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_naive_bayes": op2_naive_bayes,
     "op3_phrase_index": op3_phrase_index,
@@ -68,4 +74,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_distribution_divergence": op6_distribution_divergence,
     "op7_disclosure": op7_disclosure,
     "op8_communication_matrix": op8_communication_matrix,
+    "op10_suffix_automata": op10_suffix_automata,
 }

@@ -126,13 +126,18 @@ def pieces(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     return each.select("_s", "_block", "_from", words.alias("_words"))
 
 
+def _takes(sources: DataFrame) -> DataFrame:
+    """How often each block is taken. Unfolded ranges look small to the planner, which must not broadcast them."""
+    return slots(sources).groupBy("_s", "_block").agg(F.count(F.lit(1)).cast("int").alias("_takes")).hint("merge")
+
+
 def mixed_words(docs: DataFrame) -> DataFrame:
     """The rows with _size, source columns and _taken, the words of them in the mix, repeats counted."""
     rows, sources = placed(docs.select("doc_id", "source", "text"))
     rows = stored(rows.drop("text"), "mix-placed")
-    takes = slots(sources).groupBy("_s", "_block").agg(F.count(F.lit(1)).alias("_takes"))
+    takes = _takes(sources)
     taken = pieces(rows).join(takes, ["_s", "_block"]).groupBy("_s", "_from").agg(F.sum(F.col("_words") * F.col("_takes")).alias("_taken"))
-    taken = taken.select(F.col("_s").alias("_ts"), F.col("_from").alias("_tf"), "_taken")
+    taken = taken.select(F.col("_s").alias("_ts"), F.col("_from").alias("_tf"), "_taken").hint("merge")
     # An empty document shares its place with the next one and gets nothing.
     at = (F.col("_s") == F.col("_ts")) & (F.col("_from") == F.col("_tf")) & (F.col("_size") > 0)
     out = rows.join(taken, at, "left").drop("_ts", "_tf").withColumn("_taken", F.coalesce("_taken", F.lit(0)))
@@ -142,6 +147,6 @@ def mixed_words(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix in whole documents: each row is repeated as often as the block with its first word is taken."""
     rows, sources = placed(docs)
-    takes = slots(sources).groupBy("_s", "_block").agg(F.count(F.lit(1)).cast("int").alias("_takes"))
+    takes = _takes(sources)
     out = rows.filter(F.col("_size") > 0).withColumn("_block", F.floor(F.col("_from") / BLOCK)).join(takes, ["_s", "_block"])
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_takes"))).select(*docs.columns)
