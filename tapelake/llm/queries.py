@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelake.llm import disclosure, language_id, phrase_index, quality_divergence, shuffle_matrix, source_mix, substring_dedup, tag_paths
+from tapelake.llm import disclosure, language_id, ngram_join, phrase_index, quality_divergence, shuffle_matrix, source_mix, substring_dedup, tag_paths
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of shingles and the smallest id it is linked to."""
+    return ngram_join.similar_documents(_table(spark, sf_dir, "documents"))
+
+
 def op2_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that are not held out."""
     return language_id.identified(_table(spark, sf_dir, "documents"))
@@ -67,6 +72,7 @@ def op10_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_naive_bayes": op2_naive_bayes,
     "op3_phrase_index": op3_phrase_index,
     "op4_block_mix": op4_block_mix,
