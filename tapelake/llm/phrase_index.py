@@ -186,3 +186,12 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = 10) -> DataFr
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(F.col("row.ids").alias("doc_id"), F.col("row.n_words").alias("n_words"), n_hit.alias("n_hit"),
                       F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), (n_hit > 0).alias("contaminated"))
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, length: int = 10) -> DataFrame:
+    """The documents no window of an item occurs in. Rows are told apart by id and text."""
+    rows = docs.withColumn("_text_id", F.xxhash64("text"))
+    index = write_index(rows.select(F.xxhash64("doc_id", "_text_id").alias("doc_id"), "text"))
+    hits = phrase_matches(index, window_blocks(items, length)).select("segment", "nr").distinct()
+    found = hits.join(index.select("segment", F.posexplode("ids").alias("nr", "_row")), ["segment", "nr"]).select("_row").distinct()
+    return rows.withColumn("_row", F.xxhash64("doc_id", "_text_id")).join(found, "_row", "left_anti").select(*docs.columns)

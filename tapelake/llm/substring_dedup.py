@@ -204,7 +204,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> Dat
     found = _anchor_rows(docs, window)
     firsts = found.groupBy("anchor").agg(F.min("id").alias("shard"), F.max("id").alias("_last"), F.count(F.lit(1)).alias("_n"))
     firsts = firsts.filter(F.col("shard") < F.col("_last")).select("anchor", F.when(F.col("_n") <= hot, F.col("shard")).alias("shard"))
-    sent = _sent(docs, found.join(firsts, "anchor"), window)
+    # Written, so that the join below deals out both sides itself and can split a hot anchor.
+    sent = _sent(docs, found.join(stored(firsts, "dedup-firsts"), "anchor"), window)
     spans = "id bigint, text_id bigint, first bigint, last bigint"
     by_shard = sent.filter(F.col("shard").isNotNull()).select("shard", "id", "text_id", "start", "words")
     matched = by_shard.groupBy("shard").applyInPandas(lambda k, f: _matched(k, f, window), spans)
