@@ -50,3 +50,13 @@ def totals(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """For every entry the sum of the counts of all entries with its key."""
     _, at = np.unique(keys, return_inverse=True)
     return np.bincount(at, weights=counts, minlength=1)[at].astype(np.int64)
+
+
+def offsets48(keys: np.ndarray, at: int, count: int) -> bytes:
+    """Keys of one of ``count`` ranges as six bytes each: the upper 48 bits of what distinguishes keys there.
+
+    With the number of the range this tells keys apart by 48 bits and those the range itself stands for, up to all 64.
+    """
+    offset = keys - np.uint64(((at << 64) + count - 1) // count)
+    spare = max(0, 64 - count.bit_length() + 1 - 48)
+    return packed48((offset >> np.uint64(spare)) << np.uint64(16))

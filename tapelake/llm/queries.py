@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelake.llm import disclosure, language_id, ngram_join, phrase_index, quality_divergence, shuffle_matrix, source_mix, substring_dedup, tag_paths
+from tapelake.llm import disclosure, katz_backoff, language_id, ngram_join, phrase_index, quality_divergence, shuffle_matrix, source_mix, substring_dedup, tag_paths
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,11 @@ def op8_communication_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model's log probability of every document, learned from those that are not held out."""
+    return katz_backoff.scored(_table(spark, sf_dir, "documents"), language_id.held_out(F.col("doc_id"), 5))
+
+
 def op10_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that a document with a smaller id has in a window of 50, and the digest of the rest."""
     rows = substring_dedup.deduplicated(_table(spark, sf_dir, "documents"))
@@ -80,5 +85,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_distribution_divergence": op6_distribution_divergence,
     "op7_disclosure": op7_disclosure,
     "op8_communication_matrix": op8_communication_matrix,
+    "op9_katz_backoff": op9_katz_backoff,
     "op10_suffix_automata": op10_suffix_automata,
 }
