@@ -2,7 +2,8 @@
 
 Documents are dealt into chunks by a hash. A chunk asks for its distinct 64-bit keys, packed by ranges of the key: one row a
 chunk and range. A range adds up what all chunks sent and answers each with an array in the order of its request, so answers
-need no keys, and a chunk that puts its answers together in the order of the ranges has one value for each of its keys.
+need no keys, and a chunk that puts its answers together in the order of the ranges has one value for each of its keys. An
+answer depends on the requests alone and not on their order, so one that is worked out again is the same.
 
 Chunks and ranges both number about the square root of the text's size in units of two kilobytes, so requests stay about
 that long and neither side ever holds more than its share. Keys travel as 48 bits where they only steer a search, as 64
@@ -14,6 +15,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,15 +37,25 @@ def range_cuts(keys: np.ndarray, count: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Values of fixed length, byte by byte in planes and compressed."""
+    plain = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+    return len(plain).to_bytes(8, "little") + pa.compress(plain, codec="zstd", asbytes=True)
+
+
+def expanded(data: bytes, dtype: type) -> np.ndarray:
+    plain = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    planes = np.frombuffer(plain, np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
+
+
 def packed48(keys: np.ndarray) -> bytes:
-    """The upper 48 bits of each key."""
-    return keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """The upper 48 bits of sorted keys, as steps from one to the next."""
+    return squeezed(np.diff(keys >> np.uint64(16), prepend=np.uint64(0)))
 
 
 def unpacked48(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view(">u8").astype(np.uint64)
+    return np.cumsum(expanded(data, np.uint64), dtype=np.uint64) << np.uint64(16)
 
 
 def totals(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -53,7 +65,7 @@ def totals(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def offsets48(keys: np.ndarray, at: int, count: int) -> bytes:
-    """Keys of one of ``count`` ranges as six bytes each: the upper 48 bits of what distinguishes keys there.
+    """Sorted keys of one of ``count`` ranges: the upper 48 bits of what distinguishes keys there.
 
     With the number of the range this tells keys apart by 48 bits and those the range itself stands for, up to all 64.
     """

@@ -27,7 +27,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapelake.llm.chunks import chunk_count, chunk_of, offsets48, range_cuts, unpacked48
+from tapelake.llm.chunks import chunk_count, chunk_of, expanded, offsets48, range_cuts, squeezed, unpacked48
 from tapelake.llm.words import SPACED, Words, as_bytes, mixed, text_slices
 
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -39,6 +39,7 @@ _ROW = "chunk int, range int, kind int, keys binary, a binary, b binary"
 _TYPES = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
 _NAMES = ["chunk", "range", "kind", "keys", "a", "b"]
 _WORDS, _PAIRS, _WEIGHTS, _STATS = range(4)
+_SUMS = np.dtype([("loss", np.float64), ("mass", np.float64)])
 
 
 def _table(rows: list[tuple]) -> pa.Table:
@@ -119,7 +120,7 @@ def _requests(chunk: int, kind: int, keys: np.ndarray, count: int, *values: np.n
     for i in range(count):
         a, b = cuts[i], cuts[i + 1]
         if a < b:
-            sent = [v[a:b].tobytes() for v in values]
+            sent = [squeezed(v[a:b]) for v in values]
             rows.append((chunk, i, kind, offsets48(keys[a:b], i, count), *sent, *[None] * (2 - len(sent))))
     return rows
 
@@ -127,7 +128,7 @@ def _requests(chunk: int, kind: int, keys: np.ndarray, count: int, *values: np.n
 def _answers(side: pa.Table, kind: int, column: str, dtype: type) -> np.ndarray:
     """What the ranges answered, in the order of the chunk's keys."""
     own = side.filter(pa.compute.equal(side["kind"], kind)).sort_by("range")[column].to_pylist()
-    return np.frombuffer(b"".join(own), dtype)
+    return np.concatenate([np.zeros(0, dtype), *[expanded(x, dtype) for x in own]])
 
 
 def _asked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,7 +139,7 @@ def _asked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _joined(rows: pa.Table, column: str, dtype: type) -> np.ndarray:
-    return np.frombuffer(b"".join(rows[column].to_pylist()), dtype)
+    return np.concatenate([expanded(x, dtype) for x in rows[column].to_pylist()])
 
 
 def _pack(docs: DataFrame, held_out: Column, count: int) -> DataFrame:
@@ -179,7 +180,7 @@ def scored(docs: DataFrame, held_out: Column) -> DataFrame:
         totals = np.bincount(at, weights=_joined(rows, "a", np.int64), minlength=n).astype(np.int64)
         held = np.bincount(at, weights=_joined(rows, "b", np.uint8), minlength=n) > 0
         known, wanted = totals[at], held[at].astype(np.uint8)
-        out = [(c, r, _WORDS, None, known[a:b].tobytes(), wanted[a:b].tobytes())
+        out = [(c, r, _WORDS, None, squeezed(known[a:b]), squeezed(wanted[a:b]))
                for c, r, a, b in zip(rows["chunk"].to_pylist(), rows["range"].to_pylist(), cuts[:-1], cuts[1:])]
         return _table([*out, (-1, key[0].as_py(), _STATS, None, _Stats.row(_WORDS, totals), None)])
 
@@ -188,14 +189,15 @@ def scored(docs: DataFrame, held_out: Column) -> DataFrame:
         return _table(_requests(key[0].as_py(), _PAIRS, chunk.pairs, count, chunk.count(chunk.pair, len(chunk.pairs), True).astype(np.uint32)))
 
     def tell_pairs(key: tuple, rows: pa.Table) -> pa.Table:
+        # The lowest chunk that has a bigram owns it, in whatever order the requests came.
+        rows = rows.sort_by("chunk")
         at, cuts, n = _asked(rows)
         totals = np.bincount(at, weights=_joined(rows, "a", np.uint32), minlength=n).astype(np.int64)
-        # The first request that has a bigram owns it.
         _, first = np.unique(at, return_index=True)
         owner = np.zeros(len(at), np.uint8)
         owner[first] = 1
         counts = totals[at]
-        out = [(c, r, _PAIRS, None, counts[a:b].tobytes(), owner[a:b].tobytes())
+        out = [(c, r, _PAIRS, None, squeezed(counts[a:b]), squeezed(owner[a:b]))
                for c, r, a, b in zip(rows["chunk"].to_pylist(), rows["range"].to_pylist(), cuts[:-1], cuts[1:])]
         return _table([*out, (-1, key[0].as_py(), _STATS, None, _Stats.row(_PAIRS, totals), None)])
 
@@ -213,15 +215,15 @@ def scored(docs: DataFrame, held_out: Column) -> DataFrame:
         unseen = np.zeros(n, bool)
         unseen[chunk.history[counts[chunk.pair] == 0]] = True
         some = np.flatnonzero(((loss > 0) & wanted) | unseen)
-        return _table(_requests(key[0].as_py(), _WEIGHTS, chunk.words[some], count, np.stack([loss[some], mass[some]], axis=1), unseen[some].astype(np.uint8)))
+        return _table(_requests(key[0].as_py(), _WEIGHTS, chunk.words[some], count, np.rec.fromarrays([loss[some], mass[some]], dtype=_SUMS), unseen[some].astype(np.uint8)))
 
     def tell_weights(key: tuple, rows: pa.Table) -> pa.Table:
         at, cuts, n = _asked(rows)
-        sums = _joined(rows, "a", np.float64).reshape(-1, 2)
-        loss, mass = (np.bincount(at, weights=sums[:, i], minlength=n) for i in (0, 1))
+        sums = _joined(rows, "a", _SUMS)
+        loss, mass = (np.bincount(at, weights=sums[x], minlength=n) for x in _SUMS.names)
         # Times the count of the history, which chunks know: the weight is the loss over it and over the mass left.
         weight = np.where(_joined(rows, "b", np.uint8) == 1, (loss / (1 - mass))[at], 0)
-        return _table([(c, r, _WEIGHTS, None, weight[a:b].tobytes(), None)
+        return _table([(c, r, _WEIGHTS, None, squeezed(weight[a:b]), None)
                        for c, r, a, b in zip(rows["chunk"].to_pylist(), rows["range"].to_pylist(), cuts[:-1], cuts[1:])])
 
     def score(key: tuple, rows: pa.Table, side: pa.Table) -> pa.Table:
