@@ -122,8 +122,8 @@ def shuffled(df: DataFrame, n_shards: int, key: Sequence[str], seed: int = 20, p
 
     ``key`` names the columns that tell rows apart. ``partition_rows`` is about how many rows a source partition has.
     """
-    hashed = stored(df.withColumn("_h", F.xxhash64(F.lit(seed), *key)), "shuffle-rows")
-    rows = hashed.count()
+    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *key))
+    rows = df.count()
     side = max(2, math.isqrt(rows // partition_rows) + 1)
     spread = lambda n, bits: F.pmod(F.shiftrightunsigned("_h", bits), F.lit(n)).cast("int")
     placed = hashed.withColumn("_g", spread(side, 32)).withColumn("_q", spread(side, 3))
@@ -132,13 +132,13 @@ def shuffled(df: DataFrame, n_shards: int, key: Sequence[str], seed: int = 20, p
     local = F.row_number().over(Window.partitionBy("_g", "_q").orderBy(F.xxhash64("_h", F.lit(1)), "_h")) - 1
     sent = placed.withColumn("_r", local).join(ends, ["_g", "_q"]).withColumn(
         "shard", F.size(F.filter("_ends", lambda e: e <= F.col("_r"))).cast("int"))
-    sent = stored(sent.drop("_g", "_q", "_r", "_ends"), "shuffle-sent")
+    sent = sent.drop("_g", "_q", "_r", "_ends")
     # A shard's second permutation is an order by another hash, sorted in ranges of that hash.
     pieces = max(1, rows // n_shards // partition_rows)
     sent = sent.withColumn("_p", F.xxhash64("_h", F.lit(2))).withColumn(
         "_b", F.shiftright(F.shiftrightunsigned("_p", 33) * pieces, 31).cast("int"))
     before = Window.partitionBy("shard").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sent.groupBy("shard", "_b").agg(F.count(F.lit(1)).alias("_n")).select(
+    starts = sent.select("shard", "_b").groupBy("shard", "_b").agg(F.count(F.lit(1)).alias("_n")).select(
         "shard", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")).alias("_from"))
     inner = F.row_number().over(Window.partitionBy("shard", "_b").orderBy("_p", "_h"))
     out = sent.withColumn("_i", inner).join(starts, ["shard", "_b"])

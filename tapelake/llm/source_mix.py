@@ -37,9 +37,9 @@ def n_words(text: Column) -> Column:
 
 
 def placed(docs: DataFrame, text: str = "text", source: str = "source", key: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
-    """The rows with _size, _s (number of the source) and _from (their place in its stream); and the sources with targets."""
-    sized = stored(docs.withColumn("_size", F.when(F.col(text).isNull(), 0).otherwise(n_words(F.col(text))).cast("long"))
-                   .withColumn("_t", F.xxhash64(text)), "mix-rows")
+    """The rows without text, with _size, _s (number of the source) and _from (place in its stream); the sources with targets."""
+    sized = docs.withColumn("_size", F.when(F.col(text).isNull(), 0).otherwise(n_words(F.col(text))).cast("long"))
+    sized = stored(sized.withColumn("_t", F.xxhash64(text)).drop(text), "mix-rows")
     side = math.isqrt(sized.count()) + 1
     sources = targets(sized.groupBy(F.col(source).alias("_source")).agg(F.sum("_size").alias("_source_size")))
     sources = stored(sources, "mix-sources")
@@ -134,7 +134,7 @@ def _takes(sources: DataFrame) -> DataFrame:
 def mixed_words(docs: DataFrame) -> DataFrame:
     """The rows with _size, source columns and _taken, the words of them in the mix, repeats counted."""
     rows, sources = placed(docs.select("doc_id", "source", "text"))
-    rows = stored(rows.drop("text"), "mix-placed")
+    rows = stored(rows, "mix-placed")
     takes = _takes(sources)
     taken = pieces(rows).join(takes, ["_s", "_block"]).groupBy("_s", "_from").agg(F.sum(F.col("_words") * F.col("_takes")).alias("_taken"))
     taken = taken.select(F.col("_s").alias("_ts"), F.col("_from").alias("_tf"), "_taken").hint("merge")
@@ -145,8 +145,18 @@ def mixed_words(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix in whole documents: each row is repeated as often as the block with its first word is taken."""
-    rows, sources = placed(docs)
-    takes = _takes(sources)
-    out = rows.filter(F.col("_size") > 0).withColumn("_block", F.floor(F.col("_from") / BLOCK)).join(takes, ["_s", "_block"])
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_takes"))).select(*docs.columns)
+    """The mix in whole documents: each row is repeated as often as the block with its first word is taken.
+
+    Texts stay out of the work on the mix and move once, to meet their number of copies by a hash of the whole row; identical
+    rows share the copies of all of them.
+    """
+    keyed = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    rows, sources = placed(keyed.select("_row", "doc_id", "source", "text"))
+    rows = rows.filter(F.col("_size") > 0).withColumn("_block", F.floor(F.col("_from") / BLOCK))
+    copies = rows.join(_takes(sources), ["_s", "_block"], "left").groupBy("_row").agg(
+        F.sum(F.coalesce("_takes", F.lit(0))).alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    out = keyed.join(stored(copies.filter(F.col("_copies") > 0), "mix-copies"), "_row")
+    rank = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))
+    each = F.floor(F.col("_copies") / F.col("_rows")) + (rank <= F.col("_copies") % F.col("_rows")).cast("long")
+    return out.withColumn("_each", each).filter(F.col("_each") > 0).withColumn(
+        "_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_each"))).select(*docs.columns)

@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tapelake.session import shared_dir
 
+_SCRATCH: list[str] = []
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """The rows as a Parquet table in the folder all executors share: cuts the lineage, survives lost executors."""
+
+def stored(df: DataFrame, purpose: str, keep: bool = False) -> DataFrame:
+    """The rows as a Parquet table in the folder all executors share: cuts the lineage, survives lost executors.
+
+    ``release`` removes the table unless it is to be kept.
+    """
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
+    if not keep:
+        _SCRATCH.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the scratch tables of all operators so far. Their results must have been written or collected by then."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    while _SCRATCH:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(hadoop).delete(path, True)

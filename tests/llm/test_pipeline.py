@@ -19,7 +19,7 @@ def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, at = docs.columns, []
     for name, stage in corpus_pipeline.STAGES:
-        docs = stored(stage(spark, docs, SF), "test-stage")
+        docs = stored(stage(spark, docs, SF), "test-stage", keep=True)
         at.append(docs)
         if name != "sharding":
             assert docs.columns == columns
