@@ -78,16 +78,16 @@ def raw_rows(spark: SparkSession, sf_dir: str, time: Column | None = None) -> Da
 _STORES: dict[tuple[str, str], str] = {}
 
 
-def event_store(spark: SparkSession, sf_dir: str) -> str:
-    """A raw store of all events in the shared folder, written once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def event_store(spark: SparkSession, sf_dir: str, parts: int | None = None) -> str:
+    """A raw store of all events in the shared folder, written once per application, in about ``parts`` part files a stream."""
+    key = (spark.sparkContext.applicationId, sf_dir, parts)
     if key not in _STORES:
         root = shared_dir(spark, "events")
         rows = raw_rows(spark, sf_dir).withColumn("date", F.date_format("day", "yyyyMMdd").cast("int"))
         order = ["date", SYMBOL_COL, "pos"]
         base = F.col("column_11").cast("bigint")
         ladder = {f"column_{i}": (base * 10 + i).cast("string") for i in range(14, WIDTH["xinqing"] + 1)}
-        parts = 1 + rows.count() // 5_000_000
+        parts = parts or 1 + rows.count() // 5_000_000
         for stream in STREAMS:
             names = [f"column_{i}" for i in range(1, WIDTH[stream] + 1)]
             chosen = rows.filter(F.col("stream") == stream)

@@ -125,7 +125,6 @@ SQL: dict[str, str] = {
     "store_read_symbols": f"""WITH {_RAW} SELECT day, symbol, ms AS time_ms, event_id AS oid, vol FROM raw
         WHERE stream = 'orders' AND symbol IN (SELECT {_symbol('s_suppkey')} FROM supplier)""",
     "store_quotes": f"WITH {_RAW} SELECT day, symbol, ms AS time_ms, price AS last_price, {_LADDER} FROM raw WHERE stream = 'xinqing'",
-    "read_cost": f"WITH {_RAW} SELECT stream, count(*) AS rows FROM raw GROUP BY stream",
     "store_gaps": f"""WITH {_RAW},
         days AS (SELECT day FROM raw GROUP BY day HAVING count(DISTINCT stream) = 3),
         absent AS (SELECT day, 'symbol_absent' AS reason, symbol FROM days, (SELECT DISTINCT symbol FROM raw)
@@ -140,9 +139,6 @@ SQL: dict[str, str] = {
     "store_days": f"""WITH {_RAW} SELECT day, 'unverified' AS quality FROM raw GROUP BY day HAVING count(DISTINCT stream) = 3""",
     "footer_catalog": f"""WITH {_RAW} SELECT stream, day, count(*) AS rows, min(symbol) AS symbol_min, max(symbol) AS symbol_max
         FROM raw GROUP BY stream, day""",
-    "row_groups_selected": f"""WITH {_RAW}, groups AS (SELECT day, count(*) AS rows, min(symbol) AS low, max(symbol) AS high
-        FROM raw WHERE stream = 'orders' GROUP BY day) SELECT day, rows FROM groups WHERE EXISTS (
-        SELECT 1 FROM supplier WHERE {_symbol('s_suppkey')} BETWEEN low AND high)""",
     "decode_int_shapes": f"""WITH t AS (SELECT CAST({_SHAPE} AS INTEGER) AS shape, {_CENTS} AS c FROM lineitem),
         v AS (SELECT shape, CASE WHEN shape IN (0, 1, 2, 3, 4, 7, 11) THEN c WHEN shape = 5 THEN -c WHEN shape = 12 THEN c * 10
           WHEN shape = 10 AND CAST(CAST(c * 1000000000 + 1 AS DOUBLE) AS HUGEINT) = c * 1000000000 + 1 THEN c * 1000000000 + 1

@@ -15,13 +15,12 @@ from tapelake.operators.ingest import sorted_rows, write_rows
 from tapelake.operators.ingest_rules import (dropped_by_prefix, file_facts, file_problems, line_facts, path_problems,
                                              placed_files, quote_only, repeated_days, stream_receipts, symbol_streams)
 from tapelake.operators.row_groups import file_facts as footer_facts
-from tapelake.operators.row_groups import selected_row_groups
 from tapelake.operators.typed_scan import short_times, typed_rows
 from tapelake.plans.encode import (chained_registry, event_store, faulty_registry, later_registry, odd_time_text, part_registry,
                                    pick, raw_rows, source_files, source_lines, symbol_of, table)
 from tapelake.schema import CONTINUOUS_EXCL_AUCTIONS, FIELDS, STREAMS, SYMBOL_COL, ReadRequest
 from tapelake.session import prepare, shared_dir
-from tapelake.sources.files import list_files, read_footers, with_digests
+from tapelake.sources.files import read_footers
 from tapelake.sources.raw_store import RawStore, scan, store_files
 from tapelake.sources.registry import HANDLED_PATCHES, parse_registry, typed_entries
 from tapelake.sources.run_log import record_conflicts, run_records
@@ -137,8 +136,8 @@ def store_gaps(spark, sf_dir):
 def store_order(spark, sf_dir):
     """Each row's place in its day's file: by symbol, and in source order within a symbol."""
     root = event_store(spark, sf_dir)
-    rows = scan(spark, root, "orders", list(_store(spark, sf_dir).days()), [SYMBOL_COL, "column_6"], place=True)
-    return _text_day(rows).select("day", F.col("__row").alias("place"), F.col(SYMBOL_COL).alias("symbol"),
+    rows = audit.positions(spark, root, "orders", list(_store(spark, sf_dir).days()), [SYMBOL_COL, "column_6"])
+    return _text_day(rows).select("day", F.col("pos").alias("place"), F.col(SYMBOL_COL).alias("symbol"),
                                   to_int64("column_6").alias("event_id"))
 
 
@@ -173,28 +172,6 @@ def footer_catalog(spark, sf_dir):
     return _text_day(facts.select("stream", "day", "rows", "symbol_min", "symbol_max"))
 
 
-@query
-def row_groups_selected(spark, sf_dir):
-    """Per day the rows in row groups whose range meets a supplier's symbol."""
-    files = store_files(spark, event_store(spark, sf_dir), ("orders",))
-    groups = selected_row_groups(read_footers(files.select("stream", "day", "path")), _symbols(spark, sf_dir, "supplier", "s_suppkey"))
-    return _text_day(groups.groupBy("day").agg(F.sum("rows").alias("rows")))
-
-
-@query
-def read_statistics(spark, sf_dir):
-    """Row groups and bytes of a read by symbol, and its rows. Bytes depend on the writer, so there is no SQL for it."""
-    store, request = _request(spark, sf_dir, "orders", ("oid",), symbols=_symbols(spark, sf_dir, "supplier", "s_suppkey"))
-    return store.read(request).stats
-
-
-@query
-def read_cost(spark, sf_dir):
-    """Full-field reads, timed; the rows they return."""
-    store = _store(spark, sf_dir)
-    return audit.read_cost(store, store.days(), per_day=False).select("stream", "rows")
-
-
 # ---------------------------------------------------------------- decoding
 
 
@@ -473,10 +450,3 @@ def run_record_conflicts(spark, sf_dir):
     records = _records(spark, sf_dir)
     log = records.withColumn("body", F.replace("body", F.lit('"orders"'), F.lit('"order"')))
     return record_conflicts(records, log)
-
-
-@query
-def table_file_digests(spark, sf_dir):
-    """Size and digest of each given table's file. Paths are the session's own, so there is no SQL for it."""
-    files = list_files(spark, [sf_dir]).withColumn("path", F.concat("root", F.lit("/"), "rel"))
-    return with_digests(files.select("rel", "length", "path")).drop("path")

@@ -26,7 +26,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])     # executors need
 
 _CHUNK = 1 << 20
 _HEADS = [("header", pa.binary()), ("body_offset", pa.int64())]
-_FOOTERS = [("file_rows", pa.int64()), ("columns", pa.list_(pa.string())), ("row_group", pa.int32()), ("rows", pa.int64()),
+_FOOTERS = [("file_rows", pa.int64()), ("columns", pa.list_(pa.string())), ("types", pa.list_(pa.string())),
+            ("row_group", pa.int32()), ("rows", pa.int64()),
             ("byte_size", pa.int64()), ("symbol_min", pa.string()), ("symbol_max", pa.string()), ("has_range", pa.bool_())]
 
 
@@ -130,6 +131,7 @@ def read_footers(files: DataFrame) -> DataFrame:
         with file_system.open_input_file(name) as handle:
             meta = pq.read_metadata(handle)
         names = meta.schema.names
+        kinds = [f"{c.physical_type} {c.logical_type}" for c in map(meta.schema.column, range(len(names)))]
         symbol = names.index(SYMBOL_COL) if SYMBOL_COL in names else -1
         found = []
         for g in range(meta.num_row_groups):
@@ -138,7 +140,7 @@ def read_footers(files: DataFrame) -> DataFrame:
             stats = group.column(symbol).statistics if symbol >= 0 else None
             ranged = stats is not None and stats.has_min_max
             low, high = (stats.min, stats.max) if ranged else (None, None)
-            found.append((meta.num_rows, names, g, group.num_rows, size, low, high, ranged or group.num_rows == 0))
-        return found or [(meta.num_rows, names, None, None, None, None, None, True)]
+            found.append((meta.num_rows, names, kinds, g, group.num_rows, size, low, high, ranged or group.num_rows == 0))
+        return found or [(meta.num_rows, names, kinds, None, None, None, None, None, True)]
 
     return _per_file(files, _FOOTERS, footer)

@@ -59,7 +59,7 @@ class ReadResult:
 
     def ordered(self) -> DataFrame:
         """The rows in request day order, then file order. A global sort, so only on demand."""
-        return self._with_place().sort(self._day_ordinal(), _FILE, _ROW).drop(_FILE, _ROW)
+        return self._with_place().sort(self._day_ordinal(), *file_order(_FILE), _ROW).drop(_FILE, _ROW)
 
     def ordered_gaps(self) -> DataFrame:
         return self.gaps.sort(self._day_ordinal(), "symbol")
@@ -88,6 +88,12 @@ def store_files(spark: SparkSession, root: str, streams: tuple[str, ...] = STREA
                         path.alias("path"), F.concat("root", F.lit("/"), top).alias("container"), "length")
 
 
+def file_order(path: str) -> tuple[Column, Column]:
+    """Sort keys that bring part files in the order of their numbers, whatever the numbers' width."""
+    number = F.regexp_extract(path, r"part-(\d+)[^/]*$", 1)
+    return F.when(number != "", number.cast("bigint")), F.col(path)
+
+
 def stored_days(spark: SparkSession, root: str) -> tuple[dt.date, ...]:
     """Days with files in all three streams, ascending; files of other shapes are passed over."""
     days = store_files(spark, root).filter("day is not null").groupBy("day") \
@@ -244,5 +250,13 @@ class RawStore:
                     symbols: frozenset[str] | None = None) -> DataFrame:
         """Named physical columns as text, untouched by fields, registry or decoding."""
         wanted = list(dict.fromkeys([*columns, SYMBOL_COL]))
+        files = store_files(self.spark, self.root, (stream,)).filter(F.col("day") == F.lit(day))
+        lacking = F.array_except(F.array(*map(F.lit, wanted)), "columns")
+        footers = read_footers(files.select("path")).groupBy("path").agg(F.first("columns").alias("columns")).select("path", lacking.alias("lacking"))
+        found = footers.agg(F.count(F.lit(1)).alias("files"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("lacking")))).alias("lacking")).first()
+        if not found["files"]:
+            raise FileNotFoundError(f"no file of {stream} for {day:%Y-%m-%d}")
+        if found["lacking"]:
+            raise ValueError(f"{stream} on {day:%Y-%m-%d} lacks columns: {', '.join(found['lacking'])}")
         rows = scan(self.spark, self.root, stream, [day], wanted)
         return keep_symbols(rows, symbols).select(*columns)

@@ -8,6 +8,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from tapelake.plans import queries
+from tapelake.plans.oracle import SQL
+from tapelake.plans.queries import QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -28,17 +31,24 @@ def rows(names, values):
 
 def test_names_agree():
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"read_statistics", "table_file_digests"}
+    assert set(QUERIES) == set(SQL) and set(QUERIES) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    df = contract.queries()[name](spark, SF_DIR)
+    check(duck, name, QUERIES[name](spark, SF_DIR))
+
+
+@pytest.mark.parametrize("parts", [7, 100])
+def test_place_does_not_depend_on_part_files(spark, duck, monkeypatch, parts):
+    whole = queries.event_store
+    monkeypatch.setattr(queries, "event_store", lambda s, d: whole(s, d, parts))
+    check(duck, "store_order", QUERIES["store_order"](spark, SF_DIR))
+
+
+def check(duck, name, df):
     got = rows(df.columns, [tuple(r) for r in df.collect()])
-    if name not in contract.oracle_sql():
-        assert got[1]
-        return
-    result = duck.execute(contract.oracle_sql()[name])
+    result = duck.execute(SQL[name])
     want = rows([d[0] for d in result.description], result.fetchall())
     assert got[0] == want[0]
     assert len(got[1]) == len(want[1])
