@@ -1,5 +1,52 @@
-"""DuckDB SQL that states the results of this subpackage's queries, where SQL can."""
+"""DuckDB SQL that states the results of this subpackage's queries, where SQL can. It compares words as texts, not hashes."""
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = r"'[^\x20\x09-\x0D]+'"
+_ALPHANUMERIC = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+SQL: dict[str, str] = {
+    "op1_ngram_join": f"""
+        WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_SPACED}) AS words FROM documents),
+        starts AS (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 5, 0) + 2)) AS i FROM docs WHERE len(words) > 0),
+        shingles AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle FROM starts),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y USING (shingle)
+                   WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+                  WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+        SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, least(doc_id, coalesce(min(b), doc_id)) AS component_id
+        FROM docs LEFT JOIN sizes USING (doc_id) LEFT JOIN reach ON a = doc_id GROUP BY doc_id""",
+    "op3_phrase_index": f"""
+        WITH docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_ALPHANUMERIC}) AS words FROM documents),
+        items AS (SELECT item_id, regexp_extract_all({_LOWER}, {_ALPHANUMERIC}) AS words FROM benchmark),
+        item_starts AS (SELECT item_id, words, unnest(range(1, greatest(len(words) - 10, 0) + 2)) AS i FROM items WHERE len(words) > 0),
+        windows AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, least(10, len(words)) AS k,
+                    array_to_string(words[i:i + 9], ' ') AS phrase FROM item_starts),
+        doc_starts AS (SELECT doc_id, words, k, unnest(range(1, len(words) - k + 2)) AS i
+                       FROM docs JOIN (SELECT DISTINCT k FROM windows) ON k <= len(words)),
+        found AS (SELECT doc_id, i, k, array_to_string(words[i:i + k - 1], ' ') AS phrase FROM doc_starts
+                  WHERE phrase IN (SELECT phrase FROM windows)),
+        hit_places AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS place FROM found),
+        hits AS (SELECT doc_id, count(*) AS n FROM hit_places GROUP BY doc_id),
+        named AS (SELECT DISTINCT doc_id, item FROM found JOIN windows USING (phrase)),
+        names AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS joined FROM named GROUP BY doc_id)
+        SELECT doc_id, len(words) AS n_words, coalesce(hits.n, 0) AS n_hit, coalesce(names.n, 0) AS n_items,
+               sha256(coalesce(joined, '')) AS items_sha256, hits.n IS NOT NULL AS contaminated
+        FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN names USING (doc_id)""",
+    "op10_suffix_automata": f"""
+        WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_SPACED}) AS words FROM documents),
+        starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM docs WHERE len(words) >= 50),
+        windows AS (SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS run FROM starts),
+        firsts AS (SELECT run, min(doc_id) AS first_doc FROM windows GROUP BY run),
+        covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS place
+                    FROM windows JOIN firsts USING (run) WHERE first_doc < doc_id),
+        places AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM docs),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS joined
+                 FROM places ANTI JOIN covered USING (doc_id, place) GROUP BY doc_id)
+        SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed,
+               sha256(coalesce(joined, '')) AS kept_sha256
+        FROM docs LEFT JOIN kept USING (doc_id)""",
+}
