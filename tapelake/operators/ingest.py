@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapelake.functions import archive_day, canonical_prefix, rollup_digest
-from tapelake.operators.ingest_rules import (dropped_by_prefix, file_facts, file_problems, in_universe, line_facts,
+from tapelake.operators.ingest_rules import (BLANK, dropped_by_prefix, file_facts, file_problems, in_universe, line_facts,
                                              path_problems, placed_files, quote_only, repeated_days, stream_receipts,
                                              symbol_streams)
 from tapelake.schema import MAIN_PREFIXES, ROW_GROUP_ROWS, STREAMS, SYMBOL_COL
@@ -184,8 +184,9 @@ def _ingest(spark: SparkSession, trees: dict[dt.date, str], root: str, prefixes:
         lines = tree_lines(spark, new)
         judged = files.filter(F.col("day").isin(list(new)))
         facts = _stored(file_facts(judged, line_facts(lines), prefixes), "facts")
-        headers = [r["h"] for r in facts.filter("header_ascii and length > 0")
-                   .select(F.col("header").cast("string").alias("h")).distinct().collect()]
+        # A blank first line is no header, and must not be sought among the blank lines of other files.
+        headers = [r["h"] for r in facts.filter("header_ascii and length > 0").select(F.col("header").cast("string").alias("h"))
+                   .filter(~F.col("h").rlike(BLANK)).distinct().collect()]
         problems = path_problems(judged, source.filter(F.col("day").isin(list(new))), prefixes).unionByName(file_problems(facts))
         if headers:               # an all-ASCII header is only told from the body by its text, which must then be unique
             again = lines.filter(F.col("line").isin(headers)).groupBy("day", "stream", "symbol").count().filter("count > 1")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tapelake.schema import EMPTY_FILE_STREAMS, MAIN_PREFIXES, SOURCE_SYMBOL_PATTERN, STREAMS
 from tapelake.sources.csv_tree import stream_of
 
-_BLANK = r"^[ \t\n\r\x0b\x0c]*$"
+BLANK = r"^[ \t\n\r\x0b\x0c]*$"
 
 
 def placed_files(files: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def file_problems(facts: DataFrame) -> DataFrame:
     """Empty, headerless, non-ASCII, quoted and ragged files, headers that drift, streams that are empty throughout."""
     c = F.col
     filled = c("length") > 0
-    headed = filled & ~c("header").cast("string").rlike(_BLANK)
+    headed = filled & ~c("header").cast("string").rlike(BLANK)
     header_lines = F.when(c("header_ascii"), 0).otherwise(1)
     quoted_header = F.when(c("header_ascii") & c("header").cast("string").contains('"'), 1).otherwise(0)
     detail = F.concat_ws(" ", "stream", "symbol")

@@ -17,166 +17,165 @@ from tapelake.sources.files import digest_problems
 from tapelake.sources.raw_store import RawStore
 from tapelake.sources.registry import parse_registry
 from tapelake.sources.run_log import RecordConflict, append_records, run_records
-from tests.conftest import DAY, HEADER, REGISTRY, csv_lines, write_tree
-
-
-def parts(root):
-    return sorted(p for p in root.rglob("part-*"))
-
-
-def streams(receipt):
-    return {s["stream"]: s for s in receipt["streams"]}
-
-
-def test_round_trip(spark, tmp_path, root):
-    tree = write_tree(tmp_path / "t", {"600000.SH": 3, "000001.SZ": 2, "300001.SZ": 4, "000002.SZ": 1, "000780.SZ": 5, "605222.SH": 4},
-                      only={"000780.SZ": ("xinqing",)}, empty={"605222.SH": ("xinqing",)}, eol="\r\n", tail="\r\n\r\n")
-    receipt = ingest(spark, DAY, str(tree), str(root)).first()
-    by = streams(receipt)
-    assert {s: (r["n_symbols"], r["n_rows_csv"], r["n_rows_parquet"]) for s, r in by.items()} == {
-        "orders": (4, 10, 10), "trades": (4, 10, 10), "xinqing": (4, 11, 11)}
-    assert receipt["dropped_by_prefix"] == {"300": 1} and receipt["quote_only_symbols"] == ["000780.SZ"]
-    assert receipt["empty_files"] == [["605222.SH", "xinqing"]] and receipt["quality"] == "self_consistent"
-    assert all(r["header"] == HEADER[s] for s, r in by.items())
-
-    frames = []                   # the content digest, recomputed from the bytes on disk
-    for symbol in ("000001.SZ", "000002.SZ", "600000.SH", "605222.SH"):
-        data = (tree / f"{DAY:%Y%m%d}" / symbol / CSV_NAME["trades"]).read_bytes()
-        body = data[data.index(b"\n") + 1:]
-        frame = b"".join(str(len(p)).encode() + b"\0" + p for p in (symbol.encode(), HEADER["trades"].encode(), body))
-        frames.append(f"{symbol}\0{hashlib.sha256(frame).hexdigest()}\n")
-    assert by["trades"]["sha256_csv"] == hashlib.sha256("".join(frames).encode()).hexdigest()
-
-    table = pq.read_table(root / "orders" / f"date={DAY:%Y%m%d}", partitioning=None)
-    assert table.column_names == [f"column_{i}" for i in range(1, 12)] + ["_symbol"]
-    assert table["_symbol"].to_pylist() == ["000001.SZ"] * 2 + ["000002.SZ"] + ["600000.SH"] * 3 + ["605222.SH"] * 4
-    assert table["column_4"].to_pylist()[3:6] == ["093000000", "093001000", "093002000"]
-    store = RawStore(spark, str(root), parse_registry(spark, REGISTRY))
-    got = store.read(ReadRequest("trades", (DAY,), ("code", "seq", "time_ms"), symbols=frozenset({"600000.SH", "000780.SZ"})))
-    assert [(r["code"], r["seq"], r["time_ms"]) for r in got.ordered().collect()] == [
-        ("\x00", 100, 34_200_000), ("\x00", 101, 34_201_000), ("\x00", 102, 34_202_000)]
-    assert [(g["reason"], g["symbol"]) for g in got.gaps.collect()] == [("symbol_absent", "000780.SZ")]
-    assert store.days("self_consistent") == (DAY,)
-
-    before = {p: p.stat().st_mtime_ns for p in root.rglob("*")}
-    assert ingest(spark, DAY, str(tree), str(root)).first() == receipt
-    assert {p: p.stat().st_mtime_ns for p in root.rglob("*")} == before
+from tests.conftest import PLAIN, REGISTRY, header, put_source, source_files
+
+ORDERS, TRADES, QUOTES = (CSV_NAME[s] for s in ("orders", "trades", "xinqing"))
+COUNTS = {"600519.SH": 5, "300750.SZ": 2, "000858.SZ": 3, "688981.SH": 1, "601318.SH": 6}
+
+
+def market_day(tmp_path):
+    """A day with dropped prefixes, a symbol with quotes only, a quote file without bytes, a NUL cell and two line ends."""
+    files = source_files(COUNTS | {"002415.SZ": 4})
+    del files["002415.SZ", ORDERS], files["002415.SZ", TRADES]
+    files["601318.SH", QUOTES] = b""
+    files["600519.SH", TRADES] = files["600519.SH", TRADES].replace(b",6002,", b",\x00,")
+    files["000858.SZ", ORDERS] = files["000858.SZ", ORDERS].replace(b"\n", b"\r\n") + b"\r\n\r\n"
+    return files, put_source(tmp_path / "source", files, PLAIN)
+
+
+def lines_of(files, name):
+    """What a stream's table must hold: cells and symbol of every line of the kept symbols, in symbol order."""
+    kept = sorted((s, data) for (s, n), data in files.items() if n == name and s[:3] not in ("300", "688"))
+    return [(*line.decode().split(","), s) for s, data in kept for line in data.split()[1:]]
+
+
+def published(root):
+    return sorted(p for p in root.rglob("part-*.parquet"))
+
+
+def test_tables_hold_the_lines(spark, tmp_path, market):
+    files, source = market_day(tmp_path)
+    receipt = ingest(spark, PLAIN, source, str(market)).first()
+    for s in receipt["streams"]:
+        want = lines_of(files, CSV_NAME[s["stream"]])
+        table = pq.read_table(market / s["stream"] / f"date={PLAIN:%Y%m%d}", partitioning=None)
+        assert list(zip(*table.to_pydict().values())) == want
+        assert table.column_names == [*(f"column_{i}" for i in range(1, table.num_columns)), "_symbol"]
+        assert s["n_rows_csv"] == s["n_rows_parquet"] == len(want) and s["n_symbols"] == len({r[-1] for r in want})
+        assert s["header"] == header(s["stream"]).decode("gbk")
+    assert receipt["dropped_by_prefix"] == {"300": 1, "688": 1} and receipt["quote_only_symbols"] == ["002415.SZ"]
+    assert receipt["empty_files"] == [["601318.SH", "xinqing"]] and receipt["quality"] == "self_consistent"
+    store = RawStore(spark, str(market), parse_registry(spark, REGISTRY))
+    got = store.read(ReadRequest("trades", (PLAIN,), ("code", "seq", "time_ms"), symbols=frozenset({"600519.SH", "002415.SZ"})))
+    assert [tuple(r)[2:] for r in got.ordered().collect()] == [
+        ("\x00" if k == 2 else str(6000 + k), 5000 + k, 50_400_000 + 1000 * k) for k in range(5)]
+    assert [g["symbol"] for g in got.gaps.collect()] == ["002415.SZ"] and store.days("self_consistent") == (PLAIN,)
+
+
+def test_content_digest_follows_from_the_bytes(spark, tmp_path, market):
+    files, source = market_day(tmp_path)
+    stated = {s["stream"]: s["sha256_csv"] for s in ingest(spark, PLAIN, source, str(market)).first()["streams"]}
+    total = hashlib.sha256()
+    for symbol in sorted({s for s, n in files if n == TRADES} - {"300750.SZ", "688981.SH"}):
+        head, _, body = files[symbol, TRADES].partition(b"\n")
+        one = hashlib.sha256()
+        for piece in (symbol.encode(), head.decode("gbk").encode(), body):
+            one.update(b"%d\0%s" % (len(piece), piece))
+        total.update(f"{symbol}\0{one.hexdigest()}\n".encode())
+    assert stated["trades"] == total.hexdigest()
+
+
+def test_a_day_is_bound_to_its_source(spark, tmp_path, market):
+    _, source = market_day(tmp_path)
+    receipt = ingest(spark, PLAIN, source, str(market)).first()
+    written = {p: p.stat().st_mtime_ns for p in market.rglob("*")}
+    assert ingest(spark, PLAIN, source, str(market)).first() == receipt
+    assert {p: p.stat().st_mtime_ns for p in market.rglob("*")} == written
     with pytest.raises(SourceError, match="prefixes"):
-        ingest(spark, DAY, str(tree), str(root), prefixes=("000", "300"))
+        ingest(spark, PLAIN, source, str(market), prefixes=("600",))
+    other = put_source(tmp_path / "other", source_files({"600519.SH": 4}), PLAIN)
     with pytest.raises(SourceError, match="another sha256"):
-        ingest(spark, DAY, str(write_tree(tmp_path / "u", {"000001.SZ": 1})), str(root))
-    twin = tmp_path / "twin"
-    ingest(spark, DAY, str(write_tree(tmp_path / "v", {"000001.SZ": 2, "000002.SZ": 1, "600000.SH": 3, "605222.SH": 4})), str(twin))
-    assert compare_stores(spark, str(root), str(twin), DAY, ("orders",)).first()["identical_modulo_null"]
-    (data,) = [p for p in parts(root) if "orders" in str(p) and p.suffix == ".parquet"]
-    data.write_bytes(data.read_bytes() + b"x")
+        ingest(spark, PLAIN, other, str(market))
+    ingest(spark, PLAIN, source, str(tmp_path / "again"))
+    assert all(r["identical_modulo_null"] for r in compare_stores(spark, str(market), str(tmp_path / "again"), PLAIN).collect())
+    with published(market)[0].open("ab") as file:
+        file.write(b"more")
     with pytest.raises(Exception):
-        ingest(spark, DAY, str(tree), str(root))
-
-
-def test_headers_only_flat_layout_and_row_groups(spark, tmp_path, root):
-    ingest(spark, DAY, str(write_tree(tmp_path / "t", {"000001.SZ": 0}, day=None)), str(root))
-    store = RawStore(spark, str(root), parse_registry(spark, REGISTRY))
-    got = store.read(ReadRequest("orders", (DAY,), ("oid", "price"), symbols=frozenset({"000001.SZ"})))
-    assert got.frame.count() == 0 and got.gaps.first()["reason"] == "symbol_absent" and store.days() == (DAY,)
-    day = dt.date(2022, 1, 5)
-    tree = write_tree(tmp_path / "u", {"000001.SZ": 1, "000002.SZ": 2})
-    lines = "\n".join([HEADER["orders"], *csv_lines("orders", "000001.SZ", ROW_GROUP_ROWS + 10)]) + "\n"
-    (tree / f"{DAY:%Y%m%d}" / "000001.SZ" / CSV_NAME["orders"]).write_bytes(lines.encode("gbk"))
-    (tree / f"{DAY:%Y%m%d}").rename(tree / f"{day:%Y%m%d}")
-    assert streams(ingest(spark, day, str(tree), str(root)).first())["orders"]["n_rows_parquet"] == ROW_GROUP_ROWS + 12
-    meta = [pq.read_metadata(p) for p in parts(root / "orders" / f"date={day:%Y%m%d}")]
-    assert [m.num_row_groups for m in meta] == [2] and meta[0].row_group(0).num_rows == ROW_GROUP_ROWS
-
-
-def breakage(tree, kind):
-    day = tree / f"{DAY:%Y%m%d}"
-    orders = day / "000001.SZ" / CSV_NAME["orders"]
-    data = orders.read_bytes()
-    if kind == "non-ascii":
-        orders.write_bytes(data + "000001.SZ,000001,20220104,093001000,,1,0,B,100000,100,乱\n".encode("gbk"))
-    elif kind == "quote":
-        orders.write_bytes(data + b'000001.SZ,000001,20220104,093001000,1,1,"0",B,1,1,\n')
-    elif kind == "ragged":
-        orders.write_bytes(data + b"000001.SZ,000001\n")
-    elif kind == "return":
-        orders.write_bytes(data + b"000001.SZ,000001,20220104,0930\r01000,1,1,0,B,1,1,\n")
-    elif kind == "blank":
-        orders.write_bytes(b"   ")
-    elif kind == "newline":
-        orders.write_bytes(b"\r\n")
-    elif kind == "empty orders":
-        orders.write_bytes(b"")
-    elif kind == "drift":
-        orders.write_bytes(data.replace("委托类型".encode("gbk"), "委托类别".encode("gbk")))
-    elif kind == "stray":
-        (day / "000001.SZ" / "readme.txt").write_bytes(b"x")
-    elif kind == "deep":
-        (day / "000001.SZ" / "more").mkdir()
-        (day / "000001.SZ" / "more" / CSV_NAME["orders"]).write_bytes(data)
-    elif kind == "folder":
-        (day / "000001.SZ").rename(day / "000BAD.SZ")
-    elif kind == "partial":
-        (day / "000001.SZ" / CSV_NAME["trades"]).unlink()
-    elif kind == "no quotes":
-        for s in ("000001.SZ", "000002.SZ"):
-            (day / s / CSV_NAME["xinqing"]).write_bytes(b"")
-    elif kind == "no orders":
-        for s in ("000001.SZ", "000002.SZ"):
-            (day / s / CSV_NAME["orders"]).unlink()
-            (day / s / CSV_NAME["trades"]).unlink()
-
-
-BROKEN = {"non-ascii": "not ASCII", "quote": "quote", "ragged": "field count", "return": "line break", "blank": "no header",
-          "newline": "no header", "empty orders": "empty file", "drift": "headers differ", "stray": "file name",
-          "deep": "unregistered path", "folder": "malformed symbol", "partial": "lacks a stream", "no quotes": "all files",
-          "no orders": "stream without any file"}
-
-
-def test_every_broken_shape_fails_and_leaves_nothing(spark, tmp_path, root):
-    """One batch of broken days and two good ones: each bad day names its rule, only the good ones are published."""
-    trees, expected = [], {}
-    for i, kind in enumerate(["good", *BROKEN, "good"]):
-        day = dt.date(2022, 3, 1) + dt.timedelta(days=i)
-        tree = write_tree(tmp_path / f"{day:%Y%m%d}.7z", {"000001.SZ": 2, "000002.SZ": 1})
-        breakage(tree, kind)
-        (tree / f"{DAY:%Y%m%d}").rename(tree / f"{day:%Y%m%d}")
-        trees.append(str(tree))
-        expected[day] = BROKEN.get(kind)
-    got = ingest_days(spark, trees, str(root), stop_on_error=False)
-    assert not got.ok
-    found = {r["day"]: (r["status"], r["error"]) for r in got.outcomes.collect()}
-    for day, rule in expected.items():
-        assert found[day][0] == ("failed" if rule else "ok"), (day, found[day])
-        assert rule is None or rule in found[day][1], (rule, found[day][1])
-    good = [d for d, rule in expected.items() if rule is None]
-    assert sorted(r["day"] for r in manifests(spark, str(root)).collect()) == good
-    assert {p.parent.name for p in parts(root) if p.suffix == ".parquet"} == {f"date={d:%Y%m%d}" for d in good}
-
-
-def test_batch_names_and_stopping(spark, tmp_path, root):
-    days = [dt.date(2022, 1, 4), dt.date(2022, 1, 5), dt.date(2022, 1, 6)]
-    trees = [str(write_tree(tmp_path / f"{d:%Y%m%d}.7z", {"000001.SZ": 1}, day=None)) for d in days]
-    odd = str(write_tree(tmp_path / "20220104(1).7z", {"000001.SZ": 1}, day=None))
-    (tmp_path / "20220105.7z" / "000001.SZ" / CSV_NAME["orders"]).write_bytes(b"")
-    got = ingest_days(spark, [*trees, odd], str(root))
-    assert [r["status"] for r in got.outcomes.sort("day").collect()] == ["ok", "failed"] and not got.ok
-    assert [r["source"] for r in got.skipped.collect()] == [odd]
-    assert [r["day"] for r in manifests(spark, str(root)).collect()] == days[:1]
-    with pytest.raises(ValueError, match="20220104"):
-        ingest_days(spark, [trees[0], str(write_tree(tmp_path / "other" / "20220104.7z", {"000001.SZ": 1}, day=None))], str(root))
-    assert ingest_days(spark, [trees[0]], str(root)).ok
-
-
-def test_ascii_header_is_told_from_the_body(spark, tmp_path, root):
-    tree = tmp_path / "t" / "000001.SZ"
-    tree.mkdir(parents=True)
-    for s, name in CSV_NAME.items():
-        (tree / name).write_bytes(b"a,b,c,d\n1,2,3,93000000\n5,6,7,93000001")
-    assert all(s["n_rows_parquet"] == 2 for s in ingest(spark, DAY, str(tree.parent), str(root)).first()["streams"])
-    (tree / CSV_NAME["orders"]).write_bytes(b"a,b,c,d\n1,2,3,93000000\na,b,c,d\n")
+        ingest(spark, PLAIN, source, str(market))
+
+
+def test_headers_alone_make_an_empty_day(spark, tmp_path, market):
+    ingest(spark, PLAIN, put_source(tmp_path / "flat", source_files({"600519.SH": 0})), str(market))
+    store = RawStore(spark, str(market), parse_registry(spark, REGISTRY))
+    got = store.read(ReadRequest("xinqing", (PLAIN,), ("last_price",), symbols=frozenset({"600519.SH"})))
+    assert got.frame.count() == 0 and [g["reason"] for g in got.gaps.collect()] == ["symbol_absent"] and store.days() == (PLAIN,)
+
+
+def test_row_groups_have_the_fixed_size(spark, tmp_path, market):
+    files = source_files({"600519.SH": 1, "601318.SH": 3})
+    first = files["600519.SH", TRADES].split(b"\n")
+    files["600519.SH", TRADES] = b"\n".join([first[0], *[first[1]] * (ROW_GROUP_ROWS + 500), b""])
+    ingest(spark, PLAIN, put_source(tmp_path / "s", files), str(market))
+    (footer,) = [pq.read_metadata(p) for p in published(market / "trades")]
+    assert [footer.row_group(g).num_rows for g in range(footer.num_row_groups)] == [ROW_GROUP_ROWS, 503]
+
+
+def changed(symbol, name, change):
+    return lambda files: files.update({(symbol, name): change(files[symbol, name])})
+
+
+def without(name, *symbols):
+    return lambda files: [files.pop((s, name)) for s in symbols]
+
+
+#: Rule named by the error, and what breaks it.
+BREAKS = [
+    ("not ASCII", changed("600519.SH", TRADES, lambda d: d + "600519.SH,价\n".encode("gbk"))),
+    ("quote", changed("000858.SZ", QUOTES, lambda d: d.replace(b",9001,", b',"9001",'))),
+    ("field count", changed("000858.SZ", ORDERS, lambda d: d.replace(b",9001,", b","))),
+    ("line break", changed("600519.SH", ORDERS, lambda d: d.replace(b",8001,", b",80\r01,"))),
+    ("no header", changed("000858.SZ", TRADES, lambda d: b" \t")),
+    ("no header", changed("000858.SZ", QUOTES, lambda d: b"\n\n")),
+    ("empty file", changed("600519.SH", TRADES, lambda d: b"")),
+    ("headers differ", changed("600519.SH", QUOTES, lambda d: d.replace("字段5,".encode("gbk"), "字段五,".encode("gbk")))),
+    ("file name", lambda files: files.update({("600519.SH", "orders.csv"): b"1"})),
+    ("unregistered path", lambda files: files.update({("600519.SH/old", ORDERS): files["600519.SH", ORDERS]})),
+    ("malformed symbol", lambda files: files.update({("60051.SH", n): files["600519.SH", n] for n in (ORDERS, TRADES, QUOTES)})),
+    ("lacks a stream", without(ORDERS, "000858.SZ")),
+    ("all files", lambda files: files.update({(s, QUOTES): b"" for s in ("600519.SH", "000858.SZ")})),
+    ("stream without any file", lambda files: [without(n, "600519.SH", "000858.SZ")(files) for n in (ORDERS, TRADES)]),
+]
+
+
+def test_bad_days_fail_alone_and_name_their_rule(spark, tmp_path, market):
+    days = [dt.date(2023, 6, 1) + dt.timedelta(days=i) for i in range(len(BREAKS) + 1)]
+    sources = []
+    for day, (_, spoil) in zip(days, [*BREAKS, ("", lambda files: None)]):
+        files = source_files({"600519.SH": 3, "000858.SZ": 2})
+        files["600519.SH", ORDERS] += b"\n\n\n"
+        spoil(files)
+        sources.append(put_source(tmp_path / f"{day:%Y%m%d}.7z", files, day))
+    got = ingest_days(spark, sources, str(market), stop_on_error=False)
+    outcomes = {r["day"]: r for r in got.outcomes.collect()}
+    assert not got.ok and outcomes[days[-1]]["status"] == "ok"
+    for day, (rule, _) in zip(days, BREAKS):
+        assert outcomes[day]["status"] == "failed" and rule in outcomes[day]["error"], (rule, outcomes[day])
+    assert [r["day"] for r in manifests(spark, str(market)).collect()] == days[-1:]
+    assert {p.parent.name for p in published(market)} == {f"date={days[-1]:%Y%m%d}"}
+
+
+def test_batches_stop_at_the_first_failure(spark, tmp_path, market):
+    good, bad, late = (source_files({"601318.SH": 1}) for _ in range(3))
+    bad["601318.SH", TRADES] = b""
+    sources = [put_source(tmp_path / name, files) for name, files in (
+        ("20230612.7z", good), ("20230613.7z", bad), ("20230614.7z", late), ("20230612 copy.7z", good))]
+    got = ingest_days(spark, sources, str(market))
+    assert {str(r["day"]): r["status"] for r in got.outcomes.collect()} == {"2023-06-12": "ok", "2023-06-13": "failed"}
+    assert not got.ok and [r["source"] for r in got.skipped.collect()] == sources[3:]
+    assert [str(r["day"]) for r in manifests(spark, str(market)).collect()] == ["2023-06-12"]
+    with pytest.raises(ValueError, match="20230612"):
+        ingest_days(spark, [sources[0], put_source(tmp_path / "b" / "20230612.7z", good)], str(market))
+    assert ingest_days(spark, sources[:1], str(market)).ok
+
+
+def test_ascii_header_is_told_from_the_body(spark, tmp_path, market):
+    def source(name, orders):
+        texts = {ORDERS: orders, TRADES: b"p,q\n3,4", QUOTES: b"p,q\n5,6"}
+        return put_source(tmp_path / name, {("600519.SH", n): data for n, data in texts.items()})
+    streams = ingest(spark, PLAIN, source("plain", b"p,q\n1,2"), str(market)).first()["streams"]
+    assert [s["n_rows_parquet"] for s in streams] == [1, 1, 1]
     with pytest.raises(SourceError, match="repeats the header"):
-        ingest(spark, DAY, str(tree.parent), str(tmp_path / "again"))
+        ingest(spark, PLAIN, source("twice", b"p,q\n1,2\np,q"), str(tmp_path / "again"))
 
 
 def test_file_digests_and_run_records(spark, tmp_path):
@@ -201,26 +200,25 @@ def test_file_digests_and_run_records(spark, tmp_path):
         append_records(records, log)
 
 
-def test_manifest_is_plain_json(spark, tmp_path, root):
-    ingest(spark, DAY, str(write_tree(tmp_path / "t", {"000001.SZ": 1})), str(root))
-    (file,) = [p for p in (root / "manifest").rglob("part-*.json")]
+def test_manifest_is_plain_json(spark, tmp_path, market):
+    ingest(spark, PLAIN, put_source(tmp_path / "s", source_files({"000858.SZ": 2})), str(market))
+    (file,) = (market / "manifest").rglob("part-*.json")
     data = json.loads(file.read_text())
-    assert data["quality"] == "self_consistent" and data["day"] == "2022-01-04" and len(data["streams"]) == 3
+    assert (data["day"], data["quality"]) == (str(PLAIN), "self_consistent")
+    assert {s["stream"]: s["n_rows_csv"] for s in data["streams"]} == {"orders": 2, "trades": 2, "xinqing": 2}
 
 
-def test_one_file_spreads_over_tasks_and_part_files(spark, tmp_path, root, monkeypatch):
-    """Small splits and small outputs: the lines of one symbol stay in source order over splits and part files."""
+def test_order_survives_splits_and_part_files(spark, tmp_path, market, monkeypatch):
     monkeypatch.setattr("tapelake.operators.ingest._BYTES_PER_TASK", 20_000)
-    tree = write_tree(tmp_path / "t", {"000001.SZ": 5, "000002.SZ": 900, "600000.SH": 7}, eol="\r\n")
+    files = source_files({"000858.SZ": 11, "600519.SH": 1200, "601318.SH": 3})
+    source = put_source(tmp_path / "s", {k: data.replace(b"\n", b"\r\n") for k, data in files.items()})
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
     try:
-        receipt = ingest(spark, DAY, str(tree), str(root)).first()
+        ingest(spark, PLAIN, source, str(market))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    assert {s["n_rows_parquet"] for s in receipt["streams"]} == {912}
-    assert len([p for p in parts(root / "orders") if p.suffix == ".parquet"]) > 1
-    store = RawStore(spark, str(root), parse_registry(spark, REGISTRY))
-    got = store.read(ReadRequest("orders", (DAY,), ("vol",))).ordered().collect()
-    assert [r["symbol"] for r in got] == ["000001.SZ"] * 5 + ["000002.SZ"] * 900 + ["600000.SH"] * 7
-    assert [r["vol"] for r in got] == [*range(100, 105), *range(100, 1000), *range(100, 107)]
+    assert len(published(market / "orders")) > 1
+    store = RawStore(spark, str(market), parse_registry(spark, REGISTRY))
+    got = store.read(ReadRequest("orders", (PLAIN,), ("vol",))).ordered().collect()
+    assert [(r["symbol"], r["vol"]) for r in got] == [(line[-1], int(line[9])) for line in lines_of(files, ORDERS)]
