@@ -1,34 +1,40 @@
 """Source trees into the raw store: judge, write sorted text, count again, record.
 
-All days of a batch go through the same few jobs. Nothing is written for a day that breaks a rule, and a day counts as
-done only with its manifest, which is written last; a job that dies in between is simply run again.
+All days of a batch go through the same few jobs. Nothing is written for a day that breaks a rule. Rows go to a staging
+folder, are counted there, and each sound day's folders are moved into the store. A day counts as done only with its
+manifest, which is written last; a job that dies in between is simply run again.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapelake.functions import archive_day, canonical_prefix, rollup_digest
+from tapelake.operators.typed_scan import short_times
 from tapelake.operators.ingest_rules import (BLANK, dropped_by_prefix, file_facts, file_problems, in_universe, line_facts,
                                              path_problems, placed_files, quote_only, repeated_days, stream_receipts,
                                              symbol_streams)
-from tapelake.schema import MAIN_PREFIXES, ROW_GROUP_ROWS, STREAMS, SYMBOL_COL
+from tapelake.schema import MAIN_PREFIXES, ROW_GROUP_ROWS, STREAMS, SYMBOL_COL, TIME_COL
 from tapelake.session import qualified, shared_dir, small_frame
 from tapelake.sources.csv_tree import SourceError, header_text, tree_files, tree_lines
-from tapelake.sources.files import list_files, read_footers, with_digests
-from tapelake.sources.raw_store import store_files
+from tapelake.sources.files import list_files, move_folder, read_footers, remove_folder, with_digests
+from tapelake.sources.raw_store import scan, store_files
 
 _BYTES_PER_TASK = 512 << 20
-_STREAM = ("stream string, n_symbols bigint, n_rows_csv bigint, n_rows_parquet bigint, header string, parquet_bytes bigint, "
-           "parquet_sha256 string, sha256_csv string")
-RECEIPT = (f"quality string, day date, source string, source_sha256 string, prefixes array<string>, "
-           f"streams array<struct<{_STREAM.replace(' string', ':string').replace(' bigint', ':bigint')}>>, "
-           "dropped_by_prefix map<string,bigint>, quote_only_symbols array<string>, empty_files array<array<string>>")
+RECEIPT = """
+quality string, day date, source string, source_sha256 string, prefixes array<string>,
+streams array<struct<stream:string, n_symbols:bigint, n_rows_csv:bigint, n_rows_parquet:bigint, n_short_times:bigint,
+                     header:string, parquet_bytes:bigint, parquet_sha256:string, sha256_csv:string>>,
+dropped_by_prefix map<string,bigint>, quote_only_symbols array<string>, empty_files array<array<string>>"""
+_STREAM = ("stream", "n_symbols", "n_rows_csv", "n_rows_parquet", "n_short_times", "header", "parquet_bytes", "parquet_sha256",
+           "sha256_csv")
 
 
 @dataclass(frozen=True)
@@ -79,6 +85,14 @@ def _output_digests(spark: SparkSession, root: str, days: list[dt.date]) -> Data
         rollup_digest(F.substring_index("path", "/", -1), "sha256").alias("parquet_sha256"))
 
 
+def _with_short_times(outputs: DataFrame, root: str, days: list[dt.date]) -> DataFrame:
+    """Add ``n_short_times``, which spares every later read its own look at the time column."""
+    spark = outputs.sparkSession
+    found = [short_times(scan(spark, root, s, days, [TIME_COL])).withColumn("stream", F.lit(s)) for s in STREAMS]
+    counts = reduce(DataFrame.unionByName, found).withColumnRenamed("n", "n_short_times")
+    return outputs.join(counts, ["day", "stream"], "left").fillna(0, ["n_short_times"])
+
+
 def _done_days(spark: SparkSession, root: str, sources: DataFrame, prefixes: tuple[str, ...]) -> dict[dt.date, str | None]:
     """Days with a manifest: null when source, prefixes and output still agree with it, else what does not."""
     days = [r["day"] for r in sources.select("day").collect()]
@@ -101,11 +115,28 @@ def _done_days(spark: SparkSession, root: str, sources: DataFrame, prefixes: tup
     return out
 
 
-def _data_lines(lines: DataFrame, ascii_headers: list[str]) -> DataFrame:
+def _header_lines(lines: DataFrame, ascii_headers: DataFrame, how: str) -> DataFrame:
+    """Lines that are (or with an anti join are not) the ASCII header of their own stream and day."""
+    return lines.join(ascii_headers, ["day", "stream", "line"], how)
+
+
+def _data_lines(lines: DataFrame, ascii_headers: DataFrame) -> DataFrame:
     """Lines below the header. A header with GBK characters is the one non-ASCII line its file may have."""
     line = F.col("line")
     keep = (F.octet_length(line) > 0) & F.is_valid_utf8(line) & (F.char_length(line) == F.octet_length(line))
-    return lines.filter(keep & ~line.isin(ascii_headers)) if ascii_headers else lines.filter(keep)
+    return _header_lines(lines.filter(keep), ascii_headers, "left_anti")
+
+
+def _ascii_headers(facts: DataFrame) -> DataFrame:
+    """(day, stream, line): the ASCII header of each stream that has just one, so at most three rows a day.
+
+    A blank first line is no header, and must not be sought among the blank lines of other files.
+    """
+    header = F.col("header").cast("string")
+    found = facts.filter("header_ascii and length > 0").filter(~header.rlike(BLANK)).groupBy("day", "stream") \
+        .agg(F.min(header).alias("line"), F.max(header).alias("last")).filter("line = last").drop("last")
+    rows = found.select("day", "stream", "line").collect()
+    return small_frame(facts.sparkSession, [tuple(r) for r in rows], "day date, stream string, line string")
 
 
 def sorted_rows(lines: DataFrame, width: int, parts: int) -> DataFrame:
@@ -127,7 +158,7 @@ def write_rows(rows: DataFrame, target: str) -> None:
 
 
 def _write_streams(lines: DataFrame, facts: DataFrame, root: str, days: list[dt.date], prefixes: tuple[str, ...],
-                   ascii_headers: list[str]) -> None:
+                   ascii_headers: DataFrame) -> None:
     spark = lines.sparkSession
     shapes = facts.filter(F.col("day").isin(days)).groupBy("stream", "day").agg(
         F.max("header_fields").alias("width"), F.sum("length").alias("bytes"), F.sum("n_rows").alias("n")).collect()
@@ -152,8 +183,7 @@ def _receipts(files: DataFrame, facts: DataFrame, outputs: DataFrame, sources: D
     digests = facts.filter("length > 0").groupBy("day", "stream").agg(rollup_digest("symbol", "sha256").alias("sha256_csv"))
     streams = stream_receipts(facts).withColumn("header", header_text(F.unhex("header_hex"))) \
         .join(outputs, ["day", "stream"]).join(digests, ["day", "stream"])
-    names = [part.split()[0] for part in _STREAM.split(", ")]
-    by_day = streams.groupBy("day").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("streams"))
+    by_day = streams.groupBy("day").agg(F.sort_array(F.collect_list(F.struct(*_STREAM))).alias("streams"))
     dropped = dropped_by_prefix(files, prefixes).groupBy("day").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("prefix", "symbols")))).alias("dropped_by_prefix"))
     quiet = quote_only(symbol_streams(files, prefixes)).groupBy("day") \
@@ -182,44 +212,60 @@ def _ingest(spark: SparkSession, trees: dict[dt.date, str], root: str, prefixes:
     new = {d: t for d, t in trees.items() if d not in done and d not in errors}
     if new:
         lines = tree_lines(spark, new)
-        judged = files.filter(F.col("day").isin(list(new)))
+        chosen = F.col("day").isin(list(new))
+        judged = files.filter(chosen)
         facts = _stored(file_facts(judged, line_facts(lines), prefixes), "facts")
-        # A blank first line is no header, and must not be sought among the blank lines of other files.
-        headers = [r["h"] for r in facts.filter("header_ascii and length > 0").select(F.col("header").cast("string").alias("h"))
-                   .filter(~F.col("h").rlike(BLANK)).distinct().collect()]
-        problems = path_problems(judged, source.filter(F.col("day").isin(list(new))), prefixes).unionByName(file_problems(facts))
-        if headers:               # an all-ASCII header is only told from the body by its text, which must then be unique
-            again = lines.filter(F.col("line").isin(headers)).groupBy("day", "stream", "symbol").count().filter("count > 1")
-            problems = problems.unionByName(again.select("day", F.lit("a line repeats the header").alias("problem"),
-                                                         F.concat_ws(" ", "stream", "symbol").alias("detail")))
+        headers = _ascii_headers(facts)
+        place = F.concat_ws(" ", "stream", "symbol").alias("detail")
+        # an all-ASCII header is only told from the body by its text, which must then be unique
+        again = _header_lines(lines, headers, "left_semi").groupBy("day", "stream", "symbol").count().filter("count > 1")
+        problems = path_problems(judged, source.filter(chosen), prefixes).unionByName(file_problems(facts)) \
+            .unionByName(facts.filter("length > 0 and header_text is null").select("day", F.lit("header is not GBK").alias("problem"), place)) \
+            .unionByName(again.select("day", F.lit("a line repeats the header").alias("problem"), place))
         first = problems.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("problem", "detail")).alias("e"))
         errors |= {r["day"]: f"{r['e']['problem']}: {r['e']['detail']} ({r['n']} in all)" for r in first.collect()}
+        wanted = [d for d in _attempted(trees, errors, stop_on_error) if d in new and d not in errors]
+        if wanted:
+            staging = f"{root.rstrip('/')}/_staging-{uuid.uuid4().hex}"
+            _write_streams(lines, facts, staging, wanted, prefixes, headers)
+            outputs = _stored(_with_short_times(_output_digests(spark, staging, wanted), staging, wanted), "outputs")
+            errors |= _miscounted(facts.filter(F.col("day").isin(wanted)), outputs)
+            good = [d for d in _attempted(trees, errors, stop_on_error) if d in wanted and d not in errors]
+            _publish(spark, staging, root, files, facts, outputs, sources, good, prefixes)
+    return [(d, trees[d], "failed" if d in errors else "ok", errors.get(d)) for d in _attempted(trees, errors, stop_on_error)]
+
+
+def _attempted(trees: dict[dt.date, str], errors: dict[dt.date, str], stop_on_error: bool) -> list[dt.date]:
+    """All days, or those up to the first failed one."""
+    days = list(trees)
+    failed = [i for i, d in enumerate(days) if d in errors]
+    return days[:failed[0] + 1] if failed and stop_on_error else days
+
+
+def _miscounted(facts: DataFrame, outputs: DataFrame) -> dict[dt.date, str]:
+    """Days whose written rows are not as many as their lines."""
+    counted = stream_receipts(facts).join(outputs, ["day", "stream"], "left") \
+        .filter(~F.col("n_rows_csv").eqNullSafe(F.col("n_rows_parquet")))
+    rows = counted.sort("day", "stream").select("day", "stream", "n_rows_csv", "n_rows_parquet").collect()
+    found: dict[dt.date, list[str]] = {}
+    for r in rows:
+        found.setdefault(r["day"], []).append(f"{r['stream']}: {r['n_rows_csv']} lines, {r['n_rows_parquet']} rows")
+    return {d: "; ".join(texts) for d, texts in found.items()}
+
 
-    outcomes, good = [], []
-    for day, tree in trees.items():
-        outcomes.append((day, tree, "failed" if day in errors else "ok", errors.get(day)))
-        if day not in errors and day not in done:
-            good.append(day)
-        if day in errors and stop_on_error:
-            break
+def _publish(spark: SparkSession, staging: str, root: str, files: DataFrame, facts: DataFrame, outputs: DataFrame,
+             sources: DataFrame, good: list[dt.date], prefixes: tuple[str, ...]) -> None:
+    """Move the good days' folders into the store, write their manifests last, and remove the staging folder."""
+    base = root.rstrip("/")
+    for day in good:
+        for stream in STREAMS:
+            move_folder(spark, f"{staging}/{stream}/date={day:%Y%m%d}", f"{base}/{stream}/date={day:%Y%m%d}")
     if good:
-        _publish(spark, root, files, facts, lines, sources, good, prefixes, headers)
-    return outcomes
-
-
-def _publish(spark: SparkSession, root: str, files: DataFrame, facts: DataFrame, lines: DataFrame, sources: DataFrame,
-             good: list[dt.date], prefixes: tuple[str, ...], headers: list[str]) -> None:
-    _write_streams(lines, facts, root, good, prefixes, headers)
-    chosen: Column = F.col("day").isin(good)
-    outputs = _stored(_output_digests(spark, root, good), "outputs")
-    counted = stream_receipts(facts.filter(chosen)).join(outputs, ["day", "stream"], "left")
-    wrong = counted.filter(~F.col("n_rows_csv").eqNullSafe(F.col("n_rows_parquet"))).limit(5).collect()
-    if wrong:
-        raise SourceError("; ".join(f"{r['day']:%Y-%m-%d} {r['stream']}: {r['n_rows_csv']} lines, {r['n_rows_parquet']} rows"
-                                    for r in wrong))
-    receipts = _receipts(files.filter(chosen), facts.filter(chosen), outputs, sources.filter(chosen), prefixes)
-    receipts.withColumn("date", F.date_format("day", "yyyyMMdd")).repartition("date").write.mode("overwrite") \
-        .option("partitionOverwriteMode", "dynamic").partitionBy("date").json(f"{root.rstrip('/')}/manifest")
+        chosen: Column = F.col("day").isin(good)
+        receipts = _receipts(files.filter(chosen), facts.filter(chosen), outputs, sources.filter(chosen), prefixes)
+        receipts.withColumn("date", F.date_format("day", "yyyyMMdd")).repartition("date").write.mode("overwrite") \
+            .option("partitionOverwriteMode", "dynamic").partitionBy("date").json(f"{base}/manifest")
+    remove_folder(spark, staging)
 
 
 def ingest(spark: SparkSession, day: dt.date, tree: str, root: str, prefixes: tuple[str, ...] = MAIN_PREFIXES) -> DataFrame:

@@ -70,18 +70,25 @@ def path_problems(placed: DataFrame, days: DataFrame, prefixes: tuple[str, ...]
 
 
 def line_facts(lines: DataFrame) -> DataFrame:
-    """Per file what its lines show, header included. Counts only, so it combines before its one small shuffle."""
+    """Per file what its lines show, header included. Counts only, so it combines before its one small shuffle.
+
+    A line's marks are worked out once, behind an explode that Catalyst does not merge: copied into every aggregate, they
+    outgrow what the JVM compiles.
+    """
     line = F.col("line")
     ascii_line = F.is_valid_utf8(line) & (F.char_length(line) == F.octet_length(line))
     commas = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(","), F.lit("")))
-    filled = F.octet_length(line) > 0
-    return lines.groupBy("day", "stream", "symbol").agg(
+    marks = F.struct((F.octet_length(line) > 0).alias("filled"), ascii_line.alias("plain"), line.contains('"').alias("quoted"),
+                     line.contains("\r").alias("returned"), (commas + 1).alias("fields"))
+    keys = ["day", "stream", "symbol"]
+    filled, plain, fields = F.col("m.filled"), F.col("m.plain"), F.col("m.fields")
+    return lines.select(*keys, F.explode_outer(F.array(marks)).alias("m")).groupBy(*keys).agg(
         F.count_if(filled).alias("n_lines"),
-        F.count_if(~ascii_line).alias("n_not_ascii"),
-        F.count_if(ascii_line & line.contains('"')).alias("n_quoted"),
-        F.count_if(ascii_line & line.contains("\r")).alias("n_return"),
-        F.min(F.when(filled & ascii_line, commas + 1)).alias("least_fields"),
-        F.max(F.when(filled & ascii_line, commas + 1)).alias("most_fields"))
+        F.count_if(~plain).alias("n_not_ascii"),
+        F.count_if(plain & F.col("m.quoted")).alias("n_quoted"),
+        F.count_if(plain & F.col("m.returned")).alias("n_return"),
+        F.min(F.when(filled & plain, fields)).alias("least_fields"),
+        F.max(F.when(filled & plain, fields)).alias("most_fields"))
 
 
 def file_facts(placed: DataFrame, facts: DataFrame, prefixes: tuple[str, ...] = MAIN_PREFIXES) -> DataFrame:
@@ -113,6 +120,7 @@ def file_problems(facts: DataFrame) -> DataFrame:
         "body is not ASCII": headed & (c("n_not_ascii") > header_lines),
         "body holds a quote": headed & (c("n_quoted") > quoted_header),
         "line break inside a line": headed & (c("n_return") > 0),
+        "no line was read": headed & (c("n_lines") == 0),
         "field count differs from the header": headed & (c("n_rows") > 0)
         & ((c("least_fields") < c("header_fields")) | (c("most_fields") > c("header_fields"))),
     })

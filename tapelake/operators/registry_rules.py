@@ -76,16 +76,20 @@ def chain_problems(rows: DataFrame) -> DataFrame:
     """(id, problem) for supersede chains that break, circle, or do not end in a live entry.
 
     Every entry's pointer is doubled per round, so chains of length n take log2(n) joins; entries that arrived leave
-    the rounds. Rounds are cut by checkpoints.
+    the rounds. Rounds are cut by checkpoints. Of entries with the same id the least by status and pointer counts; that
+    ids are repeated is a rule of its own.
     """
     spark = rows.sparkSession
-    nodes = rows.filter("id is not null").dropDuplicates(["id"]).select("id", "status", "superseded_by")
+    nodes = rows.filter("id is not null").groupBy("id").agg(F.min(F.struct("status", "superseded_by")).alias("e")).select("id", "e.*")
     target = nodes.select(F.col("id").alias("superseded_by"), F.col("status").alias("target_status"))
     hop_broken = F.col("superseded_by").isNotNull() & F.coalesce(F.col("target_status") == "rejected", F.lit(True))
     end = F.when(hop_broken, "supersede chain is broken") \
         .when(F.col("superseded_by").isNull() & ~F.col("status").isin(*LIVE), "supersede chain ends in no live entry") \
         .when(F.col("superseded_by").isNull(), "ok")
-    steps = nodes.join(target, "superseded_by", "left").select("id", "superseded_by", end.alias("end"))
+    # entries without a pointer have nothing to look up; met in one join they would be its one hot key
+    steps = nodes.filter("superseded_by is not null").join(target, "superseded_by", "left") \
+        .unionByName(nodes.filter("superseded_by is null").withColumn("target_status", F.lit(None).cast("string"))) \
+        .select("id", "superseded_by", end.alias("end"))
     chained = steps.filter("superseded_by is not null")
     if chained.isEmpty():
         return chained.select("id", F.lit("").alias("problem")).limit(0)
@@ -104,10 +108,10 @@ def chain_problems(rows: DataFrame) -> DataFrame:
         if reach > total:         # as many hops as there are entries: only a circle is left
             arrived = arrived.unionByName(open_rows.select("id", F.lit("supersede chain circles").alias("end")))
             break
-        doubled = hops.alias("a").join(hops.alias("b"), F.col("a.next") == F.col("b.at"), "left")
-        still = F.col("a.end").isNull()
-        hops = doubled.select(F.col("a.at"), F.when(still, F.col("b.next")).otherwise(F.col("a.next")).alias("next"),
-                              F.when(still, F.col("b.end")).otherwise(F.col("a.end")).alias("end")).checkpoint()
+        # hops that arrived stay as they are: their pointers, null or far from unique, take no part in the join
+        doubled = hops.filter("end is null").alias("a").join(hops.alias("b"), F.col("a.next") == F.col("b.at"), "left") \
+            .select(F.col("a.at"), F.col("b.next"), F.col("b.end"))
+        hops = hops.filter("end is not null").unionByName(doubled).checkpoint()
         reach *= 2
         left = open_rows.count()
     return arrived.filter("end <> 'ok'").select("id", F.col("end").alias("problem"))
@@ -158,6 +162,7 @@ def code_set_difference(declared: DataFrame, registry: DataFrame) -> DataFrame:
         live.join(codes, "code", "left_anti").withColumn("side", F.lit("registry only")))
 
 
+# The columns every observation batch must state.
 BATCH_FIELDS = ("file", "sha256", "scanner", "scanner_sha256", "input", "input_sha256", "scanned_at")
 
 

@@ -69,12 +69,9 @@ def short_times(raw: DataFrame, patched: Column | None = None) -> DataFrame:
     return rows.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
 
 
-def check_short_times(raw: DataFrame, request: ReadRequest, patched_days: list[dt.date]) -> None:
-    """Raise when a row this request decodes has a short time on a day that is not registered for it."""
-    if TIME_COL not in needed_columns(request):
-        return
-    patched = F.col("day").isin(patched_days) if patched_days else None
-    found = short_times(keep_symbols(raw, request.symbols), patched).sort("day").limit(5).collect()
+def check_short_times(counts: DataFrame, request: ReadRequest) -> None:
+    """Raise when ``counts`` (day, n) has a day with short times, of whatever symbol; registered days are not in it."""
+    found = counts.filter("n > 0").sort("day").collect()
     if found:
         days = ", ".join(f"{r['day']:%Y-%m-%d} ({r['n']} rows)" for r in found)
         raise UnregisteredShape(f"time_6digit is not registered for {request.stream} on {days}")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tapelake.operators.ingest import write_rows
 from tapelake.operators.registry_rules import DEFECT_CODES
 from tapelake.schema import CSV_NAME, STREAMS, SYMBOL_COL
-from tapelake.session import shared_dir
+from tapelake.session import qualified, shared_dir
+from tapelake.sources.files import write_lines
 
 WIDTH = {"orders": 11, "trades": 13, "xinqing": 67}
 
@@ -226,3 +227,34 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     strays = seen.withColumn("rel", sundry).filter("rel is not null").select(
         "day", "rel", F.lit(1).cast("bigint").alias("length"), F.lit("x").cast("binary").alias("header"))
     return files.unionByName(strays.distinct())
+
+
+def _tree_symbol() -> Column:
+    """Twenty symbols whatever the number of users, so that files grow with the data and not their number."""
+    u = F.col("user_id") % 20
+    number = F.lpad(u.cast("string"), 3, "0")
+    return F.concat(pick(PREFIXES, u % 10), number, F.when(u % 2 == 0, ".SZ").otherwise(".SH"))
+
+
+def source_trees(spark: SparkSession, sf_dir: str) -> list[str]:
+    """GBK trees of all events in the shared folder, one a day, ``YYYYMMDD.7z/YYYYMMDD/symbol/csv``; their paths by day.
+
+    Every symbol of a day has all three files, some with a header alone. On days of the month 3, 10, 17, 24 and 31 every
+    fiftieth event's line holds a quote.
+    """
+    root = qualified(spark, shared_dir(spark, "trees"))
+    e = table(spark, sf_dir, "events").select(
+        F.date_format("ts", "yyyyMMdd").alias("ymd"), stream_of_event().alias("stream"), _tree_symbol().alias("symbol"),
+        F.col("event_id").alias("place"), time_text().alias("t"), price_text().alias("p"), F.dayofmonth("ts").alias("d"))
+    spoilt = F.when((F.col("d") % 7 == 3) & (F.col("place") % 50 == 0), '"').otherwise("")
+    line = F.concat_ws(",", "symbol", F.lit("x"), "ymd", "t", "p", F.concat(F.col("place").cast("string"), spoilt))
+    every = F.array(*[F.struct(F.lit(s).alias("stream"), F.lit(f"万得代码,{s},日期,时间,价格,编号").alias("line")) for s in STREAMS])
+    heads = e.select("ymd", "symbol").distinct().select("ymd", "symbol", F.lit(-1).cast("bigint").alias("place"),
+                                                        F.explode(every).alias("s")).select("ymd", "symbol", "place", "s.*")
+    rows = e.select("ymd", "symbol", "place", "stream", line.alias("line")).unionByName(heads)
+    csv = pick(tuple(CSV_NAME[s] for s in STREAMS), F.array_position(F.array(*[F.lit(s) for s in STREAMS]), F.col("stream")) - 1)
+    path = F.concat_ws("/", F.lit(root), F.concat("ymd", F.lit(".7z")), "ymd", "symbol", csv)
+    written = write_lines(rows.select(path.alias("path"), "place", "line"))
+    tree = F.substring_index("path", "/", -4)
+    days = written.select(F.substring_index(tree, "/", 1).alias("tree")).distinct().collect()
+    return sorted(f"{root}/{r['tree']}" for r in days)

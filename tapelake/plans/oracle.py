@@ -70,6 +70,20 @@ files AS (
 kept AS (SELECT * FROM files WHERE substr(symbol, 1, 3) IN ({_MAIN})),
 by_symbol AS (SELECT day, symbol, count(DISTINCT stream) AS n, list_sort(list(DISTINCT stream)) AS streams FROM kept GROUP BY ALL)"""
 
+_TREES = f"""{_RAW},
+trees AS (
+  SELECT raw.* EXCLUDE (symbol), list_extract([{", ".join(f"'{p}'" for p in PREFIXES)}], CAST(user_id % 10 AS INTEGER) + 1)
+    || lpad(CAST(user_id % 20 AS VARCHAR), 3, '0') || CASE WHEN user_id % 2 = 0 THEN '.SZ' ELSE '.SH' END AS symbol,
+    strftime(d, '%Y%m%d') AS ymd, day(d) % 7 = 3 AND event_id % 50 = 0 AS spoilt,
+    CASE WHEN event_id % 16 < 10 THEN list_extract(['', ' ', chr(0), '1.2018e+006', '9007199254740993', '18446744073709551615',
+      ' 42 ', '-1.5e+02', '1d', '2151938037'], CAST(event_id % 16 AS INTEGER) + 1) ELSE CAST(price AS VARCHAR) END AS price_text,
+    CAST(h * 10000000 + (ms // 60000 % 60) * 100000 + ms % 60000 AS VARCHAR) AS clock FROM raw),
+kept AS (
+  SELECT *, symbol || ',x,' || ymd || ',' || lpad(clock, CASE WHEN h < 10 THEN 8 ELSE 9 END, '0') || ',' || price_text || ',' || event_id
+    || CASE WHEN spoilt THEN '"' ELSE '' END AS line FROM trees WHERE substr(symbol, 1, 3) IN ({_MAIN})),
+outcomes AS (SELECT t.day, t.ymd, count(DISTINCT k.stream || ' ' || k.symbol) AS n, min(k.stream || ' ' || k.symbol) AS place
+  FROM (SELECT DISTINCT day, ymd FROM trees) t LEFT JOIN kept k ON t.day = k.day AND k.spoilt GROUP BY t.day, t.ymd)"""
+
 _WAY = "event_id % 6"
 _SHORT_LEN = "CASE WHEN h < 10 THEN 5 ELSE 6 END"
 _LONG_LEN = "CASE WHEN h < 10 THEN 8 ELSE 9 END"
@@ -252,14 +266,36 @@ SQL: dict[str, str] = {
         UNION ALL SELECT day, 'all files of a stream are empty', stream FROM kept GROUP BY day, stream HAVING bool_and(emptied)""",
     "ingest_row_counts": f"""WITH {_LISTED} SELECT day, stream, count(*) AS n_rows_csv, count(*) AS n_rows_parquet FROM listed
         GROUP BY day, stream""",
+    "ingest_batch_outcomes": f"""WITH {_TREES}
+        SELECT day, ymd || '.7z' AS source, CASE WHEN n = 0 THEN 'ok' ELSE 'failed' END AS status,
+          CASE WHEN n > 0 THEN 'body holds a quote: ' || place || ' (' || n || ' in all)' END AS error FROM outcomes""",
+    "ingest_manifest": f"""WITH {_TREES},
+        heads AS (SELECT unnest([{_ALL}]) AS stream),
+        every AS (SELECT DISTINCT ymd, day, symbol, heads.stream FROM kept, heads),
+        bodies AS (SELECT day, stream, symbol, string_agg(line || chr(10), '' ORDER BY event_id) AS body, count(*) AS n
+          FROM kept GROUP BY ALL),
+        files AS (SELECT day, stream, symbol, '万得代码,' || stream || ',日期,时间,价格,编号' AS header, coalesce(body, '') AS body,
+          coalesce(n, 0) AS n FROM every LEFT JOIN bodies USING (day, stream, symbol)),
+        digests AS (SELECT *, sha256(strlen(symbol) || chr(0) || symbol || strlen(header) || chr(0) || header
+          || strlen(body) || chr(0) || body) AS digest FROM files)
+        SELECT day, 'self_consistent' AS quality, (SELECT count(DISTINCT symbol) FROM trees t WHERE t.day = digests.day
+            AND substr(t.symbol, 1, 3) NOT IN ({_MAIN})) AS n_dropped, stream, count(*) AS n_symbols, CAST(sum(digests.n) AS BIGINT) AS n_rows_csv,
+          CAST(sum(digests.n) AS BIGINT) AS n_rows_parquet, CAST(0 AS BIGINT) AS n_short_times, min(header) AS header,
+          sha256(string_agg(symbol || chr(0) || digest || chr(10), '' ORDER BY symbol)) AS sha256_csv
+        FROM digests JOIN outcomes USING (day) WHERE outcomes.n = 0 GROUP BY day, stream""",
+    "ingest_read_back": f"""WITH {_TREES} SELECT day, symbol, stream, ms AS time_ms,
+        CASE stream WHEN 'orders' THEN event_id ELSE price END AS value FROM kept JOIN outcomes USING (day) WHERE n = 0""",
     "archive_days": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders",
     "archive_repeated_days": """SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS n, min(strftime(o_orderdate, '%Y%m%d')) || '.7z'
         AS first, max(strftime(o_orderdate, '%Y%m%d')) || '.7z' AS last FROM orders WHERE o_orderkey % 5 = 0
         GROUP BY day HAVING count(*) > 1""",
     "canonical_digests": """SELECT doc_id, sha256(strlen(lang) || chr(0) || lang || strlen(source) || chr(0) || source
         || strlen(text) || chr(0) || text) AS digest FROM documents""",
-    "digest_rollup": f"""WITH {_RAW}, e AS (SELECT day, stream, symbol,
-          sha256(count(*) || '|' || min(event_id) || '|' || max(event_id)) AS digest FROM raw GROUP BY ALL)
+    "digest_rollup": f"""WITH {_RAW}, b AS (SELECT day, stream, symbol, event_id // 4096 AS block,
+          sha256(string_agg(symbol || '|' || event_id || '|' || coalesce(CAST(vol AS VARCHAR), '') || '|' || user_id || '|' || event_id % 1000
+          || chr(10), '' ORDER BY event_id)) AS digest FROM raw GROUP BY ALL),
+        e AS (SELECT day, stream, symbol, sha256(string_agg(lpad(CAST(block AS VARCHAR), 20, '0') || chr(0) || digest || chr(10), ''
+          ORDER BY block)) AS digest FROM b GROUP BY ALL)
         SELECT day, stream, sha256(string_agg(symbol || chr(0) || digest || chr(10), '' ORDER BY symbol)) AS digest FROM e GROUP BY day, stream""",
     "run_record_ids": f"""WITH {_RAW}, b AS (SELECT '{{"day":"' || day || '","first":' || min(event_id) || ',"n":' || count(*)
           || ',"stream":"' || stream || '"}}' AS body FROM raw GROUP BY day, stream)

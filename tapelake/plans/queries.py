@@ -9,15 +9,16 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelake.functions import archive_day, canonical_frame, rollup_digest, to_int64
+from tapelake.functions import archive_day, canonical_frame, to_int64
 from tapelake.operators import audit, registry_lookup, registry_rules
-from tapelake.operators.ingest import sorted_rows, write_rows
+from tapelake.operators.content_digest import content_digests
+from tapelake.operators.ingest import ingest_days, manifests, sorted_rows, write_rows
 from tapelake.operators.ingest_rules import (dropped_by_prefix, file_facts, file_problems, line_facts, path_problems,
                                              placed_files, quote_only, repeated_days, stream_receipts, symbol_streams)
 from tapelake.operators.row_groups import file_facts as footer_facts
 from tapelake.operators.typed_scan import short_times, typed_rows
 from tapelake.plans.encode import (chained_registry, event_store, faulty_registry, later_registry, odd_time_text, part_registry,
-                                   pick, raw_rows, source_files, source_lines, symbol_of, table)
+                                   pick, raw_rows, source_files, source_lines, source_trees, symbol_of, table)
 from tapelake.schema import CONTINUOUS_EXCL_AUCTIONS, FIELDS, STREAMS, SYMBOL_COL, ReadRequest
 from tapelake.session import prepare, shared_dir
 from tapelake.sources.files import read_footers
@@ -397,6 +398,40 @@ def ingest_row_counts(spark, sf_dir):
     return _text_day(counted.join(written, ["day", "stream"], "full_outer"))
 
 
+def _ingested(spark, sf_dir):
+    """A store and the outcomes of ingesting the trees of all days into it."""
+    root = shared_dir(spark, "ingested")
+    return root, ingest_days(spark, source_trees(spark, sf_dir), root, stop_on_error=False).outcomes
+
+
+@query
+def ingest_batch_outcomes(spark, sf_dir):
+    """GBK trees of all events, ingested: each day's outcome; days with a faulty line fail alone."""
+    _, outcomes = _ingested(spark, sf_dir)
+    return _text_day(outcomes).withColumn("source", F.substring_index("source", "/", -1))
+
+
+@query
+def ingest_manifest(spark, sf_dir):
+    """What the manifests of those days say of each stream."""
+    root, _ = _ingested(spark, sf_dir)
+    told = manifests(spark, root).select("day", "quality", "dropped_by_prefix", F.explode("streams").alias("s"))
+    return _text_day(told).select("day", "quality", F.aggregate(F.map_values("dropped_by_prefix"), F.lit(0).cast("bigint"), lambda a, n: a + n)
+                                  .alias("n_dropped"), "s.stream", "s.n_symbols", "s.n_rows_csv", "s.n_rows_parquet",
+                                  "s.n_short_times", "s.header", "s.sha256_csv")
+
+
+@query
+def ingest_read_back(spark, sf_dir):
+    """All rows of the three streams of the published days, read and decoded."""
+    root, _ = _ingested(spark, sf_dir)
+    store = RawStore(spark, root, parse_registry(spark, STORE_REGISTRY))
+    fields = {"orders": "oid", "trades": "seq", "xinqing": "last_price"}
+    rows = [store.read(ReadRequest(s, store.days("self_consistent"), ("time_ms", f))).frame.withColumnRenamed(f, "value")
+            .withColumn("stream", F.lit(s)) for s, f in fields.items()]
+    return _text_day(reduce(DataFrame.unionByName, rows))
+
+
 def _archives(spark, sf_dir):
     k, date = F.col("o_orderkey") % 5, F.date_format("o_orderdate", "yyyyMMdd")
     name = F.when(k == 0, F.concat(date, F.lit(".7z"))).when(k == 1, F.concat(date, F.lit("(1).7z"))) \
@@ -427,11 +462,11 @@ def canonical_digests(spark, sf_dir):
 
 @query
 def digest_rollup(spark, sf_dir):
-    """One digest per day and stream over a digest per symbol."""
+    """One digest per day and stream over a digest per symbol, each over blocks of that symbol's rows."""
     raw = raw_rows(spark, sf_dir)
-    facts = raw.groupBy("day", "stream", SYMBOL_COL).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("a"), F.max("pos").alias("z"))
-    each = facts.withColumn("digest", F.sha2(F.concat_ws("|", "n", "a", "z"), 256))
-    return _text_day(each.groupBy("day", "stream").agg(rollup_digest(SYMBOL_COL, "digest").alias("digest")))
+    line = F.concat_ws("|", SYMBOL_COL, F.col("pos").cast("string"), F.coalesce("column_10", F.lit("")), "column_11", "column_12")
+    return _text_day(content_digests(raw.select("day", "stream", F.col(SYMBOL_COL).alias("name"), "pos", line.alias("line")),
+                                     ["day", "stream"], "pos"))
 
 
 def _records(spark, sf_dir):

@@ -42,21 +42,20 @@ def tree_lines(spark: SparkSession, trees: dict[dt.date, str]) -> DataFrame:
     """(day, stream, symbol, block, seq, line) of the trees, headers included.
 
     ``block`` and ``seq`` give the order inside a file: where the split begins, and a number that grows within it.
-    One tree may have any name; of several, each is named after its day.
+    The day comes from the tree a file lies in, whatever the names and the number of trees; files deeper or higher in a
+    tree than the two legal places yield no lines.
     """
+    homes = [(f"{root}{below}", d) for d, t in trees.items() for root in [qualified(spark, t).rstrip("/")]
+             for below in ("", f"/{d:%Y%m%d}")]
     text = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(list(trees.values()))
-    path = F.col("_metadata.file_path")
-    folder = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
-    if len(trees) == 1:
-        day = F.lit(next(iter(trees)))
-    else:                         # .../YYYYMMDD.7z/symbol/csv or .../YYYYMMDD/symbol/csv
-        number = F.substring(F.substring_index(path, "/", -3), 1, 8).try_cast("int")
-        text = text.filter(number.isin([int(f"{d:%Y%m%d}") for d in trees]))
-        div = lambda c, n: F.call_function("div", c, F.lit(n)).cast("int")
-        day = F.make_date(div(number, 10_000), div(number % 10_000, 100), number % 100)
-    return text.select(day.alias("day"), stream_of(F.col("_metadata.file_name")).alias("stream"), folder.alias("symbol"),
-                       F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"),
-                       without_return("value").alias("line"))
+    place = F.substring_index(F.col("_metadata.file_path"), "/", -2)
+    home = F.col("_metadata.file_path").substr(F.lit(1), F.length(F.col("_metadata.file_path")) - F.length(place) - 1)
+    lines = text.select(home.alias("home"), stream_of(F.col("_metadata.file_name")).alias("stream"),
+                        F.substring_index(place, "/", 1).alias("symbol"), F.col("_metadata.file_block_start").alias("block"),
+                        F.monotonically_increasing_id().alias("seq"), without_return("value").alias("line"))
+    # two rows a tree: a local relation whose size Catalyst knows
+    return lines.join(small_frame(spark, homes, "home string, day date"), "home") \
+        .select("day", "stream", "symbol", "block", "seq", "line")
 
 
 def without_return(line: str) -> Column:
@@ -66,9 +65,15 @@ def without_return(line: str) -> Column:
 
 
 def header_text(header: Column | str) -> Column:
-    """Header bytes as text. Only ever applied to tables with one row per file."""
+    """Header bytes as text, null where they are no GBK. Only ever applied to tables with one row per file."""
+
+    def text(value: bytes | None) -> str | None:
+        try:
+            return None if value is None else bytes(value).decode("gbk")
+        except UnicodeDecodeError:
+            return None
 
     def decode(values: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else bytes(v).decode("gbk", "replace") for v in values], dtype=object)
+        return pd.Series([text(v) for v in values], dtype=object)
 
     return F.pandas_udf(decode, "string")(header)

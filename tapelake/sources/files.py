@@ -144,3 +144,51 @@ def read_footers(files: DataFrame) -> DataFrame:
         return found or [(meta.num_rows, names, kinds, None, None, None, None, None, True)]
 
     return _per_file(files, _FOOTERS, footer)
+
+
+def write_lines(lines: DataFrame) -> DataFrame:
+    """Write rows (path, place, line) as files of lines in ``place`` order, GBK with a line feed each; (path, lines) written.
+
+    A file belongs to one task, which streams it; a task that runs again writes its files anew. Runs when acted upon.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, handle, counts = None, None, {}
+        for batch in batches:
+            for path, line in zip(batch.column("path").to_pylist(), batch.column("line").to_pylist(), strict=True):
+                if path != at:
+                    if handle:
+                        handle.close()
+                    file_system, name = _file_system(path)
+                    file_system.create_dir(name.rsplit("/", 1)[0], recursive=True)
+                    at, handle, counts[path] = path, file_system.open_output_stream(name), 0
+                handle.write(line.encode("gbk") + b"\n")
+                counts[path] += 1
+        if handle:
+            handle.close()
+        yield pa.RecordBatch.from_pydict({"path": list(counts), "lines": list(counts.values())},
+                                         schema=pa.schema([("path", pa.string()), ("lines", pa.int64())]))
+
+    ordered = lines.select("path", "place", "line").repartition("path").sortWithinPartitions("path", "place")
+    return ordered.mapInArrow(run, "path string, lines bigint")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def move_folder(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder, in place of whatever ``target`` holds: a change of names, as Spark's own committers make."""
+    file_system, old = _hadoop(spark, source)
+    _, new = _hadoop(spark, target)
+    file_system.delete(new, True)
+    file_system.mkdirs(new.getParent())
+    if not file_system.rename(old, new):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    file_system, target = _hadoop(spark, path)
+    file_system.delete(target, True)

@@ -16,8 +16,8 @@ from tapelake.functions.names import MANIFEST_FILE
 from tapelake.operators.gaps import attribute_gaps
 from tapelake.operators.registry_lookup import requested_patches
 from tapelake.operators.row_groups import read_stats
-from tapelake.operators.typed_scan import check_short_times, keep_symbols, needed_columns, typed_rows
-from tapelake.schema import QUALITIES, STREAMS, SYMBOL_COL, ReadRequest
+from tapelake.operators.typed_scan import check_short_times, keep_symbols, needed_columns, short_times, typed_rows
+from tapelake.schema import QUALITIES, STREAMS, SYMBOL_COL, TIME_COL, ReadRequest
 from tapelake.session import prepare, qualified, small_frame
 from tapelake.sources.files import list_files, read_footers
 from tapelake.sources.registry import HANDLED_PATCHES, Registry
@@ -232,7 +232,9 @@ class RawStore:
         footers = self._footers(request.stream, request.days, columns)
         raw = scan_containers(self.spark, containers, columns)
         patched = sorted(patches.get("time_6digit", []))
-        check_short_times(raw, request, patched)
+        if TIME_COL in columns:
+            check_short_times(self._short_times(request.stream, {d: c for d, c in found.items() if d not in patched}), request)
+
         def with_place() -> DataFrame:
             placed = scan_containers(self.spark, containers, columns, place=True)
             return typed_rows(placed, request, patched, keep=(_FILE, _ROW))
@@ -246,6 +248,17 @@ class RawStore:
         gaps = attribute_gaps(request.stream, request.days, file_days, self.registry.entries, symbols, present)
         return ReadResult(typed_rows(raw, request, patched), gaps, footers, request, with_place)
 
+    def _short_times(self, stream: str, found: dict[dt.date, list[str]]) -> DataFrame:
+        """(day, n) over whole days: as their manifests state it, else counted from the time column."""
+        value = F.try_variant_get(F.try_parse_json("text"), "$.streams", "array<struct<stream:string,n_short_times:bigint>>")
+        of_stream = F.filter("streams", lambda s: (s["stream"] == stream) & s["n_short_times"].isNotNull())
+        stated = self.manifests().filter(F.col("day").isin(list(found))).select("day", value.alias("streams")) \
+            .select("day", F.get(of_stream, F.lit(0))["n_short_times"].alias("n")).filter("n is not null")
+        known = {r["day"]: r["n"] for r in stated.collect()}
+        rest = [c for d, containers in found.items() if d not in known for c in containers]
+        counts = small_frame(self.spark, list(known.items()), "day date, n bigint")
+        return counts.unionByName(short_times(scan_containers(self.spark, rest, [TIME_COL]))) if rest else counts
+
     def inspect_raw(self, stream: str, day: dt.date, columns: tuple[str, ...],
                     symbols: frozenset[str] | None = None) -> DataFrame:
         """Named physical columns as text, untouched by fields, registry or decoding."""
