@@ -17,8 +17,12 @@ BLANK = r"^[ \t\n\r\x0b\x0c]*$"
 
 
 def placed_files(files: DataFrame) -> DataFrame:
-    """Split ``rel`` into symbol and stream; ``problem`` says what is wrong with a path, null when nothing is."""
-    parts = F.split("rel", "/")
+    """Split ``rel`` into symbol and stream; ``problem`` says what is wrong with a path, null when nothing is.
+
+    A path's parts and its place are each worked out once: filters on them stop at the explodes.
+    """
+    split = files.select("*", F.explode_outer(F.array(F.split("rel", "/"))).alias("parts"))
+    parts = F.col("parts")
     nested = (F.size(parts) == 3) & (parts[0] == F.date_format("day", "yyyyMMdd"))
     flat = F.size(parts) == 2
     # indices are only looked at for the two legal depths
@@ -27,7 +31,9 @@ def placed_files(files: DataFrame) -> DataFrame:
     problem = F.when(~(nested | flat), "unregistered path") \
         .when(stream.isNull(), "unregistered file name") \
         .when(~symbol.rlike(SOURCE_SYMBOL_PATTERN), "malformed symbol folder")
-    return files.withColumns({"symbol": symbol, "stream": stream, "problem": problem})
+    place = F.struct(symbol.alias("symbol"), stream.alias("stream"), problem.alias("problem"))
+    placed = split.select(*files.columns, F.explode(F.array(place)).alias("place"))
+    return placed.select(*files.columns, "place.symbol", "place.stream", "place.problem")
 
 
 def in_universe(prefixes: tuple[str, ...]) -> Column:
@@ -72,21 +78,19 @@ def path_problems(placed: DataFrame, days: DataFrame, prefixes: tuple[str, ...]
 def line_facts(lines: DataFrame) -> DataFrame:
     """Per file what its lines show, header included. Counts only, so it combines before its one small shuffle.
 
-    A line's marks are worked out once, behind an explode that Catalyst does not merge: copied into every aggregate, they
-    outgrow what the JVM compiles.
+    The line sits behind an explode, which Catalyst does not merge: copied into every aggregate, whatever makes the line
+    outgrows what the JVM compiles.
     """
-    line = F.col("line")
-    ascii_line = F.is_valid_utf8(line) & (F.char_length(line) == F.octet_length(line))
-    commas = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(","), F.lit("")))
-    marks = F.struct((F.octet_length(line) > 0).alias("filled"), ascii_line.alias("plain"), line.contains('"').alias("quoted"),
-                     line.contains("\r").alias("returned"), (commas + 1).alias("fields"))
     keys = ["day", "stream", "symbol"]
-    filled, plain, fields = F.col("m.filled"), F.col("m.plain"), F.col("m.fields")
-    return lines.select(*keys, F.explode_outer(F.array(marks)).alias("m")).groupBy(*keys).agg(
+    line = F.col("line")
+    plain = F.is_valid_utf8(line) & (F.char_length(line) == F.octet_length(line))
+    fields = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(","), F.lit(""))) + 1
+    filled = F.octet_length(line) > 0
+    return lines.select(*keys, F.explode_outer(F.array("line")).alias("line")).groupBy(*keys).agg(
         F.count_if(filled).alias("n_lines"),
         F.count_if(~plain).alias("n_not_ascii"),
-        F.count_if(plain & F.col("m.quoted")).alias("n_quoted"),
-        F.count_if(plain & F.col("m.returned")).alias("n_return"),
+        F.count_if(plain & line.contains('"')).alias("n_quoted"),
+        F.count_if(plain & line.contains("\r")).alias("n_return"),
         F.min(F.when(filled & plain, fields)).alias("least_fields"),
         F.max(F.when(filled & plain, fields)).alias("most_fields"))
 

@@ -23,14 +23,18 @@ def day_scoped(entries: DataFrame) -> DataFrame:
 def entries_for(keys: DataFrame, entries: DataFrame) -> DataFrame:
     """All active entries for each (day, stream), structural ones included; ``pos`` gives registry order.
 
-    Both parts are equi-joins, so nothing depends on the registry being small.
+    Both parts are equi-joins, so nothing depends on the registry being small. There are only three streams to join the
+    structural entries on, so they are dealt over slices by their id and the few keys repeated for each slice.
     """
+    slices = 32
     scoped = day_scoped(entries).withColumn("structural", F.lit(False))
     always = _active(entries).filter(F.size("days") == 0) \
-        .select("stream", "pos", "id", "code", "read_layer_action", F.lit(True).alias("structural"))
+        .select("stream", "pos", "id", "code", "read_layer_action", F.lit(True).alias("structural"),
+                F.pmod(F.xxhash64("pos", "id"), F.lit(slices)).alias("slice"))
+    spread = keys.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint"))))
     names = ["day", "stream", "pos", "id", "code", "read_layer_action", "structural"]
     return keys.join(scoped, ["day", "stream"]).select(*names).unionByName(
-        keys.join(always, "stream").select(*names))
+        spread.join(always, ["stream", "slice"]).select(*names))
 
 
 def patches_for(keys: DataFrame, entries: DataFrame) -> DataFrame:

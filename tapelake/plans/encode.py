@@ -148,17 +148,33 @@ def chained_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                pointer.alias("superseded_by"))
 
 
+def earlier_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same entries, some of them with a decision or a successor."""
+    k = F.col("pos")
+    return part_registry(spark, sf_dir).withColumns({
+        "decision_ref": F.when(k % 4 == 1, F.lit("docs/first.md")), "decision_sha256": F.when(k % 4 == 1, F.sha2("id", 256)),
+        "superseded_by": F.when(k % 4 == 2, F.lit("P1"))})
+
+
 def later_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A later snapshot: entries deleted, added and changed, lawfully and not."""
+    """A later snapshot: entries deleted, added and changed, lawfully and not, each column in some of them."""
     k = F.col("pos")
-    old = part_registry(spark, sf_dir)
+    old = earlier_registry(spark, sf_dir)
     changed = old.filter(k % 61 != 1).withColumns({
         "status": F.when(k % 7 == 0, pick(("superseded", "active", "rejected", "pending", "superseded"), k % 5)).otherwise(F.col("status")),
         "note": F.when(k % 59 == 2, F.lit("another story")).otherwise(F.col("note")),
         "stream": F.when(k % 53 == 3, F.lit(None)).otherwise(F.col("stream")),
         "days": F.when(k % 47 == 4, F.array(F.lit("2024-03-01"))).when(k % 43 == 5, F.array_append("days", F.lit("2024-03-01")))
         .otherwise(F.col("days")),
-        "decision_ref": F.when(k % 41 == 6, F.lit("docs/d.md"))})
+        "decision_ref": F.when(k % 41 == 6, F.lit("docs/d.md")).otherwise(F.col("decision_ref")),
+        "decision_sha256": F.when(k % 43 == 7, F.lit("f" * 64)).otherwise(F.col("decision_sha256")),
+        "superseded_by": F.when(k % 47 == 9, F.lit("P2")).otherwise(F.col("superseded_by")),
+        "code": F.when(k % 67 == 1, F.lit("no_such_code")).otherwise(F.col("code")),
+        "kind": F.when(k % 71 == 2, F.lit("shape")).otherwise(F.col("kind")),
+        "created_at": F.when(k % 73 == 3, F.lit("2024-01-02")).otherwise(F.col("created_at")),
+        "evidence": F.when(k % 79 == 4, F.lit("elsewhere")).otherwise(F.col("evidence")),
+        "evidence_sha256": F.when(k % 83 == 5, F.lit("0" * 64)).otherwise(F.col("evidence_sha256")),
+        "read_layer_action": F.when(k % 89 == 8, F.lit("other")).otherwise(F.col("read_layer_action"))})
     fresh = old.filter(k % 37 == 0).withColumn("id", F.concat(F.lit("N"), k))
     return changed.unionByName(fresh)
 
@@ -200,7 +216,9 @@ def source_lines(spark: SparkSession, sf_dir: str, faults: bool = True) -> DataF
     """The lines of one CSV per day, symbol and stream: a header, one line per event, blank lines, some faulty lines."""
     e = _listed_events(spark, sf_dir)
     e = e.filter(~_emptied()) if faults else e
-    fields = F.concat_ws(",", "symbol", F.lit("x"), "t", "p", F.col("seq").cast("string"), F.lit(""))
+    whole = F.concat_ws(",", "symbol", F.lit("x"), "t", "p", F.col("seq").cast("string"), F.lit(""))
+    e = e.withColumn("fields", F.explode(F.array(whole)))       # made once a line, not once for every fault
+    fields = F.col("fields")
     faulty = F.when(F.col("seq") % 997 == 5, F.concat(fields, F.lit("é"))).when(F.col("seq") % 991 == 6, F.concat(F.lit('"'), fields)) \
         .when(F.col("seq") % 983 == 7, F.lit("a,b")).when(F.col("seq") % 977 == 8, F.concat(F.lit("\r"), fields))
     text = F.coalesce(faulty, fields) if faults else fields
@@ -224,7 +242,7 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     sundry = F.when(u == 7, F.concat_ws("/", day, "symbol", F.lit("readme.txt"))) \
         .when(u == 8, F.concat_ws("/", F.lit("a"), day, "symbol", name)) \
         .when(u == 9, F.concat_ws("/", F.concat(F.lit("X"), "symbol"), name))
-    strays = seen.withColumn("rel", sundry).filter("rel is not null").select(
+    strays = seen.select("day", F.explode(F.array(sundry)).alias("rel")).filter("rel is not null").select(
         "day", "rel", F.lit(1).cast("bigint").alias("length"), F.lit("x").cast("binary").alias("header"))
     return files.unionByName(strays.distinct())
 

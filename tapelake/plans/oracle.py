@@ -213,6 +213,15 @@ SQL: dict[str, str] = {
         SELECT id, 'entry deleted' AS problem FROM reg WHERE k % 61 = 1
         UNION ALL SELECT id, 'status change not allowed' FROM left_over WHERE k % 7 = 0 AND k % 5 = 3
         UNION ALL SELECT id, 'note changed' FROM left_over WHERE k % 59 = 2
+        UNION ALL SELECT id, 'code changed' FROM left_over WHERE k % 67 = 1
+        UNION ALL SELECT id, 'kind changed' FROM left_over WHERE k % 71 = 2
+        UNION ALL SELECT id, 'created_at changed' FROM left_over WHERE k % 73 = 3
+        UNION ALL SELECT id, 'evidence changed' FROM left_over WHERE k % 79 = 4
+        UNION ALL SELECT id, 'evidence_sha256 changed' FROM left_over WHERE k % 83 = 5
+        UNION ALL SELECT id, 'read_layer_action changed' FROM left_over WHERE k % 89 = 8
+        UNION ALL SELECT id, 'decision_ref changed' FROM left_over WHERE k % 41 = 6 AND k % 4 = 1
+        UNION ALL SELECT id, 'decision_sha256 changed' FROM left_over WHERE k % 43 = 7 AND k % 4 = 1
+        UNION ALL SELECT id, 'superseded_by changed' FROM left_over WHERE k % 47 = 9 AND k % 4 = 2
         UNION ALL SELECT id, 'stream scope changed' FROM left_over WHERE k % 53 = 3 AND stream IS NOT NULL
         UNION ALL SELECT id, CASE WHEN scoped THEN 'days removed' ELSE 'structural entry narrowed to days' END FROM left_over
           WHERE k % 47 = 4

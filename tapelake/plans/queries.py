@@ -17,7 +17,7 @@ from tapelake.operators.ingest_rules import (dropped_by_prefix, file_facts, file
                                              placed_files, quote_only, repeated_days, stream_receipts, symbol_streams)
 from tapelake.operators.row_groups import file_facts as footer_facts
 from tapelake.operators.typed_scan import short_times, typed_rows
-from tapelake.plans.encode import (chained_registry, event_store, faulty_registry, later_registry, odd_time_text, part_registry,
+from tapelake.plans.encode import (chained_registry, earlier_registry, event_store, faulty_registry, later_registry, odd_time_text, part_registry,
                                    pick, raw_rows, source_files, source_lines, source_trees, symbol_of, table)
 from tapelake.schema import CONTINUOUS_EXCL_AUCTIONS, FIELDS, STREAMS, SYMBOL_COL, ReadRequest
 from tapelake.session import prepare, shared_dir
@@ -312,7 +312,7 @@ def registry_chain_problems(spark, sf_dir):
 
 @query
 def registry_snapshot_problems(spark, sf_dir):
-    return registry_rules.snapshot_problems(part_registry(spark, sf_dir), later_registry(spark, sf_dir))
+    return registry_rules.snapshot_problems(earlier_registry(spark, sf_dir), later_registry(spark, sf_dir))
 
 
 def _observed(spark, sf_dir):

@@ -10,6 +10,8 @@ import pyarrow.parquet as pq
 import pytest
 
 from tapelake.operators.audit import compare_stores
+from tapelake.operators import ingest as ingest_module
+from tapelake.operators.content_digest import content_digests
 from tapelake.operators.ingest import ingest, ingest_days, manifests
 from tapelake.schema import CSV_NAME, ROW_GROUP_ROWS, ReadRequest
 from tapelake.sources.csv_tree import SourceError
@@ -128,6 +130,7 @@ BREAKS = [
     ("no header", changed("000858.SZ", QUOTES, lambda d: b"\n\n")),
     ("empty file", changed("600519.SH", TRADES, lambda d: b"")),
     ("headers differ", changed("600519.SH", QUOTES, lambda d: d.replace("字段5,".encode("gbk"), "字段五,".encode("gbk")))),
+    ("not GBK", lambda files: files.update({(s, QUOTES): b"\x81\xff" + files[s, QUOTES] for s in ("600519.SH", "000858.SZ")})),
     ("file name", lambda files: files.update({("600519.SH", "orders.csv"): b"1"})),
     ("unregistered path", lambda files: files.update({("600519.SH/old", ORDERS): files["600519.SH", ORDERS]})),
     ("malformed symbol", lambda files: files.update({("60051.SH", n): files["600519.SH", n] for n in (ORDERS, TRADES, QUOTES)})),
@@ -152,6 +155,7 @@ def test_bad_days_fail_alone_and_name_their_rule(spark, tmp_path, market):
         assert outcomes[day]["status"] == "failed" and rule in outcomes[day]["error"], (rule, outcomes[day])
     assert [r["day"] for r in manifests(spark, str(market)).collect()] == days[-1:]
     assert {p.parent.name for p in published(market)} == {f"date={days[-1]:%Y%m%d}"}
+    assert not list(market.glob("_staging*"))
 
 
 def test_batches_stop_at_the_first_failure(spark, tmp_path, market):
@@ -200,6 +204,32 @@ def test_file_digests_and_run_records(spark, tmp_path):
         append_records(records, log)
 
 
+def test_a_miscounted_day_fails_alone(spark, tmp_path, market, monkeypatch):
+    """Rows lost on the way to staging show in the count: that day stays out of the store, the other is published."""
+    sound = ingest_module._write_streams
+
+    def losing(lines, *rest):
+        sound(lines.filter("not (day = '2023-06-20' and stream = 'trades' and line like '%,5001,%')"), *rest)
+
+    monkeypatch.setattr(ingest_module, "_write_streams", losing)
+    days = [dt.date(2023, 6, 20), dt.date(2023, 6, 21)]
+    sources = [put_source(tmp_path / f"{d:%Y%m%d}.7z", source_files({"600519.SH": 3}), d) for d in days]
+    got = ingest_days(spark, sources, str(market), stop_on_error=False)
+    assert {r["day"]: r["error"] for r in got.outcomes.collect()} == {days[0]: "trades: 3 lines, 2 rows", days[1]: None}
+    assert {p.parent.name for p in published(market)} == {"date=20230621"}
+    assert [r["day"] for r in manifests(spark, str(market)).collect()] == days[1:] and not list(market.glob("_staging*"))
+
+
+def test_content_digest_is_over_blocks(spark):
+    rows = [("a", 1, "x"), ("a", 4095, None), ("a", 4096, "y"), ("b", 9000, "z")]
+    frame = spark.createDataFrame([("k", n, p, text) for n, p, text in reversed(rows)], "k string, name string, pos bigint, line string")
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    a = sha(f"{0:020d}\0{sha('x' + chr(10) + chr(10))}\n{1:020d}\0{sha('y' + chr(10))}\n")
+    b = sha(f"{2:020d}\0{sha('z' + chr(10))}\n")
+    assert content_digests(frame, ["k"], "pos").first()["digest"] == sha(f"a\0{a}\nb\0{b}\n")
+    assert content_digests(frame.limit(0), ["k"], "pos").count() == 0
+
+
 def test_manifest_is_plain_json(spark, tmp_path, market):
     ingest(spark, PLAIN, put_source(tmp_path / "s", source_files({"000858.SZ": 2})), str(market))
     (file,) = (market / "manifest").rglob("part-*.json")
