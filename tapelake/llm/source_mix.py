@@ -5,7 +5,8 @@ words becomes a number of slots, one block each. The slots of all sources are sp
 are drawn multinomially over the shards, so a shard's source counts are multinomial given the totals of the mix, and the mix
 as a whole meets every target. Slots number the source's blocks through a keyed permutation of the block numbers, a new one
 for every pass; as a target is at most twice its source, no block is taken a third time. Slots and documents meet in a join by
-source and block.
+source and block. That is the mix in words; the mix in whole documents has the same targets but no blocks: it rounds every
+document's share to whole copies so that the roundings of a source cancel out.
 
 Draws, order and permutations depend on the rows and the seed alone, so reruns agree. Null texts have no words and are never
 taken; null sources are a source of their own, the last; ids may be null or repeat, identical rows being interchangeable; an
@@ -30,6 +31,8 @@ from tapelake.llm.words import mixed
 BLOCK, SHARD_SLOTS = 64, 1 << 16
 #: Weights of the sources in the order of their names, repeating; words in the mix per word of input; passes over a source.
 WEIGHTS, SHARE, PASSES = (3, 1, 2), 1.5, 2
+#: Whole documents of at least one part in LARGE of their source are dealt one by one.
+LARGE = 1024
 
 
 def n_words(text: Column) -> Column:
@@ -144,17 +147,80 @@ def mixed_words(docs: DataFrame) -> DataFrame:
     return out.join(sources.select("_s", "_source_size", "_target"), "_s")
 
 
+def _dealt(size: list[int], n: list[int], target: float, total: float, seed: list[int], passes: int = PASSES) -> list[int]:
+    """Copies of a source's large documents, given largest first: as many of each as leave a target that the rest can meet.
+
+    Where both numbers next to the share do, one is drawn; where none does, the miss is at most half the document, and the
+    smaller one is chosen.
+    """
+    rng, out = np.random.default_rng(seed), []
+    for words, rows in zip(size, n):
+        copies = 0
+        for _ in range(rows):
+            after, ratio = total - words, target / total
+            low = min(math.floor(ratio), passes)
+            misses = {c: max(c * words - target, target - c * words - passes * after, 0.0) for c in (low, low + 1) if c <= passes}
+            best = [c for c, miss in misses.items() if miss == min(misses.values())]
+            took = best[-1] if len(best) == 1 or rng.random() < ratio - low else best[0]
+            copies, total = copies + took, after
+            target = min(max(target - took * words, 0.0), passes * total)
+        out.append(copies)
+    return out
+
+
+def copied(keyed: DataFrame, seed: int = 4, large: int = LARGE, passes: int = PASSES) -> DataFrame:
+    """(_row, _rows, _copies) of all rows with words: how many rows have the same hash and how many are in the mix.
+
+    Documents with at least one part in ``large`` of their source's words, at most that many a source, are dealt one by one.
+    The others share what is left of the target by systematic sampling in the order of their sizes: sums of copies differ from
+    their share by less than one at every place, so sums of words do by less than the first and largest of them.
+    """
+    size = F.when(F.col("text").isNull(), 0).otherwise(n_words(F.col("text"))).cast("long")
+    sized = keyed.select("_row", F.col("source").alias("_source"), size.alias("_size")).groupBy("_row", "_source", "_size").agg(
+        F.count(F.lit(1)).alias("_rows"))
+    sized = stored(sized, "mix-rows")
+    words = F.col("_size") * F.col("_rows")
+    sources = stored(targets(sized.groupBy("_source").agg(F.sum(words).alias("_source_size"))), "mix-sources")
+    of = sources.select(F.col("_source").alias("_name"), "_s", "_source_size", "_target")
+    rows = sized.filter(F.col("_size") > 0).join(of, F.col("_source").eqNullSafe(F.col("_name"))).drop("_source", "_name")
+    is_large = F.col("_size") * large >= F.col("_source_size")
+
+    def deal(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["_size", "_row"], ascending=[False, True])
+        s, target, total = frame[["_s", "_target", "_source_size"]].iloc[0]
+        copies = _dealt(frame["_size"].tolist(), frame["_rows"].tolist(), float(target), float(total), [seed, int(s)], passes)
+        return frame[["_s", "_row", "_size", "_rows"]].assign(_copies=copies)
+
+    first = stored(rows.filter(is_large).groupBy("_s").applyInPandas(deal, "_s int, _row bigint, _size bigint, _rows bigint, _copies bigint"), "mix-large")
+    spent = first.groupBy("_s").agg(F.sum(words).alias("_large"), F.sum(F.col("_size") * F.col("_copies")).alias("_spent"))
+    left = sources.join(spent, "_s", "left").na.fill(0, ["_large", "_spent"])
+    ratio = F.try_divide(F.col("_target") - F.col("_spent"), F.col("_source_size") - F.col("_large"))
+    draw = F.pmod(F.xxhash64(F.lit(seed), "_s"), F.lit(1 << 20)) / (1 << 20)
+    left = left.select("_s", F.least(F.greatest(ratio, F.lit(0.0)), F.lit(float(passes))).alias("_ratio"), draw.alias("_draw"))
+    # Ranks: places in range partitions sorted by size, after the rows of the partitions before.
+    order = [F.col("_s"), F.col("_size").desc(), F.xxhash64(F.lit(seed), "_row"), F.col("_row")]
+    small = rows.filter(~is_large).select("_s", "_row", "_size", "_rows")
+    small = small.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    small = stored(small.withColumn("_at", F.monotonically_increasing_id()), "mix-order")
+    before = Window.partitionBy("_s").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = small.groupBy("_s", "_part").agg(F.sum("_rows").alias("_n")).select(
+        "_s", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inner = Window.partitionBy("_s", "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = small.withColumn("_in", F.coalesce(F.sum("_rows").over(inner), F.lit(0))).join(starts, ["_s", "_part"]).join(left, "_s")
+    up_to = lambda rank: F.floor(F.col("_ratio") * rank + F.col("_draw"))
+    rank = F.col("_start") + F.col("_in")
+    ranked = ranked.withColumn("_copies", up_to(rank + F.col("_rows")) - up_to(rank))
+    return first.select("_row", "_rows", "_copies").unionByName(ranked.select("_row", "_rows", "_copies"))
+
+
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix in whole documents: each row is repeated as often as the block with its first word is taken.
+    """The mix in whole documents: each row is repeated 0 to PASSES times, so that every source's words meet its target.
 
     Texts stay out of the work on the mix and move once, to meet their number of copies by a hash of the whole row; identical
     rows share the copies of all of them.
     """
     keyed = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    rows, sources = placed(keyed.select("_row", "doc_id", "source", "text"))
-    rows = rows.filter(F.col("_size") > 0).withColumn("_block", F.floor(F.col("_from") / BLOCK))
-    copies = rows.join(_takes(sources), ["_s", "_block"], "left").groupBy("_row").agg(
-        F.sum(F.coalesce("_takes", F.lit(0))).alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    copies = copied(keyed.select("_row", "source", "text"))
     out = keyed.join(stored(copies.filter(F.col("_copies") > 0), "mix-copies"), "_row")
     rank = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))
     each = F.floor(F.col("_copies") / F.col("_rows")) + (rank <= F.col("_copies") % F.col("_rows")).cast("long")

@@ -176,6 +176,25 @@ def test_mix_odd_rows(odd, none, odd_rows):
     assert mixed.columns == odd.columns
 
 
+def test_mixed_documents_meet_targets(spark):
+    rng = np.random.default_rng(3)
+    text = lambda n: " ".join(["word"] * int(n))
+    # A huge document that the rest can make up for, several large ones, even sizes, and one document that nothing makes up for.
+    sizes = {"a": [60000, *rng.integers(1, 200, 400)], "b": [9000, 7000, 7000, *rng.integers(1, 300, 300)],
+             "c": [50] * 4000, "d": [30000, *rng.integers(1, 20, 3000)], None: [40000, 40]}
+    rows = [(100000 * j + i, s, text(n)) for j, (s, x) in enumerate(sizes.items()) for i, n in enumerate(x)]
+    rows += [rows[5]] * 3 + [(-1, "a", None), (-2, "e", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5).cache()
+    target = {r["source"]: r["target"] for r in source_mix.mixed_words(docs).select("source", F.col("_target").alias("target")).distinct().collect()}
+    whole = collections.Counter(docs.rdd.map(tuple).collect())
+    got = collections.Counter(source_mix.mixed_documents(docs).rdd.map(tuple).collect())
+    assert all(got[x] <= 2 * whole[x] for x in got)
+    for s, x in sizes.items():
+        taken = sum(n * len(t.split()) for (_, source, t), n in got.items() if source == s)
+        assert abs(taken - target[s]) <= (max(x) / 2 if s is None else 200), (s, taken, target[s])
+    assert got == collections.Counter(source_mix.mixed_documents(docs.repartition(9)).rdd.map(tuple).collect())
+
+
 def test_permutation_is_one():
     for n in (1, 2, 3, 10, 257, 1000):
         at = np.arange(n)
