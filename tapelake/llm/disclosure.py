@@ -1,10 +1,14 @@
 """Personal data: patterns, and terms that give protected entities away.
 
 E-mail addresses, IP addresses, card and phone numbers are found by pattern; their values are the protected entities. A term
-is a word of four letters or more within a few words of an entity. Counted over the documents of the whole corpus, its
+is a word of four letters or more, anywhere in a document with the entity. Counted over the documents of the whole corpus, its
 pointwise mutual information with the entity says how much of the entity's information content it reveals: a term met only
-where the entity is reveals all of it. Terms seen with an entity in enough distinct texts and revealing at least a stated
-share of it are disclosed: those that reveal all are to be removed, the others generalised.
+where the entity is reveals all of it. Terms seen with an entity in enough distinct texts (in all of them, if the entity has
+fewer) and revealing at least a stated share of it are disclosing. Every occurrence of theirs in a document with the entity,
+but for those inside an entity, is marked: terms that reveal all are to be removed, the others generalised.
+
+As a term is with an entity in at most all documents of the entity, its own count bounds what it can reveal. Terms too common
+for every entity of their document are left out before entities and terms are paired, which loses no disclosing term.
 
 Null texts count as empty; texts are searched whole; repeated rows give the same spans, and copies of a text lend no support; an empty table gives no
 rows; further columns are ignored; a null id stays null. Places are code points, ends exclusive.
@@ -13,6 +17,7 @@ rows; further columns are ignored; a null id stays null. Places are code points,
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,11 +35,10 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _TERM = re.compile(r"[^\W\d_]{4,}")
-_REACH_CHARS = 120
 
-#: How many words to each side of an entity are looked at; in how many distinct texts a term must be seen with the entity;
-#: the share of the entity's information content from which a term counts as disclosing.
-REACH, SUPPORT, DISCLOSED = 5, 3, 0.9
+#: In how many distinct texts a term must be seen with the entity, or in all of the entity if they are fewer; the share of the
+#: entity's information content from which a term counts as disclosing.
+SUPPORT, DISCLOSED = 3, 0.9
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -82,76 +86,114 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
-def nearby_terms(text: str, spans: list[tuple[int, int, int, str]], reach: int = REACH) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the words around each entity, but for those inside one."""
-    out = []
-    for start, end, kind, value in spans:
-        left, right = max(0, start - _REACH_CHARS), min(len(text), end + _REACH_CHARS)
-        before = [m for m in _TERM.finditer(text, left, start) if m.start() > left or left == 0][-reach:]
-        after = [m for m in _TERM.finditer(text, end, right) if m.end() < right or right == len(text)][:reach]
-        out += [(f"{KINDS[kind]}:{value}", m[0].lower(), m.start(), m.end()) for m in (*before, *after)
-                if not any(a < m.end() and m.start() < b for a, b, _, _ in spans)]
+def distinct_terms(text: str) -> set[str]:
+    return {w.lower() for w in set(_TERM.findall(text))}
+
+
+def marks(text: str, spans: list[tuple[int, int]], terms: dict[str, bool]) -> list[tuple[int, int, bool]]:
+    """(start, end, remove) of every occurrence of the terms that no span overlaps; spans in order."""
+    out, at, covered = [], 0, 0
+    for m in _TERM.finditer(text):
+        # Up to where the spans that begin before the word's end reach.
+        while at < len(spans) and spans[at][0] < m.end():
+            covered = max(covered, spans[at][1])
+            at += 1
+        if m.start() >= covered and (remove := terms.get(m[0].lower())) is not None:
+            out.append((m.start(), m.end(), remove))
     return out
 
 
-_FOUND = ("spans array<struct<start:bigint,end:bigint,kind:int>>, entities array<string>, "
-          "near array<struct<entity:string,term:string,start:bigint,end:bigint>>")
+_FOUND = "spans array<struct<start:bigint,end:bigint,kind:int>>, entities array<string>, held string"
+_TERMS = "array<struct<start:bigint,end:bigint,remove:boolean>>"
 
 
 def found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, text_id, its pattern spans, its entities, and the terms near them."""
-    near_type = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    """Per row: _row, doc_id, text_id, its pattern spans, its entities, and the text if there are any."""
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32())]))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, entities, near = [], [], []
+            spans, entities, held = [], [], []
             for t in batch.column(2).to_pylist():
                 hits = base_spans(t or "")
                 spans.append([{"start": a, "end": b, "kind": k} for a, b, k, _ in hits])
                 entities.append(sorted({f"{KINDS[k]}:{v}" for _, _, k, v in hits}))
-                near.append([dict(zip(("entity", "term", "start", "end"), x)) for x in nearby_terms(t, hits)] if hits else [])
+                held.append(t if hits else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(spans, span_type), pa.array(entities, pa.list_(pa.string())), pa.array(near, near_type)],
-                names=["doc_id", "text_id", "spans", "entities", "near"])
+                [batch.column(0), batch.column(1), pa.array(spans, span_type), pa.array(entities, pa.list_(pa.string())), pa.array(held, pa.string())],
+                names=["doc_id", "text_id", "spans", "entities", "held"])
 
     kind = dict(docs.dtypes)[doc_id]
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_id"), F.col(text).alias("text"))
-    return stored(rows.mapInArrow(search, f"doc_id {kind}, text_id bigint, {_FOUND}"), "disclosure-found")
+    rows = rows.mapInArrow(search, f"doc_id {kind}, text_id bigint, {_FOUND}")
+    return stored(rows.withColumn("_row", F.monotonically_increasing_id()), "disclosure-found")
+
+
+def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(term, n_term): the number of documents with each term, counted by batches before the shuffle."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n: Counter[str] = Counter()
+            for t in batch.column(0).to_pylist():
+                n.update(distinct_terms(t or ""))
+            yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], names=["term", "n"])
 
+    counts = docs.select(F.col(text).alias("text")).mapInArrow(count, "term string, n bigint")
+    return stored(counts.groupBy("term").agg(F.sum("n").alias("n_term")), "disclosure-terms")
 
-def disclosing_terms(docs: DataFrame, rows: DataFrame, support: int = SUPPORT, share: float = DISCLOSED, text: str = "text") -> DataFrame:
-    """(entity, term, revealed): terms that give at least the share of the entity's information away.
 
-    ``rows`` is what ``found`` made of ``docs``. Probabilities are shares of documents; support counts distinct texts. The
-    documents with a term are counted for all words at once, with partial counts before the shuffle.
+def together(docs: DataFrame, rows: DataFrame, support: int = SUPPORT, share: float = DISCLOSED, text: str = "text") -> DataFrame:
+    """(_row, text_id, entity, term) with counts: the terms beside each entity of a row that may reveal the share of it.
+
+    ``rows`` is what ``found`` made of ``docs``. Probabilities are shares of documents; ``needed`` counts distinct texts.
     """
-    pairs = rows.select("text_id", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"], x["term"])))).alias("x"))
-    joint = pairs.groupBy(F.col("x.entity").alias("entity"), F.col("x.term").alias("term"), "text_id").agg(F.count(F.lit(1)).alias("n"))
-    joint = joint.groupBy("entity", "term").agg(F.sum("n").alias("n_joint"), F.count(F.lit(1)).alias("n_texts"))
-    joint = stored(joint.filter(F.col("n_texts") >= support).drop("n_texts"), "disclosure-pairs")
-    entities = rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("\\p{L}{4,}"), F.lit(0)))
-    terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    # One row: the number of documents.
-    scored = joint.join(terms, "term").join(entities, "entity").join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n_docs"))))
+    each = rows.select("_row", "text_id", F.explode("entities").alias("entity"))
+    texts = each.groupBy("entity", "text_id").agg(F.count(F.lit(1)).alias("n"))
+    entities = texts.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.least(F.count(F.lit(1)), F.lit(support)).alias("needed"))
+    # One row: the number of documents. An entity in every document has no information to give away.
+    entities = entities.join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n_docs")))).filter(F.col("n_entity") < F.col("n_docs"))
+    most = F.col("n_docs") * F.pow(F.col("n_entity") / F.col("n_docs"), F.lit(share)) * (1 + 1e-9)
+    entities = stored(entities.withColumn("most", most), "disclosure-entities")
+    held = stored(each.join(entities, "entity"), "disclosure-held")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = [list(distinct_terms(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.list_(pa.string()))], names=["_row", "terms"])
+
+    words = rows.filter(F.col("held").isNotNull()).select("_row", "held").mapInArrow(split, "_row bigint, terms array<string>")
+    words = words.select("_row", F.explode("terms").alias("term")).join(term_counts(docs, text), "term")
+    rare = words.join(held.groupBy("_row").agg(F.max("most").alias("_most")), "_row").filter(F.col("n_term") <= F.col("_most"))
+    rare = stored(rare.drop("_most"), "disclosure-rare")
+    return rare.join(held, "_row").filter(F.col("n_term") <= F.col("most"))
+
+
+def disclosing_terms(pairs: DataFrame, share: float = DISCLOSED) -> DataFrame:
+    """(entity, term, revealed): terms that give at least the share of the entity's information away."""
+    of = ["entity", "term", "n_entity", "n_term", "n_docs", "needed"]
+    joint = pairs.groupBy(*of, "text_id").agg(F.count(F.lit(1)).alias("n"))
+    joint = joint.groupBy(*of).agg(F.sum("n").alias("n_joint"), F.count(F.lit(1)).alias("n_texts")).filter(F.col("n_texts") >= F.col("needed"))
     information = F.log2(F.col("n_docs") / F.col("n_entity"))
     mutual = F.log2(F.col("n_joint") * F.col("n_docs") / (F.col("n_term") * F.col("n_entity")))
-    # An entity in every document has no information to give away.
-    return scored.filter(information > 0).withColumn("revealed", mutual / information).filter(F.col("revealed") >= share).select(
-        "entity", "term", "revealed")
+    scored = joint.withColumn("revealed", mutual / information).filter(F.col("revealed") >= share)
+    return stored(scored.select("entity", "term", "revealed"), "disclosure-pairs")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, ``spans`` (pattern spans) and ``terms`` (start, end, whether to remove rather than generalise)."""
-    rows = found(docs).withColumn("_row", F.monotonically_increasing_id())
-    rows = stored(rows, "disclosure-rows")
-    disclosed = disclosing_terms(docs, rows)
-    near = rows.select("_row", F.explode("near").alias("x")).select("_row", "x.*")
-    terms = near.join(disclosed, ["entity", "term"]).groupBy("_row", "start", "end").agg((F.max("revealed") >= 1).alias("remove"))
-    terms = terms.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "remove"))).alias("terms"))
-    out = rows.join(terms, "_row", "left")
-    return out.select("doc_id", "spans", F.coalesce("terms", F.array().cast("array<struct<start:bigint,end:bigint,remove:boolean>>")).alias("terms"))
+    rows = found(docs)
+    pairs = together(docs, rows)
+    told = pairs.select("_row", "entity", "term").join(disclosing_terms(pairs), ["entity", "term"])
+    told = told.groupBy("_row", "term").agg((F.max("revealed") >= 1).alias("remove"))
+    told = told.groupBy("_row").agg(F.collect_list(F.struct("term", "remove")).alias("told"))
+
+    @F.udf(_TERMS)
+    def places(text: str, spans: list, told: list) -> list:
+        return marks(text, [(x.start, x.end) for x in spans], {x.term: x.remove for x in told})
+
+    terms = rows.select("_row", "held", "spans").join(told, "_row").select("_row", places("held", "spans", "told").alias("terms"))
+    out = rows.select("_row", "doc_id", "spans").join(terms, "_row", "left")
+    return out.select("doc_id", "spans", F.coalesce("terms", F.array().cast(_TERMS)).alias("terms"))
 
 
 def masked(text: str, spans: list[tuple[int, int, int]], terms: list[tuple[int, int, bool]]) -> str:

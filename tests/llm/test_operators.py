@@ -295,6 +295,26 @@ def test_disclosing_terms(spark, none):
     assert disclosure.personal_data(none).collect() == []
 
 
+def test_disclosing_terms_of_whole_documents(spark):
+    far = " filler words again" * 60
+    rows = [(i, f"Quorbel opens.{far} write to box@corp.example.org now{far} quorbel closes") for i in range(3)]
+    # Addresses of one and two documents; a copy of a text lends no support.
+    rows += [(10, f"solo@corp.example.org{far} vintrosk"), (11, f"vintrosk@pair.example.org{far} Mulgrave"),
+             (12, f"mulgrave again vintrosk@pair.example.org{far}"), (13, f"once vintrosk@pair.example.org{far} dravenic"),
+             (14, f"again filler words{far}")]
+    rows += [(20 + i, f"plain filler words again number {i}") for i in range(60)]
+    got = {r.doc_id: r for r in disclosure.personal_data(spark.createDataFrame([*rows, (30, rows[0][1])], "doc_id long, text string")).collect() if r.doc_id != 30}
+    text = dict(rows)
+    terms = {i: [text[i][x.start:x.end] for x in r.terms] for i, r in got.items()}
+    assert all(terms[i].count("Quorbel") == terms[i].count("quorbel") == 1 and "filler" not in terms[i] for i in range(3))
+    assert "Mulgrave" not in terms[11] and "dravenic" not in terms[13] and terms[14] == terms[20] == []
+    assert "write" in terms[0] and not any("vintrosk" in x for i, x in terms.items() if i != 10)
+    alone = [(1, f"solo@corp.example.org{far} Mulgrave said Mulgrave"), (2, f"duo@corp.example.org{far} dravenic"),
+             (3, f"dravenic{far} duo@corp.example.org but onlyhere"), *rows[8:]]
+    clean = {r.doc_id: r.text for r in disclosure.sanitised(spark.createDataFrame(alone, "doc_id long, text string")).collect()}
+    assert "Mulgrave" not in clean[1] and "dravenic" not in clean[2] + clean[3] and "onlyhere" in clean[3] and "filler" in clean[1]
+
+
 # --- op8
 
 def test_shuffle_shapes(odd, none, odd_rows):
