@@ -17,7 +17,7 @@ import html
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,6 +57,8 @@ class _Open:
     path: str
     role: float
     block: bool
+    flags: tuple[int, ...] = ()
+    outer: tuple[int, int] | None = None
 
 
 @dataclass
@@ -75,7 +77,9 @@ class _Page:
     counts: dict[str, int] = field(default_factory=dict)
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
-    blocks: list[tuple[str, float, str]] = field(default_factory=list)
+    blocks: list[tuple[str, float, str, tuple[int, ...], tuple[int, int] | None]] = field(default_factory=list)
+    flagged: int = 0
+    mains: int = 0
     paths: dict[str, _Path] = field(default_factory=dict)
 
     def flush(self) -> None:
@@ -87,7 +91,7 @@ class _Page:
             stats.marks += sum(c in _PUNCTUATION for c in text)
             stats.linked += min(self.linked, len(text))
             stats.blocks += 1
-            self.blocks.append((top.path, top.role, text))
+            self.blocks.append((top.path, top.role, text, top.flags, top.outer))
         self.pieces.clear()
         self.linked = 0
 
@@ -136,15 +140,20 @@ class _Page:
         if attributes and (block or tag == "span"):
             names = {p for m in _NAMES.finditer(attributes) for p in _PART.findall(_CAMEL.sub(" ", m[1] or m[2] or m[3] or "").lower())}
             label = ".".join([tag, *sorted(names)])
-        if role and tag in _NEVER or tag == "header" and role != _ROLE_MAIN or names & _OUTSIDE and tag not in ("html", "body", *_MAIN) \
-                or attributes and _HIDDEN.search(attributes):
+        flags, outer = top.flags, top.outer
+        if role and tag in _NEVER or tag == "header" and role != _ROLE_MAIN or attributes and _HIDDEN.search(attributes):
             role = 0.0
+        elif role and names & _OUTSIDE and tag not in ("html", "body", *_MAIN):
+            # Whether the name speaks of all it holds shows when the page is read.
+            flags, self.flagged = (*flags, self.flagged), self.flagged + 1
         elif role and (tag in _MAIN or names & _INSIDE and tag != "body"):
             role = _ROLE_MAIN
-        if not block and role != top.role:
+        if role and tag in _MAIN and outer is None and not names & _OUTSIDE:
+            outer, self.mains = (len(flags), self.mains), self.mains + 1
+        if not block and (role != top.role or flags != top.flags):
             self.flush()
             block = True
-        self.stack.append(_Open(tag, f"{top.path}/{label}" if block else top.path, role, block))
+        self.stack.append(_Open(tag, f"{top.path}/{label}" if block else top.path, role, block, flags, outer))
         self.counts[tag] = self.counts.get(tag, 0) + 1
 
     def end(self, tag: str) -> None:
@@ -196,6 +205,37 @@ def _read(source: str) -> _Page:
     return page
 
 
+def _standing(page: _Page) -> list[tuple[str, float, str]]:
+    """The blocks outside containers whose names flag them, with the flags lifted that cannot be meant for all they hold.
+
+    Without marked content outside flags, the outermost flags around most of the text are lifted, one layer at a time, then
+    those around a single article or main element. If nothing is left, no name counts.
+    """
+    blocks = [x for x in page.blocks if x[1]]
+    total, lifted = sum(len(x[2]) for x in blocks), set()
+    while True:
+        standing = [tuple(f for f in x[3] if f not in lifted) for x in blocks]
+        kept = [x[:3] for x, flags in zip(blocks, standing) if not flags]
+        if any(role == _ROLE_MAIN for _, role, _ in kept):
+            return kept
+        held: dict[int, int] = {}
+        for x, flags in zip(blocks, standing):
+            if flags:
+                held[flags[0]] = held.get(flags[0], 0) + len(x[2])
+        bulk = [f for f, n in held.items() if 2 * n > total]
+        if not bulk:
+            break
+        lifted.update(bulk)
+    # Several articles in a flagged container are its items, such as comments.
+    mains: dict[int, set[int]] = {}
+    for x, flags in zip(blocks, standing):
+        if flags and x[4]:
+            mains.setdefault(flags[0], set()).add(x[4][1])
+    inside = [x[:3] for x, flags in zip(blocks, standing)
+              if not flags or x[4] and len(mains[flags[0]]) == 1 and not set(flags) & set(x[3][x[4][0]:])]
+    return inside or [x[:3] for x in blocks] or [(path, _ROLE_PLAIN, text) for path, _, text, _, _ in page.blocks]
+
+
 def main_text(source: str | None) -> str:
     """The content blocks of one page, one a line."""
     page = _read(source or "")
@@ -205,7 +245,11 @@ def main_text(source: str | None) -> str:
         return math.log2(1 + length) * (1 + math.log2(1 + marks)) * (1 - p.linked / p.chars)
 
     by_path = {name: fused(p) for name, p in page.paths.items()}
-    kept = [(path, role, text) for path, role, text in page.blocks if role and by_path[path] > 0]
+    standing = _standing(page)
+    # Linked items of marked content count as text; elsewhere a path of nothing but links is none.
+    for path in {path for path, role, _ in standing if role == _ROLE_MAIN}:
+        by_path[path] = fused(replace(page.paths[path], linked=0))
+    kept = [x for x in standing if by_path[x[0]] > 0]
     if not kept:
         return ""
     chars = sum(len(text) for _, _, text in kept)

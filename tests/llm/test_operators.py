@@ -221,6 +221,26 @@ def test_page_text():
     assert tag_paths.main_text("just a < b & c, text.") == "just a < b & c, text."
 
 
+def test_page_text_under_flagged_names():
+    bare = PAGE.replace("<body>", "<body>\n")
+    for name in ("layout with-sidebar", "no-sidebar", "has-header", "page-comments"):
+        wrapped = bare.replace("<body>", f"<body><div class='{name}'>").replace("<footer>", "</div><footer>")
+        assert tag_paths.main_text(wrapped) == tag_paths.main_text(PAGE), name
+        inner = wrapped.replace("<div class='", "<div class='with-toc'><div class='").replace("</div><footer>", "</div></div><footer>")
+        assert tag_paths.main_text(inner) == tag_paths.main_text(PAGE), name
+    comments = "<div class='comments'>" + "<article><p>A reader says: nice, really. Yes.</p></article>" * 40 + "</div>"
+    assert tag_paths.main_text(bare.replace("<footer>", comments + "<footer>")) == tag_paths.main_text(PAGE)
+    plain = "<p>Long main text, in no container at all. It goes on.</p>"
+    few = "<div class='comments'>" + "<article><p>Nice, yes.</p></article>" * 2 + "</div>"
+    assert "Nice" not in tag_paths.main_text(plain + few)
+    short = "<p>Outside text, longer than the article is. It goes on, and on.</p><div class='sidebar'><article><p>Short article, here.</p></article></div>"
+    assert "Short article, here." in tag_paths.main_text(short)
+    assert tag_paths.main_text("<div class='widget'><p>Only text, here.</p></div>") == "Only text, here."
+    assert tag_paths.main_text("<nav><p>Only text, here.</p></nav>") == "Only text, here."
+    links = "<article><p>A paragraph, before the list.</p><ul><li><a href=1>First linked item</a><li><a href=2>Second linked item</a></ul></article>"
+    assert tag_paths.main_text(links).split("\n")[1:] == ["First linked item", "Second linked item"]
+
+
 def test_pages(spark):
     rows = tag_paths.extracted(spark.read.parquet(f"{SF}/pages.parquet")).collect()
     assert rows and all(r.text and "var t" not in r.text for r in rows)
