@@ -1,4 +1,4 @@
-"""Every operator on odd tables and against brute force; the contract columns against SQL are in test_oracle."""
+"""Every operator on odd tables and against brute force; the contract columns against SQL are in test_llm_oracle."""
 
 from __future__ import annotations
 
