@@ -49,4 +49,53 @@ SQL: dict[str, str] = {
         SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed,
                sha256(coalesce(joined, '')) AS kept_sha256
         FROM docs LEFT JOIN kept USING (doc_id)""",
+    "op11_four_russians": r"""
+        WITH RECURSIVE bits AS (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+                      FROM (SELECT unnest(range(256)) AS i)),
+        crc AS (SELECT list(v ORDER BY i) AS t FROM bits),
+        keyed AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+        summed AS (SELECT keyed.*, xor(4294967295, list_reduce(list_prepend(4294967295, [ascii(k[j])::BIGINT for j in range(1, length(k) + 1)]),
+                     lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 AS d FROM keyed, crc),
+        rows_ AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+                    CASE d WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text,
+                    unnest(range(CASE d WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM summed WHERE d <> 0),
+        placed AS (SELECT *, rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS body,
+                     row_number() OVER w AS place, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+                     lag(role[1]) OVER w AS before
+                   FROM rows_ WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text), copy)),
+        faulty AS (SELECT *, role[1] AS c, CASE WHEN body = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN body[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+                   FROM placed),
+        facts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                    count(*) FILTER (fault = 'truncated') AS truncated,
+                    count(*) FILTER (before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY conv_id),
+        steps AS (SELECT *, fault IN ('blank', 'duplicate') AS gone, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS extra,
+                    role || ':' || text AS own, 'user:' || text AS as_user, 'assistant:' || text AS as_assistant FROM faulty),
+        -- Cheapest (cost, edits, text) on the way to each state, inserts before the next row included: nothing, after s, u and a.
+        ways AS (SELECT conv_id, 0::BIGINT AS place, {'c': 0::BIGINT, 'a': '', 't': ''} AS x, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS s,
+                   {'c': 5::BIGINT, 'a': 'I', 't': chr(10) || 'user:'} AS u, {'c': 10::BIGINT, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'} AS a FROM facts
+          UNION ALL
+          SELECT conv_id, place, x, s, least(u, CASE WHEN s IS NOT NULL THEN {'c': s.c + 5, 'a': s.a || 'I', 't': s.t || chr(10) || 'user:'} END,
+                     {'c': x.c + 5, 'a': x.a || 'I', 't': x.t || chr(10) || 'user:'}, {'c': a.c + 5, 'a': a.a || 'I', 't': a.t || chr(10) || 'user:'}) AS u,
+                   least(a, {'c': u.c + 5, 'a': u.a || 'I', 't': u.t || chr(10) || 'assistant:'}, {'c': x.c + 10, 'a': x.a || 'II', 't': x.t || chr(10) || 'user:' || chr(10) || 'assistant:'},
+                     CASE WHEN s IS NOT NULL THEN {'c': s.c + 10, 'a': s.a || 'II', 't': s.t || chr(10) || 'user:' || chr(10) || 'assistant:'} END) AS a
+          FROM (SELECT w.conv_id, w.place + 1 AS place, {'c': x.c + 2, 'a': x.a || 'D', 't': x.t} AS x,
+                  least(CASE WHEN s IS NOT NULL THEN {'c': s.c + 2, 'a': s.a || 'D', 't': s.t} END,
+                    CASE WHEN NOT gone AND r.c = 's' THEN {'c': x.c + extra, 'a': x.a || 'K', 't': x.t || chr(10) || own} END) AS s,
+                  least({'c': w.u.c + 2, 'a': w.u.a || 'D', 't': w.u.t},
+                    CASE WHEN NOT gone AND r.c = 'u' THEN least({'c': x.c + extra, 'a': x.a || 'K', 't': x.t || chr(10) || own},
+                      CASE WHEN s IS NOT NULL THEN {'c': s.c + extra, 'a': s.a || 'K', 't': s.t || chr(10) || own} END,
+                      {'c': w.a.c + extra, 'a': w.a.a || 'K', 't': w.a.t || chr(10) || own}) END,
+                    CASE WHEN NOT gone THEN least({'c': x.c + 1 + extra, 'a': x.a || 'R', 't': x.t || chr(10) || as_user},
+                      CASE WHEN s IS NOT NULL THEN {'c': s.c + 1 + extra, 'a': s.a || 'R', 't': s.t || chr(10) || as_user} END,
+                      {'c': w.a.c + 1 + extra, 'a': w.a.a || 'R', 't': w.a.t || chr(10) || as_user}) END) AS u,
+                  least({'c': w.a.c + 2, 'a': w.a.a || 'D', 't': w.a.t},
+                    CASE WHEN NOT gone AND r.c = 'a' THEN {'c': w.u.c + extra, 'a': w.u.a || 'K', 't': w.u.t || chr(10) || own} END,
+                    CASE WHEN NOT gone THEN {'c': w.u.c + 1 + extra, 'a': w.u.a || 'R', 't': w.u.t || chr(10) || as_assistant} END) AS a
+                FROM ways w JOIN steps r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.place = w.place + 1)),
+        best AS (SELECT ways.conv_id, least(x, ways.a) AS b FROM ways JOIN facts ON ways.conv_id IS NOT DISTINCT FROM facts.conv_id WHERE place = n)
+        SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+               coalesce(illegal, 0) AS illegal, coalesce(b.c, 0) AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(b.t[2:], '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM i.conv_id
+        LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM i.conv_id""",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelake.llm import disclosure, katz_backoff, language_id, ngram_join, phrase_index, quality_divergence, shuffle_matrix, source_mix, substring_dedup, tag_paths
+from tapelake.llm import conversation_repair, disclosure, katz_backoff, language_id, ngram_join, phrase_index, quality_divergence, shuffle_matrix, source_mix, substring_dedup, tag_paths
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,11 @@ def op10_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_four_russians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every conversation after damage, and the cheapest edits that repair its roles."""
+    return conversation_repair.audited(conversation_repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_naive_bayes": op2_naive_bayes,
@@ -87,4 +92,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_communication_matrix": op8_communication_matrix,
     "op9_katz_backoff": op9_katz_backoff,
     "op10_suffix_automata": op10_suffix_automata,
+    "op11_four_russians": op11_four_russians,
 }

@@ -16,7 +16,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 @pytest.mark.parametrize("name", SQL)
 def test_query_equals_sql(spark, name):
     with duckdb.connect() as db:
-        for table in ("documents", "benchmark"):
+        for table in ("documents", "benchmark", "conversations", "embeddings"):
             db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
         want = db.sql(SQL[name])
         columns = sorted(want.columns)
