@@ -98,4 +98,18 @@ SQL: dict[str, str] = {
                coalesce(illegal, 0) AS illegal, coalesce(b.c, 0) AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(b.t[2:], '')) AS repaired_sha256
         FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM i.conv_id
         LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM i.conv_id""",
+    "op13_hilbert_zones": """
+        WITH whole AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+                       FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                         AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        numbered AS (SELECT *, row_number() OVER () AS nr FROM whole),
+        scored AS (SELECT a.nr AS anchor, a.vec_id AS anchor_id, b.nr AS other, b.vec_id AS id, a.label = b.label AS same,
+                     list_dot_product(a.v, b.v)::BIGINT AS score
+                   FROM numbered a JOIN numbered b ON a.vec_id % 100 = 0 AND a.nr <> b.nr AND len(a.v) = len(b.v)),
+        positives AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5)
+        SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY n.score DESC, n.id)::INTEGER AS rank,
+               n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM positives p JOIN scored n ON n.anchor = p.anchor AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+        QUALIFY rank <= 10""",
 }
