@@ -98,6 +98,21 @@ SQL: dict[str, str] = {
                coalesce(illegal, 0) AS illegal, coalesce(b.c, 0) AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(b.t[2:], '')) AS repaired_sha256
         FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM i.conv_id
         LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM i.conv_id""",
+    "op12_bucket_pointers": """
+        WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+        pieces AS (SELECT doc_id, n, b, substr(h, 200 * b + 1, 400) AS piece FROM (SELECT *, unnest(range((n + 99) // 100)) AS b FROM docs)),
+        windows AS (SELECT doc_id, 100 * b + o AS i, md5_number(substr(piece, 2 * o + 1, 200)) AS run
+                    FROM (SELECT *, unnest(range(least(100, n - 99 - 100 * b))) AS o FROM pieces)),
+        again AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, i) > 1),
+        edges AS (SELECT doc_id, i, max(i + 100) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM again),
+        numbered AS (SELECT doc_id, i, sum(CASE WHEN reach IS NULL OR i > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM edges),
+        spans AS (SELECT doc_id, span, min(i) AS first, max(i) + 100 AS last FROM numbered GROUP BY doc_id, span),
+        gaps AS (SELECT doc_id, first, last, lag(last, 1, 0) OVER (PARTITION BY doc_id ORDER BY first) AS before FROM spans),
+        cut AS (SELECT doc_id, count(*) AS n_spans, sum(last - first) AS n_removed, max(last) AS tail,
+                  string_agg(substr(h, 2 * before + 1, 2 * (first - before)), '' ORDER BY first) AS head FROM gaps JOIN docs USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(head || substr(h, 2 * tail + 1), h))) AS kept_sha256
+        FROM docs LEFT JOIN cut USING (doc_id)""",
     "op13_hilbert_zones": """
         WITH whole AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
                          list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v

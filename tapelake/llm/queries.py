@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelake.llm import conversation_repair, disclosure, hard_negatives, katz_backoff, language_id, ngram_join, phrase_index, quality_divergence, shuffle_matrix, source_mix, substring_dedup, tag_paths
+from tapelake.llm import byte_dedup, conversation_repair, disclosure, hard_negatives, katz_backoff, language_id, ngram_join, phrase_index, quality_divergence, shuffle_matrix, source_mix, substring_dedup, tag_paths
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,12 @@ def op11_four_russians(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.audited(conversation_repair.damaged(_table(spark, sf_dir, "conversations")))
 
 
+def op12_bucket_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that a string of 100 bytes repeats from earlier on, and the digest of the rest."""
+    rows = byte_dedup.deduplicated(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op13_hilbert_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every hundredth vector, for each of its first five positives."""
     rows = hard_negatives.relabelled(hard_negatives.prepared(_table(spark, sf_dir, "embeddings")))
@@ -99,5 +105,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_katz_backoff": op9_katz_backoff,
     "op10_suffix_automata": op10_suffix_automata,
     "op11_four_russians": op11_four_russians,
+    "op12_bucket_pointers": op12_bucket_pointers,
     "op13_hilbert_zones": op13_hilbert_zones,
 }
