@@ -5,16 +5,17 @@ place and d later, from single bytes up to q-grams of ``GRAM`` bytes: the initia
 one place, its pointer, where the smallest q-gram identifier stands (the first of equal ones); windows that follow each other
 with one pointer form its stretch. Equal windows have equal pointers, so only buckets of pointers are sorted, not of all places.
 
-Round one sorts pointers by their bucket, then by the identifiers of the later offsets that make up the whole stretch: sub-buckets
-of equal stretches. It tells who is first in a sub-bucket and whether the bucket has others. Round two refines what is still open,
-the first stretches of buckets with several sub-buckets: their windows are sorted by the identifiers of the offsets that make up a
-window. All others are settled by round one: a stretch with an earlier copy goes whole, and is represented by that copy.
-
-Texts are dealt into chunks by a hash; a chunk sends its distinct buckets to ranges of identifiers, packed, with the smallest
-document id of each, and is told the smallest id over all chunks (see ``chunks``). So neither copies by the thousand nor a passage
-that every document has make more than one entry a chunk. Chunks and ranges number about the square root of the corpus in units
-of some kilobytes; a longer text is worked through in slices. A bucket is told apart by 64 bits in round two and by the bits of
-its pointer, 48 and those of its range, together with 56 of its stretch in round one.
+Round one sorts pointers by their bucket, and sub-buckets, which the identifiers of the later offsets that make up the whole
+stretch refine: equal stretches. It tells who is first in a sub-bucket and whether a bucket has several. Round two refines what is
+still open, the first stretches of buckets with several sub-buckets: their windows are sorted by the identifiers of the offsets
+that make up a window. All others are settled by round one: a stretch with an earlier copy goes whole, and is represented by it.
+
+Texts are dealt into chunks by a hash; a chunk sends its distinct buckets and sub-buckets to ranges of identifiers, packed, a
+bucket with a mark of its stretch (or that it has several), a sub-bucket with the smallest document id, and is told what holds over
+all chunks (see ``chunks``). So neither copies by the thousand, nor a passage that every document has, nor a q-gram in ever new
+surroundings makes more than one entry a chunk in any range. Chunks and ranges number about the square root of the corpus in units
+of some kilobytes; a longer text is worked through in slices. Sub-buckets and windows are told apart by 64 bits, buckets by 48 and
+those of their range, marks by 40.
 
 Null texts are empty. A null id counts as larger than any other. Rows with the same id do not remove from each other, so
 repeated rows are judged alike. An empty table gives no rows; further columns are ignored.
@@ -41,6 +42,8 @@ _NO_ID = (1 << 63) - 1
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
 _STEP, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _STRETCH = np.uint64(0xD6E8FEB86659FD93)
+#: Bits of a stretch's identifier that tell whether a bucket has several.
+_MARK = np.uint64((1 << 40) - 1)
 
 
 def gram_buckets(data: np.ndarray) -> np.ndarray:
@@ -108,7 +111,7 @@ class Stretches:
         last = stop_at[np.searchsorted(stop_at, first)]
         at, final = pointer[first], last + self.window - GRAM
         own = _refined(grams, [*(np.minimum(first + GRAM * j, final) for j in range(-(-(self.window + width - 1) // GRAM))), final])
-        own = mixed(own + ((at - first).astype(np.uint64) << np.uint64(32)) + (last - first).astype(np.uint64)) >> np.uint64(8)
+        own = mixed(own + ((at - first).astype(np.uint64) << np.uint64(32)) + (last - first).astype(np.uint64))
         bucket, text = grams[at], np.searchsorted(self.bounds, first + start, "right")
         same = np.zeros(len(first), bool)
         same[1:] = (bucket[1:] == bucket[:-1]) & (own[1:] == own[:-1]) & (text[1:] == text[:-1])
@@ -157,12 +160,20 @@ class _Chunk:
         self.order, self.ids, self.texts = order, ids[order], [texts[i] for i in order]
         self.found = Stretches(self.texts, window)
         f = self.found
-        # Sub-buckets in the order of their buckets, within each by place: texts stand in the order of their ids.
-        self.sorted = np.lexsort((f.first, f.own, f.bucket))
-        self.new = _first_rows(self.sorted, f.bucket, f.own)
+        # Sub-buckets by name, within each by place: texts stand in the order of their ids.
+        name = mixed(f.bucket * _STRETCH + f.own)
+        self.sorted = np.lexsort((f.first, name))
+        self.new = _first_rows(self.sorted, name)
         self.group = np.cumsum(self.new) - 1
         head = self.sorted[self.new]
-        self.buckets, self.owns, self.least = f.bucket[head], f.own[head], self.ids[f.text[head]]
+        self.names, self.least = name[head], self.ids[f.text[head]]
+        # Of every bucket a mark of its stretch; none if there are several here already.
+        self.buckets, self.bucket_of = np.unique(f.bucket, return_inverse=True)
+        order = np.lexsort((f.own, f.bucket))
+        starts = np.flatnonzero(_first_rows(order, f.bucket))
+        low = f.own[order][starts]
+        high = f.own[order][np.concatenate((starts[1:] - 1, [len(order) - 1]))] if len(order) else low
+        self.marks = np.where(low == high, (low & _MARK) | np.uint64(1), np.uint64(0))
 
     def repeated(self, least: np.ndarray) -> np.ndarray:
         """Stretches with an earlier copy, in the order ``sorted``: in a smaller document, or earlier in their own."""
@@ -174,7 +185,7 @@ class _Open:
 
     def __init__(self, chunk: _Chunk, least: np.ndarray, several: np.ndarray):
         again = chunk.repeated(least)
-        which = np.sort(chunk.sorted[~again & several[chunk.group]])
+        which = np.sort(chunk.sorted[~again & several[chunk.bucket_of[chunk.sorted]]])
         self.of, self.place, self.key = chunk.found.windows(which)
         self.text = chunk.found.text[self.of]
         self.sorted = np.lexsort((self.place, self.key))
@@ -190,7 +201,7 @@ class _Open:
         return self.place[self.sorted[again]]
 
 
-_ASKED = "range int, chunk int, keys binary, own binary, ids binary"
+_ASKED = "range int, chunk int, keys binary, marks binary, ids binary"
 _TOLD = "chunk int, range int, ids binary, several binary"
 
 
@@ -198,43 +209,63 @@ def _table(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.
     return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
 
-def _asked(chunk: int, count: int, keys: np.ndarray, own: np.ndarray | None, ids: np.ndarray) -> pa.Table:
-    """Requests of sorted keys, a row for each range that has any."""
+def _asked(chunk: int, count: int, keys: np.ndarray, marks: np.ndarray | None = None, ids: np.ndarray | None = None) -> list[tuple]:
+    """Requests of sorted keys, a row for each range that has any: buckets with marks, or sub-buckets with ids."""
     cuts, rows = range_cuts(keys, count), []
     for i in range(count):
         a, b = int(cuts[i]), int(cuts[i + 1])
-        if a < b:
-            plain = squeezed(np.diff(keys[a:b], prepend=np.uint64(0))) if own is None else offsets48(keys[a:b], i, count)
-            rows.append((i, chunk, plain, None if own is None else squeezed(own[a:b]), squeezed(ids[a:b])))
-    return _table(rows, [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()], ["range", "chunk", "keys", "own", "ids"])
+        if a < b and marks is not None:
+            rows.append((i, chunk, offsets48(keys[a:b], i, count), squeezed(marks[a:b]), None))
+        elif a < b:
+            rows.append((i, chunk, squeezed(np.diff(keys[a:b], prepend=np.uint64(0))), None, squeezed(ids[a:b])))
+    return rows
+
+
+def _ask_table(rows: list[tuple]) -> pa.Table:
+    return _table(rows, [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()], ["range", "chunk", "keys", "marks", "ids"])
 
 
 def _told(key: tuple, asked: pa.Table) -> pa.Table:
-    """For every request of a range, in its order: the smallest id of each entry, and whether its bucket has several."""
-    first = [unpacked48(k) if o is not None else np.cumsum(expanded(k, np.uint64), dtype=np.uint64)
-             for k, o in zip(asked["keys"].to_pylist(), asked["own"].to_pylist())]
-    cuts = np.cumsum([0, *map(len, first)])
-    keys, ids = np.concatenate(first), np.concatenate([expanded(x, np.int64) for x in asked["ids"].to_pylist()])
-    own = np.concatenate([np.zeros(len(k), np.uint64) if o is None else expanded(o, np.uint64) for k, o in zip(first, asked["own"].to_pylist())])
-    order = np.lexsort((ids, own, keys))
-    new = _first_rows(order, keys, own)
-    least = np.empty(len(ids), np.int64)
-    least[order] = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-    bucket = np.cumsum(_first_rows(order, keys)) - 1
-    several = np.empty(len(ids), bool)
-    several[order] = (np.bincount(bucket, weights=new) > 1)[bucket]
-    # What is not smaller than the asker's own id tells it nothing.
-    least = np.where(least < ids, least, _NO_ID)
-    rows = [(c, key[0].as_py(), squeezed(least[a:b]), squeezed(several[a:b].astype(np.uint8)))
-            for c, a, b in zip(asked["chunk"].to_pylist(), cuts[:-1], cuts[1:])]
+    """What a range answers, in the order of each request: whether a bucket has several stretches, the smallest id of a sub-bucket."""
+    rows, by_mark = [], pa.compute.is_valid(asked["marks"])
+    for part, answer, values in ((asked.filter(by_mark), _several, "marks"), (asked.filter(pa.compute.invert(by_mark)), _least, "ids")):
+        if not part.num_rows:
+            continue
+        marked = values == "marks"
+        keys = [unpacked48(k) if marked else np.cumsum(expanded(k, np.uint64), dtype=np.uint64) for k in part["keys"].to_pylist()]
+        cuts = np.cumsum([0, *map(len, keys)])
+        told = answer(np.concatenate(keys), np.concatenate([expanded(x, np.uint64 if marked else np.int64) for x in part[values].to_pylist()]))
+        for chunk, a, b in zip(part["chunk"].to_pylist(), cuts[:-1], cuts[1:]):
+            packed = squeezed(told[a:b])
+            rows.append((chunk, key[0].as_py(), None if marked else packed, packed if marked else None))
     return _table(rows, [pa.int32(), pa.int32(), pa.binary(), pa.binary()], ["chunk", "range", "ids", "several"])
 
 
-def _answers(told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    rows = told.sort_by("range")
-    ids = [expanded(x, np.int64) for x in rows["ids"].to_pylist()]
-    several = [expanded(x, np.uint8) for x in rows["several"].to_pylist()]
-    return np.concatenate([np.zeros(0, np.int64), *ids]), np.concatenate([np.zeros(0, np.uint8), *several]).astype(bool)
+def _several(keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    order = np.lexsort((marks, keys))
+    starts = np.flatnonzero(_first_rows(order, keys))
+    low, high = marks[order][starts], marks[order][np.concatenate((starts[1:] - 1, [len(order) - 1]))]
+    out = np.empty(len(keys), np.uint8)
+    out[order] = np.repeat(((low != high) | (low == 0)).astype(np.uint8), np.diff(np.concatenate((starts, [len(order)]))))
+    return out
+
+
+def _least(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    order = np.lexsort((ids, keys))
+    new = _first_rows(order, keys)
+    out = np.empty(len(ids), np.int64)
+    out[order] = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    # What is not smaller than the asker's own id tells it nothing.
+    return np.where(out < ids, out, _NO_ID)
+
+
+def _answers(told: pa.Table, column: str, dtype: type) -> np.ndarray:
+    rows = told.filter(pa.compute.is_valid(told[column])).sort_by("range")
+    return np.concatenate([np.zeros(0, dtype), *(expanded(x, dtype) for x in rows[column].to_pylist())])
+
+
+def _open(chunk: _Chunk, told: pa.Table) -> _Open:
+    return _Open(chunk, _answers(told, "ids", np.int64), _answers(told, "several", np.uint8).astype(bool))
 
 
 _RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<first:bigint,last:bigint>>, kept binary, kept_sha256 string"
@@ -255,17 +286,18 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
     def ask(key: tuple, docs: pa.Table) -> pa.Table:
         chunk = _Chunk(docs, window)
-        return _asked(key[0].as_py(), count, chunk.buckets, chunk.owns, chunk.least)
+        at = key[0].as_py()
+        return _ask_table(_asked(at, count, chunk.buckets, marks=chunk.marks) + _asked(at, count, chunk.names, ids=chunk.least))
 
     def refine(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
-        still = _Open(_Chunk(docs, window), *_answers(told))
-        return _asked(key[0].as_py(), count, still.keys, None, still.least)
+        still = _open(_Chunk(docs, window), told)
+        return _ask_table(_asked(key[0].as_py(), count, still.keys, ids=still.least))
 
     def cut(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
         second = pa.compute.equal(told["round"], 2)
         chunk = _Chunk(docs, window)
-        still = _Open(chunk, *_answers(told.filter(pa.compute.invert(second))))
-        windows = still.repeated(chunk.ids, _answers(told.filter(second))[0])
+        still = _open(chunk, told.filter(pa.compute.invert(second)))
+        windows = still.repeated(chunk.ids, _answers(told.filter(second), "ids", np.int64))
         found = chunk.found
         starts = np.concatenate((found.first[still.gone], found.again_first, windows))
         ends = np.concatenate((found.last[still.gone] + 1, found.again_end, windows + 1)) + window - 1
