@@ -112,7 +112,8 @@ class Stretches:
         at, final = pointer[first], last + self.window - GRAM
         own = _refined(grams, [*(np.minimum(first + GRAM * j, final) for j in range(-(-(self.window + width - 1) // GRAM))), final])
         own = mixed(own + ((at - first).astype(np.uint64) << np.uint64(32)) + (last - first).astype(np.uint64))
-        bucket, text = grams[at], np.searchsorted(self.bounds, first + start, "right")
+        # Spread again: the smallest of many identifiers are small ones.
+        bucket, text = mixed(grams[at] ^ _STRETCH), np.searchsorted(self.bounds, first + start, "right")
         same = np.zeros(len(first), bool)
         same[1:] = (bucket[1:] == bucket[:-1]) & (own[1:] == own[:-1]) & (text[1:] == text[:-1])
         again = merged(first[same] + start, last[same] + start + 1)
