@@ -32,7 +32,7 @@ SQL: dict[str, str] = {
         hit_places AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS place FROM found),
         hits AS (SELECT doc_id, count(*) AS n FROM hit_places GROUP BY doc_id),
         named AS (SELECT DISTINCT doc_id, item FROM found JOIN windows USING (phrase)),
-        names AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS joined FROM named GROUP BY doc_id)
+        names AS (SELECT doc_id, count(item) AS n, string_agg(item, ',' ORDER BY item) AS joined FROM named GROUP BY doc_id)
         SELECT doc_id, len(words) AS n_words, coalesce(hits.n, 0) AS n_hit, coalesce(names.n, 0) AS n_items,
                sha256(coalesce(joined, '')) AS items_sha256, hits.n IS NOT NULL AS contaminated
         FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN names USING (doc_id)""",

@@ -6,7 +6,7 @@ packed in blocks, and every block meets every segment: a window's lists are inte
 on, each list moved by the word's offset, until the last word has confirmed or the window has died out. Places leave gaps
 between documents, so no match crosses a border. ``slop`` allows each word to stand that many places off: proximity matches.
 
-Null texts have no words; items without id or without words are not searched for; repeated rows are judged row by row,
+Null texts have no words; items without words are not searched for, items without id are, but are named nowhere; repeated rows are judged row by row,
 repeated item ids are one item; an empty table of either kind gives no matches; further columns are ignored; a text longer
 than a segment is a segment of its own. Equality of words is that of 64-bit hashes.
 """
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapelake.llm.store import stored
+from tapelake.llm.store import numbered, stored
 from tapelake.llm.words import ALNUM, Words, as_bytes, text_slices
 
 #: Places between two documents of a segment; no slop may reach across.
@@ -64,12 +64,12 @@ def window_blocks(items: DataFrame, length: int, item_id: str = "item_id", text:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
-            held: list[tuple[str, np.ndarray]] = []
+            held: list[tuple[str | None, np.ndarray]] = []
             for a, b in text_slices(texts):
                 words = Words(texts[a:b], ALNUM, lower=True)
                 for i in range(a, b):
                     own = words.hashes[words.bounds[i - a]:words.bounds[i - a + 1]]
-                    for s in range(max(len(own) - length, 0) + 1 if len(own) and names[i] is not None else 0):
+                    for s in range(max(len(own) - length, 0) + 1 if len(own) else 0):
                         held.append((names[i], own[s:s + length]))
                         if len(held) == _BLOCK_WINDOWS:
                             yield block(held)
@@ -77,7 +77,7 @@ def window_blocks(items: DataFrame, length: int, item_id: str = "item_id", text:
             if held:
                 yield block(held)
 
-    def block(held: list[tuple[str, np.ndarray]]) -> pa.RecordBatch:
+    def block(held: list[tuple[str | None, np.ndarray]]) -> pa.RecordBatch:
         lengths = np.array([len(w) for _, w in held], np.uint32)
         return _batch(schema, [[[n for n, _ in held]], [lengths.tobytes()], [np.concatenate([w for _, w in held]).tobytes()]])
 
@@ -141,7 +141,9 @@ def phrase_matches(index: DataFrame, blocks: DataFrame, slop: int = 0) -> DataFr
                 lengths = np.frombuffer(row["lengths"], np.uint32).astype(np.int64)
                 ends = np.cumsum(lengths)
                 numbers = segment.numbers(np.frombuffer(row["window_terms"], np.uint64))
-                item_names, item_of = np.unique(np.array(row["items"], object), return_inverse=True)
+                numbered_items = {name: i for i, name in enumerate(dict.fromkeys(row["items"]))}
+                item_names = np.array(list(numbered_items), object)
+                item_of = np.array([numbered_items[name] for name in row["items"]], np.int64)
                 found = []
                 for k in np.unique(lengths):
                     own = np.flatnonzero(lengths == k)
@@ -189,9 +191,10 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = 10) -> DataFr
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, length: int = 10) -> DataFrame:
-    """The documents no window of an item occurs in. Rows are told apart by id and text."""
-    rows = docs.withColumn("_text_id", F.xxhash64("text"))
-    index = write_index(rows.select(F.xxhash64("doc_id", "_text_id").alias("doc_id"), "text"))
+    """The documents no window of an item occurs in, whether the item has an id or not. Rows are told apart by id and text."""
+    rows, restored = numbered(docs, "doc_id", "text")
+    rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
+    index = write_index(rows.select(F.col("row").alias("doc_id"), "text"))
     hits = phrase_matches(index, window_blocks(items, length)).select("segment", "nr").distinct()
-    found = hits.join(index.select("segment", F.posexplode("ids").alias("nr", "_row")), ["segment", "nr"]).select("_row").distinct()
-    return rows.withColumn("_row", F.xxhash64("doc_id", "_text_id")).join(found, "_row", "left_anti").select(*docs.columns)
+    found = hits.join(index.select("segment", F.posexplode("ids").alias("nr", "row")), ["segment", "nr"]).select("row").distinct()
+    return restored(rows.join(found, "row", "left_anti"))

@@ -1,7 +1,7 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
 A language's reference is what the corpus itself shows: the share of each character class over all its documents, and its
-most common short words with their shares of all words. A document is compared with the reference of its language by the
+most common words with their shares of all words. A document is compared with the reference of its language by the
 Jensen-Shannon distance (base 2, 0 to 1). Texts below a length have too few characters or words for a histogram, and texts
 without language or reference have nothing to be compared with; both pass this rule.
 
@@ -20,7 +20,6 @@ _SPACE = "[ \\t-\\r]"
 #: Character classes by what stays when everything else is taken away; white space and the rest follow by subtraction.
 _CLASSES = {"upper": "[^\\p{Lu}]+", "lower": "[^\\p{Ll}]+", "digit": "[^0-9]+", "stop": "[^.,;:!?'\"()-]+",
             "symbol": "[^#*$%&|<>@^~=+_/{}\\[\\]\\\\`]+"}
-_COMMON_LENGTH = 4
 COMMON_WORDS = 16
 MIN_CHARS, MIN_WORDS = 100, 50
 MAX_CHARS_DISTANCE, MAX_WORDS_DISTANCE = 0.28, 0.38
@@ -79,14 +78,12 @@ def text_counts(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame
 
 
 def common_words(df: DataFrame, top: int = COMMON_WORDS, lang: str = "lang", text: str = "text") -> DataFrame:
-    """Per language its most frequent words of up to four characters, with their shares of all its words."""
+    """Per language its most frequent words, with their shares of all its words."""
     words = df.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(words_of(F.col(text))).alias("w"))
-    # Longer words are counted together, as one entry without a word: their number is all the shares need of them.
-    short = F.when(F.length("w") <= _COMMON_LENGTH, F.col("w"))
-    counts = words.groupBy("lang", short.alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    counts = words.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))
-    best = counts.filter(F.col("w").isNotNull()).withColumn("r", rank).filter(F.col("r") <= top)
+    best = counts.withColumn("r", rank).filter(F.col("r") <= top)
     rows = best.join(totals, "lang").groupBy("lang").agg(F.sort_array(F.collect_list(F.struct(
         "r", "w", (F.col("n") / F.col("total")).alias("share")))).alias("x"))
     return rows.select("lang", F.col("x.w").alias("ref_words"), F.col("x.share").alias("ref_shares"))

@@ -7,8 +7,8 @@ assignments with these shard sizes, which differ by one row at most, and no task
 
 The matrix is drawn in two levels, groups of partitions first, so that its work is spread and every array stays at the
 square root of the number of partitions. Null ids and texts are hashed like any other value; identical rows are told apart
-by order only, which changes nothing in the result; an empty table gives no rows; other columns ride along, also where
-their names clash with those added here, as those begin with an underscore until the end.
+by order only, which changes nothing in the result; an empty table gives no rows; other columns ride along unchanged, those
+named ``shard`` or ``slot`` as ``input_shard`` and ``input_slot``.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapelake.llm.store import stored
+from tapelake.llm.store import numbered, renamed_apart, stored
 
 PARTITION_ROWS = 1000
 
@@ -105,13 +105,13 @@ def matrix(sums: Column, capacities: Column, seed: Column) -> Column:
 
 def _drawn(counts: DataFrame, side: int, n_shards: int, rows: int, seed: int) -> DataFrame:
     """For each partition (_g, _q) the running totals of its row of the matrix."""
-    groups = counts.groupBy("_g").agg(F.sum("_n").alias("_all"), F.sort_array(F.collect_list(F.struct("_q", "_n"))).alias("_qs"))
+    groups = stored(counts.groupBy("_g").agg(F.sum("_n").alias("_all"), F.sort_array(F.collect_list(F.struct("_q", "_n"))).alias("_qs")), "shuffle-counts")
     shares = F.array(*[F.lit(rows // n_shards + (k < rows % n_shards)).cast("long") for k in range(n_shards)])
-    whole = groups.agg(F.sort_array(F.collect_list(F.struct("_g", "_all", "_qs"))).alias("_gs"))
+    # One row with the sums of the groups, about the square root of the number of partitions.
+    whole = groups.agg(F.sort_array(F.collect_list(F.struct("_g", "_all"))).alias("_gs"))
     tops = whole.select("_gs", matrix(F.col("_gs._all"), shares, F.lit(seed)).alias("_m")).select(
-        F.explode(F.arrays_zip("_gs", "_m")).alias("_z")).select("_z._gs._g", "_z._gs._qs", F.col("_z._m").alias("_share"))
-    # Spread the groups again: the step before had one row.
-    cells = tops.repartition(side, "_g").select("_g", "_qs", matrix(F.col("_qs._n"), F.col("_share"), F.xxhash64(F.lit(seed), "_g")).alias("_m"))
+        F.explode(F.arrays_zip("_gs", "_m")).alias("_z")).select("_z._gs._g", F.col("_z._m").alias("_share"))
+    cells = groups.repartition(side, "_g").join(tops, "_g").select("_g", "_qs", matrix(F.col("_qs._n"), F.col("_share"), F.xxhash64(F.lit(seed), "_g")).alias("_m"))
     each = cells.select("_g", F.explode(F.arrays_zip("_qs", "_m")).alias("_z")).select("_g", F.col("_z._qs._q").alias("_q"), F.col("_z._m").alias("_xs"))
     ends = F.transform("_xs", lambda x, i: F.aggregate(F.slice("_xs", F.lit(1), i + 1), F.lit(0).cast("long"), lambda s, y: s + y))
     return each.select("_g", "_q", ends.alias("_ends"))
@@ -122,8 +122,13 @@ def shuffled(df: DataFrame, n_shards: int, key: Sequence[str], seed: int = 20, p
 
     ``key`` names the columns that tell rows apart. ``partition_rows`` is about how many rows a source partition has.
     """
-    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *key))
-    rows = df.count()
+    columns = df.columns
+    df = renamed_apart(df, ["shard", "slot"])
+    renamed = dict(zip(columns, df.columns))
+    inner, _ = numbered(df)
+    places = {c: f"_column{i}" for i, c in enumerate(df.columns)}
+    hashed = inner.withColumn("_h", F.xxhash64(F.lit(seed), *[places[renamed[k]] for k in key]))
+    rows = hashed.count()
     side = max(2, math.isqrt(rows // partition_rows) + 1)
     spread = lambda n, bits: F.pmod(F.shiftrightunsigned("_h", bits), F.lit(n)).cast("int")
     placed = hashed.withColumn("_g", spread(side, 32)).withColumn("_q", spread(side, 3))
@@ -142,4 +147,5 @@ def shuffled(df: DataFrame, n_shards: int, key: Sequence[str], seed: int = 20, p
         "shard", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")).alias("_from"))
     inner = F.row_number().over(Window.partitionBy("shard", "_b").orderBy("_p", "_h"))
     out = sent.withColumn("_i", inner).join(starts, ["shard", "_b"])
-    return out.withColumn("slot", (F.col("_from") + F.col("_i") - 1).cast("long")).drop("_h", "_p", "_b", "_i", "_from")
+    out = out.withColumn("slot", (F.col("_from") + F.col("_i") - 1).cast("long"))
+    return out.select(*[F.col(n).alias(c) for c, n in places.items()], "shard", "slot")

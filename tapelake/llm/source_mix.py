@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapelake.llm.store import stored
+from tapelake.llm.store import numbered, stored
 from tapelake.llm.words import mixed
 
 BLOCK, SHARD_SLOTS = 64, 1 << 16
@@ -219,10 +219,11 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     Texts stay out of the work on the mix and move once, to meet their number of copies by a hash of the whole row; identical
     rows share the copies of all of them.
     """
-    keyed = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    inner, restored = numbered(docs, "source", "text")
+    keyed = inner.withColumn("_row", F.xxhash64(*[c for c in inner.columns if c.startswith("_column")]))
     copies = copied(keyed.select("_row", "source", "text"))
     out = keyed.join(stored(copies.filter(F.col("_copies") > 0), "mix-copies"), "_row")
     rank = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))
     each = F.floor(F.col("_copies") / F.col("_rows")) + (rank <= F.col("_copies") % F.col("_rows")).cast("long")
-    return out.withColumn("_each", each).filter(F.col("_each") > 0).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_each"))).select(*docs.columns)
+    return restored(out.withColumn("_each", each).filter(F.col("_each") > 0).withColumn(
+        "_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_each"))))

@@ -54,6 +54,15 @@ def test_join_on_odd_rows(odd, none, odd_rows):
     assert sorted(r.doc_id for r in ngram_join.representatives(odd).collect() if r.doc_id is not None) == [0, 4, 5, 6, 7, 8, 9, 10, 12, 13, 14, 15]
 
 
+def test_representatives_of_rows_with_one_id(spark):
+    t, u, v = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "uno dos tres cuatro cinco seis")
+    rows = [(1, t), (5, t), (5, u), (7, u), (9, v), (9, v.upper()), (None, t), (3, None), (3, "")]
+    got = ngram_join.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    left = collections.Counter((r.doc_id, r.text) for r in got)
+    one = [k for k in left if k[0] == 9]
+    assert left == collections.Counter([(1, t), (5, u), (None, t), (3, None), (3, ""), one[0]]) and len(one) == 1
+
+
 @pytest.mark.parametrize("frequent", [1, 3, 1000])
 def test_join_finds_links_whatever_is_frequent(spark, frequent):
     rng = np.random.default_rng(frequent)
@@ -109,7 +118,7 @@ def test_phrases_on_odd_rows(spark, odd, none, odd_rows):
     got = phrase_index.contamination(odd, items).collect()
     assert len(got) == len(odd_rows)
     words = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
-    windows = {tuple(w): {"2"} for w in (words("one two"), words("three"))}
+    windows = {tuple(w): {"2"} for w in (words("one two"), words("three"))} | {tuple(words("one")): set()}
     long = words(odd_rows[0][1])[20:45]
     windows |= {tuple(long[i:i + 10]): {"1"} for i in range(16)}
     for r in got:
@@ -338,7 +347,7 @@ def test_disclosing_terms_of_whole_documents(spark):
 # --- op8
 
 def test_shuffle_shapes(odd, none, odd_rows):
-    got = shuffle_matrix.shuffled(odd.drop("shard"), 5, ["doc_id", "text"], partition_rows=2).collect()
+    got = shuffle_matrix.shuffled(odd, 5, ["doc_id", "text"], partition_rows=2).collect()
     assert len(got) == len(odd_rows)
     places = collections.defaultdict(list)
     for r in got:
