@@ -11,7 +11,7 @@ from tapelake.functions.numbers import as_column
 
 # A day of a stream is one file or one folder: date=YYYYMMDD.parquet, or date=YYYYMMDD with part files.
 STORE_FILE = r"/date=([0-9]{8})(?:\.parquet)?(?:/part-[^/]*\.parquet)?$"
-MANIFEST_FILE = r"/manifest/(?:date=)?([0-9]{8})(?:\.json)?(?:/part-[^/]*\.json)?$"
+MANIFEST_FILE = r"/manifest/(?:v=[^/]+/)?(?:date=)?([0-9]{8})(?:\.json)?(?:/part-[^/]*\.json)?$"
 
 
 def _calendar_day(digits: Column) -> Column:
@@ -29,9 +29,6 @@ def file_day(path: Column | str) -> Column:
     return _calendar_day(F.regexp_extract(as_column(path), STORE_FILE, 1))
 
 
-def parquet_relpath(stream: str, day: dt.date) -> str:
-    return f"{stream}/date={day:%Y%m%d}.parquet"
-
-
-def manifest_relpath(day: dt.date) -> str:
-    return f"manifest/{day:%Y%m%d}.json"
+def day_folder(top: str, run: str, day: dt.date) -> str:
+    """Where a run puts a day of a stream, or its manifest."""
+    return f"{top}/v={run}/date={day:%Y%m%d}"

@@ -1,8 +1,8 @@
 """Source trees into the raw store: judge, write sorted text, count again, record.
 
-All days of a batch go through the same few jobs. Nothing is written for a day that breaks a rule. Rows go to a staging
-folder, are counted there, and each sound day's folders are moved into the store. A day counts as done only with its
-manifest, which is written last; a job that dies in between is simply run again.
+All days of a batch go through the same few jobs. Nothing is written for a day that breaks a rule. Rows go to a folder of this
+run, are counted there and recorded in the store's index, the manifests of the sound days follow, and one version of the store
+publishes them all. A job that dies before that has changed nothing anybody reads, and is simply run again.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapelake.functions import archive_day, canonical_prefix, rollup_digest
+from tapelake.functions.names import day_folder
 from tapelake.operators.typed_scan import short_times
 from tapelake.operators.ingest_rules import (BLANK, dropped_by_prefix, file_facts, file_problems, in_universe, line_facts,
                                              path_problems, placed_files, quote_only, repeated_days, stream_receipts,
@@ -24,8 +25,9 @@ from tapelake.operators.ingest_rules import (BLANK, dropped_by_prefix, file_fact
 from tapelake.schema import MAIN_PREFIXES, ROW_GROUP_ROWS, STREAMS, SYMBOL_COL, TIME_COL
 from tapelake.session import qualified, shared_dir, small_frame
 from tapelake.sources.csv_tree import SourceError, header_text, tree_files, tree_lines
-from tapelake.sources.files import list_files, move_folder, read_footers, remove_folder, with_digests
-from tapelake.sources.raw_store import scan, store_files
+from tapelake.sources.files import read_footers, remove_folder, with_digests
+from tapelake.sources.raw_store import index_store, manifest_files, scan_containers, store_files
+from tapelake.sources.snapshots import Snapshot, commit, snapshot
 
 _BYTES_PER_TASK = 512 << 20
 RECEIPT = """
@@ -51,10 +53,10 @@ class BatchOutcome:
 
 def manifests(spark: SparkSession, root: str) -> DataFrame:
     """The receipts of all finished days."""
-    base = f"{qualified(spark, root).rstrip('/')}/manifest"
-    if list_files(spark, [base]).filter("rel is not null").isEmpty():
+    names = [r["path"] for r in manifest_files(spark, root).select("path").collect()]
+    if not names:
         return small_frame(spark, [], RECEIPT)
-    return spark.read.schema(RECEIPT).option("mode", "FAILFAST").option("recursiveFileLookup", True).json(base)
+    return spark.read.schema(RECEIPT).option("mode", "FAILFAST").json(names)
 
 
 def _digested(spark: SparkSession, trees: dict[dt.date, str]) -> DataFrame:
@@ -75,9 +77,9 @@ def _stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _output_digests(spark: SparkSession, root: str, days: list[dt.date]) -> DataFrame:
+def _output_digests(spark: SparkSession, root: str, days: list[dt.date], at: Snapshot | None = None) -> DataFrame:
     """(day, stream, n_rows_parquet, parquet_bytes, parquet_sha256) of the written files, read again from storage."""
-    files = store_files(spark, root).filter(F.col("day").isin(days))
+    files = store_files(spark, root, STREAMS, at).filter(F.col("day").isin(days))
     counted = read_footers(files.select("day", "stream", "path", "length")).groupBy("day", "stream", "path", "length") \
         .agg(F.max("file_rows").alias("n"))
     return with_digests(counted).groupBy("day", "stream").agg(
@@ -85,10 +87,12 @@ def _output_digests(spark: SparkSession, root: str, days: list[dt.date]) -> Data
         rollup_digest(F.substring_index("path", "/", -1), "sha256").alias("parquet_sha256"))
 
 
-def _with_short_times(outputs: DataFrame, root: str, days: list[dt.date]) -> DataFrame:
+def _with_short_times(outputs: DataFrame, root: str, days: list[dt.date], run: str) -> DataFrame:
     """Add ``n_short_times``, which spares every later read its own look at the time column."""
     spark = outputs.sparkSession
-    found = [short_times(scan(spark, root, s, days, [TIME_COL])).withColumn("stream", F.lit(s)) for s in STREAMS]
+    base = qualified(spark, root).rstrip("/")
+    found = [short_times(scan_containers(spark, [day_folder(f"{base}/{s}", run, d) for d in days], [TIME_COL])).withColumn("stream", F.lit(s))
+             for s in STREAMS]
     counts = reduce(DataFrame.unionByName, found).withColumnRenamed("n", "n_short_times")
     return outputs.join(counts, ["day", "stream"], "left").fillna(0, ["n_short_times"])
 
@@ -157,14 +161,14 @@ def write_rows(rows: DataFrame, target: str) -> None:
         .option("parquet.block.row.count.limit", ROW_GROUP_ROWS).partitionBy("date").parquet(target)
 
 
-def _write_streams(lines: DataFrame, facts: DataFrame, root: str, days: list[dt.date], prefixes: tuple[str, ...],
+def _write_streams(lines: DataFrame, facts: DataFrame, root: str, run: str, days: list[dt.date], prefixes: tuple[str, ...],
                    ascii_headers: DataFrame) -> None:
     spark = lines.sparkSession
     shapes = facts.filter(F.col("day").isin(days)).groupBy("stream", "day").agg(
         F.max("header_fields").alias("width"), F.sum("length").alias("bytes"), F.sum("n_rows").alias("n")).collect()
     body = _data_lines(lines, ascii_headers).filter(in_universe(prefixes))
     for stream, width in sorted({(r["stream"], r["width"]) for r in shapes}):
-        target = f"{root.rstrip('/')}/{stream}"
+        target = f"{root.rstrip('/')}/{stream}/v={run}"
         group = [r for r in shapes if (r["stream"], r["width"]) == (stream, width)]
         filled = [r["day"] for r in group if r["n"]]
         if filled:
@@ -206,6 +210,7 @@ def _ingest(spark: SparkSession, trees: dict[dt.date, str], root: str, prefixes:
     files = _stored(_digested(spark, trees), "files")
     source = small_frame(spark, [(d, t) for d, t in trees.items()], "day date, source string")
     sources = _stored(source.join(files.groupBy("day").agg(rollup_digest("rel", "sha256").alias("found")), "day", "left"), "sources")
+    base = snapshot(spark, root)
     errors = _done_days(spark, root, sources, prefixes)
     done = {d for d, e in errors.items() if e is None}
     errors = {d: e for d, e in errors.items() if e}
@@ -226,12 +231,16 @@ def _ingest(spark: SparkSession, trees: dict[dt.date, str], root: str, prefixes:
         errors |= {r["day"]: f"{r['e']['problem']}: {r['e']['detail']} ({r['n']} in all)" for r in first.collect()}
         wanted = [d for d in _attempted(trees, errors, stop_on_error) if d in new and d not in errors]
         if wanted:
-            staging = f"{root.rstrip('/')}/_staging-{uuid.uuid4().hex}"
-            _write_streams(lines, facts, staging, wanted, prefixes, headers)
-            outputs = _stored(_with_short_times(_output_digests(spark, staging, wanted), staging, wanted), "outputs")
+            run = uuid.uuid4().hex
+            _write_streams(lines, facts, root, run, wanted, prefixes, headers)
+            outputs = _stored(_with_short_times(_output_digests(spark, root, wanted, base.plus(wanted, run)), root, wanted, run), "outputs")
             errors |= _miscounted(facts.filter(F.col("day").isin(wanted)), outputs)
             good = [d for d in _attempted(trees, errors, stop_on_error) if d in wanted and d not in errors]
-            _publish(spark, staging, root, files, facts, outputs, sources, good, prefixes)
+            for day in set(wanted) - set(good):
+                for stream in STREAMS:
+                    remove_folder(spark, day_folder(f"{root.rstrip('/')}/{stream}", run, day))
+            if good:
+                _publish(spark, root, run, base, files, facts, outputs, sources, good, prefixes)
     return [(d, trees[d], "failed" if d in errors else "ok", errors.get(d)) for d in _attempted(trees, errors, stop_on_error)]
 
 
@@ -253,19 +262,15 @@ def _miscounted(facts: DataFrame, outputs: DataFrame) -> dict[dt.date, str]:
     return {d: "; ".join(texts) for d, texts in found.items()}
 
 
-def _publish(spark: SparkSession, staging: str, root: str, files: DataFrame, facts: DataFrame, outputs: DataFrame,
+def _publish(spark: SparkSession, root: str, run: str, base: Snapshot, files: DataFrame, facts: DataFrame, outputs: DataFrame,
              sources: DataFrame, good: list[dt.date], prefixes: tuple[str, ...]) -> None:
-    """Move the good days' folders into the store, write their manifests last, and remove the staging folder."""
-    base = root.rstrip("/")
-    for day in good:
-        for stream in STREAMS:
-            move_folder(spark, f"{staging}/{stream}/date={day:%Y%m%d}", f"{base}/{stream}/date={day:%Y%m%d}")
-    if good:
-        chosen: Column = F.col("day").isin(good)
-        receipts = _receipts(files.filter(chosen), facts.filter(chosen), outputs, sources.filter(chosen), prefixes)
-        receipts.withColumn("date", F.date_format("day", "yyyyMMdd")).repartition("date").write.mode("overwrite") \
-            .option("partitionOverwriteMode", "dynamic").partitionBy("date").json(f"{base}/manifest")
-    remove_folder(spark, staging)
+    """Record the good days' files and write their manifests, then publish them all at once."""
+    index_store(spark, root, days=good, at=base.plus(good, run))
+    chosen: Column = F.col("day").isin(good)
+    receipts = _receipts(files.filter(chosen), facts.filter(chosen), outputs, sources.filter(chosen), prefixes)
+    receipts.withColumn("date", F.date_format("day", "yyyyMMdd")).repartition("date").write.mode("overwrite") \
+        .partitionBy("date").json(f"{root.rstrip('/')}/manifest/v={run}")
+    commit(spark, root, good, run, base)
 
 
 def ingest(spark: SparkSession, day: dt.date, tree: str, root: str, prefixes: tuple[str, ...] = MAIN_PREFIXES) -> DataFrame:

@@ -10,6 +10,7 @@ from tapelake.operators.registry_rules import DEFECT_CODES
 from tapelake.schema import CSV_NAME, STREAMS, SYMBOL_COL
 from tapelake.session import qualified, shared_dir
 from tapelake.sources.files import write_lines
+from tapelake.sources.raw_store import index_store
 
 WIDTH = {"orders": 11, "trades": 13, "xinqing": 67}
 
@@ -76,15 +77,25 @@ def raw_rows(spark: SparkSession, sf_dir: str, time: Column | None = None) -> Da
                     symbol_of("user_id").alias(SYMBOL_COL), *[c.alias(f"column_{i}") for i, c in cells.items()])
 
 
-_STORES: dict[tuple[str, str], str] = {}
+_STORES: dict[tuple, str] = {}
 
 
-def event_store(spark: SparkSession, sf_dir: str, parts: int | None = None) -> str:
+def altered_rows(rows: DataFrame) -> DataFrame:
+    """Raw rows with some cells changed, some emptied and some rows lost."""
+    p = F.col("pos")
+    return rows.filter(p % 1999 != 7).withColumns({
+        "column_9": F.when(p % 97 == 0, "changed").otherwise(F.col("column_9")),
+        "column_8": F.when(p % 89 == 1, F.lit(None)).otherwise(F.col("column_8")),
+        "column_10": F.when(p % 83 == 2, F.lit(None)).otherwise(F.col("column_10"))})
+
+
+def event_store(spark: SparkSession, sf_dir: str, parts: int | None = None, altered: bool = False) -> str:
     """A raw store of all events in the shared folder, written once per application, in about ``parts`` part files a stream."""
-    key = (spark.sparkContext.applicationId, sf_dir, parts)
+    key = (spark.sparkContext.applicationId, sf_dir, parts, altered)
     if key not in _STORES:
         root = shared_dir(spark, "events")
-        rows = raw_rows(spark, sf_dir).withColumn("date", F.date_format("day", "yyyyMMdd").cast("int"))
+        rows = raw_rows(spark, sf_dir)
+        rows = (altered_rows(rows) if altered else rows).withColumn("date", F.date_format("day", "yyyyMMdd").cast("int"))
         order = ["date", SYMBOL_COL, "pos"]
         base = F.col("column_11").cast("bigint")
         ladder = {f"column_{i}": (base * 10 + i).cast("string") for i in range(14, WIDTH["xinqing"] + 1)}
@@ -95,6 +106,7 @@ def event_store(spark: SparkSession, sf_dir: str, parts: int | None = None) -> s
             chosen = chosen.withColumns(ladder) if stream == "xinqing" else chosen
             spread = chosen.repartitionByRange(parts, *order).sortWithinPartitions(*order)
             write_rows(spread.select(*names, SYMBOL_COL, "date"), f"{root}/{stream}")
+        index_store(spark, root)
         _STORES[key] = root
     return _STORES[key]
 

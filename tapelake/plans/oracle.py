@@ -150,6 +150,14 @@ SQL: dict[str, str] = {
     "store_ordered_read": f"WITH {_RAW} SELECT day, symbol, price AS last_price FROM raw WHERE stream = 'xinqing'",
     "store_physical_text": f"""WITH {_RAW} SELECT day, price_len AS len, event_id % 16 = 2 AS is_nul, count(*) AS n FROM raw
         WHERE stream = 'orders' GROUP BY ALL""",
+    "store_compare": f"""WITH {_RAW}, g AS (
+          SELECT stream, day, count(*) AS rows_a, count(*) FILTER (WHERE event_id % 1999 <> 7) AS rows_b,
+            count(*) FILTER (WHERE event_id % 89 = 1) + count(*) FILTER (WHERE event_id % 83 = 2) AS emptied,
+            count(*) FILTER (WHERE event_id % 97 = 0) AS changed FROM raw GROUP BY ALL)
+        SELECT stream, day, rows_a, rows_b, true AS schema_equal, CAST(0 AS BIGINT) AS nulls_a,
+          CASE WHEN rows_a = rows_b THEN emptied ELSE 0 END AS nulls_b,
+          CASE WHEN rows_a = rows_b THEN emptied + changed ELSE 0 END AS cells_differ,
+          rows_a = rows_b AND emptied + changed = 0 AS identical_modulo_null FROM g""",
     "store_days": f"""WITH {_RAW} SELECT day, 'unverified' AS quality FROM raw GROUP BY day HAVING count(DISTINCT stream) = 3""",
     "footer_catalog": f"""WITH {_RAW} SELECT stream, day, count(*) AS rows, min(symbol) AS symbol_min, max(symbol) AS symbol_max
         FROM raw GROUP BY stream, day""",

@@ -22,9 +22,10 @@ from tapelake.plans.encode import (chained_registry, earlier_registry, event_sto
 from tapelake.schema import CONTINUOUS_EXCL_AUCTIONS, FIELDS, STREAMS, SYMBOL_COL, ReadRequest
 from tapelake.session import prepare, shared_dir
 from tapelake.sources.files import read_footers
-from tapelake.sources.raw_store import RawStore, scan, store_files
+from tapelake.sources.raw_store import RawStore, store_files
 from tapelake.sources.registry import HANDLED_PATCHES, parse_registry, typed_entries
 from tapelake.sources.run_log import record_conflicts, run_records
+from tapelake.sources.store_index import KEYS, unfolded, with_footers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -153,12 +154,21 @@ def store_ordered_read(spark, sf_dir):
 @query
 def store_physical_text(spark, sf_dir):
     """Untouched text: lengths and NULs of the price column, day by day."""
-    root = event_store(spark, sf_dir)
-    rows = scan(spark, root, "orders", list(_store(spark, sf_dir).days()), ["column_9"])
+    store = _store(spark, sf_dir)
+    rows = store.inspect_days("orders", store.days(), ("column_9",))
     return _text_day(rows.groupBy("day", F.octet_length("column_9").alias("len"), (F.col("column_9") == "\x00").alias("is_nul"))
                      .agg(F.count(F.lit(1)).alias("n")))
 
 
+@query
+def store_compare(spark, sf_dir):
+    """The store against a copy with altered, emptied and lost cells and rows, stream by stream and day by day."""
+    report = audit.compare_stores(spark, event_store(spark, sf_dir), event_store(spark, sf_dir, altered=True), _store(spark, sf_dir).days())
+    total = lambda m: F.aggregate(F.map_values(m), F.lit(0).cast("bigint"), lambda s, n: s + n).alias(m)
+    return _text_day(report).select("stream", "day", "rows_a", "rows_b", "schema_equal", total("nulls_a"), total("nulls_b"),
+                                    total("cells_differ"), "identical_modulo_null")
+
+
 @query
 def store_days(spark, sf_dir):
     """Days complete in all three streams, with their quality."""
@@ -167,9 +177,10 @@ def store_days(spark, sf_dir):
 
 @query
 def footer_catalog(spark, sf_dir):
-    """Rows and symbol range per stream and day, from footers alone."""
-    files = store_files(spark, event_store(spark, sf_dir))
-    facts = footer_facts(read_footers(files.select("stream", "day", "path")))
+    """Rows and symbol range per stream and day, from the store's table of footers."""
+    root = event_store(spark, sf_dir)
+    files = store_files(spark, root).select("stream", "day", "path", *KEYS)
+    facts = footer_facts(unfolded(with_footers(files, root)))
     return _text_day(facts.select("stream", "day", "rows", "symbol_min", "symbol_max"))
 
 

@@ -26,9 +26,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])     # executors need
 
 _CHUNK = 1 << 20
 _HEADS = [("header", pa.binary()), ("body_offset", pa.int64())]
+_GROUP = [("row_group", pa.int32()), ("rows", pa.int64()), ("byte_size", pa.int64()), ("symbol_min", pa.string()),
+          ("symbol_max", pa.string()), ("has_range", pa.bool_())]
 _FOOTERS = [("file_rows", pa.int64()), ("columns", pa.list_(pa.string())), ("types", pa.list_(pa.string())),
-            ("row_group", pa.int32()), ("rows", pa.int64()),
-            ("byte_size", pa.int64()), ("symbol_min", pa.string()), ("symbol_max", pa.string()), ("has_range", pa.bool_())]
+            ("groups", pa.list_(pa.struct(_GROUP)))]
 
 
 def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -65,17 +66,17 @@ def _per_file(files: DataFrame, added: list[tuple[str, pa.DataType]], work: Call
 
 
 def list_files(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """All files below each root, empty ones included; a root that is no folder gives one row with a null name."""
+    """All files below each root with length and time of change, empty ones included; a root that is no folder gives a null name."""
 
     def listing(row: dict) -> list[tuple]:
         file_system, base = _file_system(row["root"])
         if file_system.get_file_info(base).type != pafs.FileType.Directory:
-            return [(None, -1)]
+            return [(None, -1, 0)]
         infos = file_system.get_file_info(pafs.FileSelector(base, recursive=True))
-        return [(i.path[len(base):].lstrip("/"), i.size) for i in infos if i.type == pafs.FileType.File]
+        return [(i.path[len(base):].lstrip("/"), i.size, i.mtime_ns or 0) for i in infos if i.type == pafs.FileType.File]
 
     names = small_frame(spark, [(qualified(spark, r),) for r in roots], "root string")
-    return _per_file(names, [("rel", pa.string()), ("length", pa.int64())], listing, most=len(roots))
+    return _per_file(names, [("rel", pa.string()), ("length", pa.int64()), ("modified", pa.int64())], listing, most=len(roots))
 
 
 def with_heads(files: DataFrame) -> DataFrame:
@@ -123,8 +124,8 @@ def digest_problems(expected: DataFrame, label: str = "file") -> DataFrame:
     return found.withColumn("problem", problem).filter("problem is not null")
 
 
-def read_footers(files: DataFrame) -> DataFrame:
-    """One row per row group of each file in ``path``; a file without row groups gives one row with null numbers."""
+def file_footers(files: DataFrame) -> DataFrame:
+    """Add to each file in ``path`` its rows, columns, their types and its row groups."""
 
     def footer(row: dict) -> list[tuple]:
         file_system, name = _file_system(row["path"])
@@ -140,8 +141,8 @@ def read_footers(files: DataFrame) -> DataFrame:
             stats = group.column(symbol).statistics if symbol >= 0 else None
             ranged = stats is not None and stats.has_min_max
             low, high = (stats.min, stats.max) if ranged else (None, None)
-            found.append((meta.num_rows, names, kinds, g, group.num_rows, size, low, high, ranged or group.num_rows == 0))
-        return found or [(meta.num_rows, names, kinds, None, None, None, None, None, True)]
+            found.append(dict(zip((n for n, _ in _GROUP), (g, group.num_rows, size, low, high, ranged or group.num_rows == 0), strict=True)))
+        return [(meta.num_rows, names, kinds, found)]
 
     return _per_file(files, _FOOTERS, footer)
 
@@ -173,22 +174,24 @@ def write_lines(lines: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "path string, lines bigint")
 
 
+def read_footers(files: DataFrame) -> DataFrame:
+    """One row per row group of each file in ``path``, opened; a file without row groups gives one row with null numbers."""
+    rows = file_footers(files).select(*files.columns, "file_rows", "columns", "types", F.explode_outer("groups").alias("__g"))
+    rows = rows.select(*files.columns, "file_rows", "columns", "types", "__g.*")
+    return rows.withColumn("has_range", F.coalesce("has_range", F.lit(True)))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    file_system, target = _hadoop(spark, path)
+    return file_system.exists(target)
+
+
 def _hadoop(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
-def move_folder(spark: SparkSession, source: str, target: str) -> None:
-    """Rename a folder, in place of whatever ``target`` holds: a change of names, as Spark's own committers make."""
-    file_system, old = _hadoop(spark, source)
-    _, new = _hadoop(spark, target)
-    file_system.delete(new, True)
-    file_system.mkdirs(new.getParent())
-    if not file_system.rename(old, new):
-        raise OSError(f"cannot move {source} to {target}")
-
-
 def remove_folder(spark: SparkSession, path: str) -> None:
     file_system, target = _hadoop(spark, path)
     file_system.delete(target, True)

@@ -1,11 +1,14 @@
-"""The raw store: ``{root}/{stream}/date=YYYYMMDD.parquet`` files, or ``date=YYYYMMDD`` folders of part files."""
+"""The raw store: ``{root}/{stream}/date=YYYYMMDD.parquet`` files, or ``date=YYYYMMDD`` folders of part files.
+
+Folders may stand below the ``v=RUN`` folder of the run that wrote them; a version of the store names the runs (``snapshots``).
+"""
 
 from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +22,10 @@ from tapelake.operators.row_groups import read_stats
 from tapelake.operators.typed_scan import check_short_times, keep_symbols, needed_columns, short_times, typed_rows
 from tapelake.schema import QUALITIES, STREAMS, SYMBOL_COL, TIME_COL, ReadRequest
 from tapelake.session import prepare, qualified, small_frame
-from tapelake.sources.files import list_files, read_footers
+from tapelake.sources.files import list_files
 from tapelake.sources.registry import HANDLED_PATCHES, Registry
+from tapelake.sources.snapshots import Snapshot, snapshot, visible
+from tapelake.sources.store_index import KEYS, index_path, presence, record_presence, unfolded, unrecorded, with_footers
 
 _FILE, _ROW = "__file", "__row"
 
@@ -71,10 +76,10 @@ def _day_number(number: str) -> Column:
                        F.call_function("div", n % 10_000, F.lit(100)).cast("int"), n % 100)
 
 
-def store_files(spark: SparkSession, root: str, streams: tuple[str, ...] = STREAMS) -> DataFrame:
-    """(stream, day, path, container, length) of every data file; ``day`` is null for an unregistered file shape.
+def store_files(spark: SparkSession, root: str, streams: tuple[str, ...] = STREAMS, at: Snapshot | None = None) -> DataFrame:
+    """(stream, day, path, container, rel, length, modified) of every data file; ``day`` is null for an unregistered file shape.
 
-    Hidden, marker and temporary files are no data.
+    Hidden, marker and temporary files are no data, nor are those of runs that the snapshot ``at`` (the last one) does not name.
     """
     base = qualified(spark, root).rstrip("/")
     files = list_files(spark, [f"{base}/{s}" for s in streams])
@@ -83,9 +88,18 @@ def store_files(spark: SparkSession, root: str, streams: tuple[str, ...] = STREA
         raise StoreError(f"raw store lacks its folder: {', '.join(sorted(absent))}")
     named = files.filter(~F.col("rel").rlike(r"(^|/)[._]") & ~F.col("rel").endswith(".tmp"))
     path = F.concat("root", F.lit("/"), "rel")
-    top = F.substring_index("rel", "/", 1)
-    return named.select(F.substring_index("root", "/", -1).alias("stream"), file_day(path).alias("day"),
-                        path.alias("path"), F.concat("root", F.lit("/"), top).alias("container"), "length")
+    container = F.regexp_extract(path, r"^(.*/date=[0-9]{8}(?:\.parquet)?)(?:/[^/]*)?$", 1)
+    files = named.select(F.substring_index("root", "/", -1).alias("stream"), file_day(path).alias("day"), path.alias("path"), container.alias("container"),
+                         F.concat_ws("/", F.substring_index("root", "/", -1), "rel").alias("rel"), "length", "modified")
+    return visible(files, at or snapshot(spark, root))
+
+
+def manifest_files(spark: SparkSession, root: str, at: Snapshot | None = None) -> DataFrame:
+    """(path, rel, length, day) of the manifests of a snapshot's days."""
+    listed = list_files(spark, [f"{qualified(spark, root).rstrip('/')}/manifest"]).filter("rel is not null")
+    paths = listed.select(F.concat("root", F.lit("/"), "rel").alias("path"), "rel", "length").filter(F.col("path").rlike(MANIFEST_FILE))
+    day = F.try_to_date(F.regexp_extract("path", MANIFEST_FILE, 1), "yyyyMMdd")
+    return visible(paths.withColumn("day", day), at or snapshot(spark, root))
 
 
 def file_order(path: str) -> tuple[Column, Column]:
@@ -101,14 +115,25 @@ def stored_days(spark: SparkSession, root: str) -> tuple[dt.date, ...]:
     return tuple(r["day"] for r in days.sort("day").select("day").collect())
 
 
+def checked_containers(spark: SparkSession, root: str, stream: str, days: list[dt.date], columns: list[str], at: Snapshot | None = None,
+                       index: str | None = None) -> list[str]:
+    """Files or folders of the days that exist; a column that a file lacks, which would read as null, raises."""
+    files = store_files(spark, root, (stream,), at).filter(F.col("day").isin(list(days)))
+    lacking = F.array_except(F.array(*map(F.lit, columns)).cast("array<string>"), "columns")
+    found = with_footers(files.select("path", "container", *KEYS), root, index).groupBy("container").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(lacking)))).alias("lacking"), F.min("path").alias("path")).collect()
+    for r in sorted(found, key=lambda r: r["path"]):
+        if r["lacking"]:
+            raise ValueError(f"{r['path']} lacks columns: {', '.join(r['lacking'])}")
+    return sorted(r["container"] for r in found)
+
+
 def scan(spark: SparkSession, root: str, stream: str, days: list[dt.date], columns: list[str], place: bool = False) -> DataFrame:
     """Physical text columns of the days that exist, with ``day``; with ``place``, also each row's file and row number.
 
-    The schema is given, not inferred: only these columns are read, and files may differ in width.
+    The schema is given, not inferred: only these columns are read, and files may differ in width but must have them all.
     """
-    files = store_files(spark, root, (stream,)).filter(F.col("day").isin(days))
-    containers = [r["container"] for r in files.select("container").distinct().collect()]
-    return scan_containers(spark, containers, columns, place)
+    return scan_containers(spark, checked_containers(spark, root, stream, days, columns), columns, place)
 
 
 def scan_containers(spark: SparkSession, containers: list[str], columns: list[str], place: bool = False) -> DataFrame:
@@ -116,10 +141,14 @@ def scan_containers(spark: SparkSession, containers: list[str], columns: list[st
     fields = [T.StructField(c, T.StringType()) for c in columns]
     places = [F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.row_index").alias(_ROW)] if place else []
     single = sorted(c for c in containers if c.endswith(".parquet"))
-    folders = sorted(c for c in containers if not c.endswith(".parquet"))
+    plain, runs = [], []
+    for c in sorted(set(containers) - set(single)):
+        (runs if "/v=" in c else plain).append(c)
     parts = []
-    if folders:                   # the day is a partition column: constant per file, free to read
-        base = folders[0].rsplit("/", 1)[0]
+    for folders, depth in ((plain, 1), (runs, 2)):
+        if not folders:           # the day is a partition column: constant per file, free to read
+            continue
+        base = folders[0].rsplit("/", depth)[0]
         reader = spark.read.schema(T.StructType([*fields, T.StructField("date", T.IntegerType())]))
         rows = reader.option("basePath", base).parquet(*folders)
         parts.append(rows.select(_day_number("date").alias("day"), *columns, *places))
@@ -131,21 +160,41 @@ def scan_containers(spark: SparkSession, containers: list[str], columns: list[st
     if not parts:
         ends = [T.StructField(_FILE, T.StringType()), T.StructField(_ROW, T.LongType())] if place else []
         parts.append(small_frame(spark, [], T.StructType([T.StructField("day", T.DateType()), *fields, *ends])))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return reduce(DataFrame.unionByName, parts)
+
+
+def index_store(spark: SparkSession, root: str, streams: tuple[str, ...] = STREAMS, index: str | None = None,
+                days: list[dt.date] | None = None, at: Snapshot | None = None) -> None:
+    """Record the footers and symbols of files (of some days) that are not recorded yet: opens and scans no other file."""
+    files = store_files(spark, root, streams, at).filter(F.col("day").isNotNull() if days is None else F.col("day").isin(days))
+    with_footers(files, root, index)
+    for stream in streams:
+        own = unrecorded(files.filter(F.col("stream") == stream), root, index)
+        containers = [r["container"] for r in own.select("container").distinct().collect()]
+        if containers:
+            rows = scan_containers(spark, containers, [SYMBOL_COL], place=True)
+            rel = F.regexp_extract(_FILE, f".*/({stream}/(?:v=[^/]+/)?date=.*)$", 1).alias("rel")
+            record_presence(own, rows.select(rel, SYMBOL_COL), root, index)
 
 
 class RawStore:
     """Reads over one store. Building it checks that the root and its three stream folders exist."""
 
-    def __init__(self, spark: SparkSession, root: str, registry: Registry) -> None:
+    def __init__(self, spark: SparkSession, root: str, registry: Registry, index: str | None = None, version: int | None = None) -> None:
+        """All reads see one version of the store, the last one by now unless another is asked for.
+
+        ``index`` is where facts of the files are kept, if not beside them: a folder a reader may write to.
+        """
         self.spark = prepare(spark)
+        self.at = snapshot(spark, root, version)
         self.root = root
         self.registry = registry
-        store_files(spark, root)
+        self.index = index or index_path(spark, root)
+        store_files(spark, root, STREAMS, self.at)
 
     def _containers(self, streams: tuple[str, ...] = STREAMS) -> dict[str, dict[dt.date, list[str]]]:
         """Stream to day to the day's file or folder, from one listing; a file of an unregistered shape raises."""
-        listed = store_files(self.spark, self.root, streams).groupBy("stream", "day", "container") \
+        listed = store_files(self.spark, self.root, streams, self.at).groupBy("stream", "day", "container") \
             .agg(F.min("path").alias("path")).collect()
         bad = sorted(r["path"] for r in listed if r["day"] is None)
         if bad:
@@ -157,8 +206,8 @@ class RawStore:
 
     def _footers(self, stream: str, days: tuple[dt.date, ...], columns: list[str]) -> DataFrame:
         """Footers of the days' files, judged: a missing column or a row group without symbol range raises."""
-        files = store_files(self.spark, self.root, (stream,)).filter(F.col("day").isin(list(days)))
-        footers = read_footers(files.select("stream", "day", "path"))
+        files = store_files(self.spark, self.root, (stream,), self.at).filter(F.col("day").isin(list(days)))
+        footers = unfolded(with_footers(files.select("stream", "day", "path", *KEYS), self.root, self.index))
         lacking = F.array_except(F.array(*[F.lit(c) for c in columns]), F.col("columns"))
         bad = footers.select("path", "row_group", "has_range", F.array_join(lacking, ", ").alias("lacking")) \
             .filter("not has_range or lacking <> ''").limit(5).collect()
@@ -167,13 +216,14 @@ class RawStore:
             raise StoreError(f"{r['path']} {what}")
         return footers.drop("has_range")
 
+    def build_index(self, streams: tuple[str, ...] = STREAMS) -> None:
+        """Record the footers and symbols of all files that are not recorded yet, as ingestion does for its own."""
+        index_store(self.spark, self.root, streams, self.index, at=self.at)
+
     def manifests(self) -> DataFrame:
         """(day, path, text) of every manifest."""
-        base = f"{qualified(self.spark, self.root).rstrip('/')}/manifest"
-        listed = list_files(self.spark, [base]).filter("rel is not null")
         day = F.try_to_date(F.regexp_extract("path", MANIFEST_FILE, 1), "yyyyMMdd")
-        paths = listed.select(F.concat("root", F.lit("/"), "rel").alias("path"), "length") \
-            .filter(F.col("path").rlike(MANIFEST_FILE)).withColumn("day", day)
+        paths = manifest_files(self.spark, self.root, self.at).select("path", "length", "day")
         # Spark's readers pass over empty files, so the text joins the listing and not the other way round
         names = [r["path"] for r in paths.filter("length > 0").select("path").collect()]
         if not names:
@@ -239,13 +289,17 @@ class RawStore:
             placed = scan_containers(self.spark, containers, columns, place=True)
             return typed_rows(placed, request, patched, keep=(_FILE, _ROW))
 
-        symbols = present = None
+        symbols = present = bitmaps = None
         if request.symbols is not None:
             symbols = small_frame(self.spark, [(s,) for s in sorted(request.symbols)], "symbol string")
-            # one aggregation over the symbol column alone; the symbol filter prunes row groups here too
-            present = keep_symbols(raw.select("day", SYMBOL_COL), request.symbols) \
-                .select("day", F.col(SYMBOL_COL).alias("symbol")).distinct()
-        gaps = attribute_gaps(request.stream, request.days, file_days, self.registry.entries, symbols, present)
+            files = store_files(self.spark, self.root, (request.stream,), self.at).filter(F.col("day").isin(list(request.days)))
+            open_days = unrecorded(files, self.root, self.index).select("day").distinct()
+            rest = [c for r in open_days.collect() for c in found[r["day"]]]
+            bitmaps = presence(files.select("day", *KEYS), self.root, self.index)
+            if rest:  # one aggregation over the symbol column alone; the symbol filter prunes row groups here too
+                present = keep_symbols(scan_containers(self.spark, rest, [SYMBOL_COL]), request.symbols) \
+                    .select("day", F.col(SYMBOL_COL).alias("symbol")).distinct()
+        gaps = attribute_gaps(request.stream, request.days, file_days, self.registry.entries, symbols, present, bitmaps)
         return ReadResult(typed_rows(raw, request, patched), gaps, footers, request, with_place)
 
     def _short_times(self, stream: str, found: dict[dt.date, list[str]]) -> DataFrame:
@@ -259,17 +313,18 @@ class RawStore:
         counts = small_frame(self.spark, list(known.items()), "day date, n bigint")
         return counts.unionByName(short_times(scan_containers(self.spark, rest, [TIME_COL]))) if rest else counts
 
-    def inspect_raw(self, stream: str, day: dt.date, columns: tuple[str, ...],
-                    symbols: frozenset[str] | None = None) -> DataFrame:
-        """Named physical columns as text, untouched by fields, registry or decoding."""
+    def inspect_days(self, stream: str, days: tuple[dt.date, ...], columns: tuple[str, ...], symbols: frozenset[str] | None = None) -> DataFrame:
+        """``day`` and named physical columns as text, untouched by fields, registry or decoding.
+
+        A day without a file and a column that a file lacks raise before any row is read.
+        """
+        absent = [d for d in days if d not in self._containers((stream,))[stream]]
+        if absent:
+            raise FileNotFoundError(f"no file of {stream} for {', '.join(f'{d:%Y-%m-%d}' for d in absent)}")
         wanted = list(dict.fromkeys([*columns, SYMBOL_COL]))
-        files = store_files(self.spark, self.root, (stream,)).filter(F.col("day") == F.lit(day))
-        lacking = F.array_except(F.array(*map(F.lit, wanted)), "columns")
-        footers = read_footers(files.select("path")).groupBy("path").agg(F.first("columns").alias("columns")).select("path", lacking.alias("lacking"))
-        found = footers.agg(F.count(F.lit(1)).alias("files"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("lacking")))).alias("lacking")).first()
-        if not found["files"]:
-            raise FileNotFoundError(f"no file of {stream} for {day:%Y-%m-%d}")
-        if found["lacking"]:
-            raise ValueError(f"{stream} on {day:%Y-%m-%d} lacks columns: {', '.join(found['lacking'])}")
-        rows = scan(self.spark, self.root, stream, [day], wanted)
-        return keep_symbols(rows, symbols).select(*columns)
+        containers = checked_containers(self.spark, self.root, stream, list(days), wanted, self.at, self.index)
+        return keep_symbols(scan_containers(self.spark, containers, wanted), symbols).select("day", *columns)
+
+    def inspect_raw(self, stream: str, day: dt.date, columns: tuple[str, ...], symbols: frozenset[str] | None = None) -> DataFrame:
+        """The same of one day, without ``day``."""
+        return self.inspect_days(stream, (day,), columns, symbols).select(*columns)
