@@ -318,7 +318,8 @@ class RawStore:
 
         A day without a file and a column that a file lacks raise before any row is read.
         """
-        absent = [d for d in days if d not in self._containers((stream,))[stream]]
+        have = self._containers((stream,))[stream]
+        absent = [d for d in days if d not in have]
         if absent:
             raise FileNotFoundError(f"no file of {stream} for {', '.join(f'{d:%Y-%m-%d}' for d in absent)}")
         wanted = list(dict.fromkeys([*columns, SYMBOL_COL]))
