@@ -25,9 +25,10 @@ from tapelake.operators.ingest_rules import (BLANK, dropped_by_prefix, file_fact
 from tapelake.schema import MAIN_PREFIXES, ROW_GROUP_ROWS, STREAMS, SYMBOL_COL, TIME_COL
 from tapelake.session import qualified, shared_dir, small_frame
 from tapelake.sources.csv_tree import SourceError, header_text, tree_files, tree_lines
-from tapelake.sources.files import read_footers, remove_folder, with_digests
+from tapelake.sources.files import read_footers, remove_folder, with_digests, with_heads
 from tapelake.sources.raw_store import index_store, manifest_files, scan_containers, store_files
 from tapelake.sources.snapshots import Snapshot, commit, snapshot
+from tapelake.sources.store_index import bind_sources, source_changes, with_leaves
 
 _BYTES_PER_TASK = 512 << 20
 RECEIPT = """
@@ -59,14 +60,20 @@ def manifests(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(RECEIPT).option("mode", "FAILFAST").json(names)
 
 
-def _digested(spark: SparkSession, trees: dict[dt.date, str]) -> DataFrame:
-    """Placed files with ``sha256``, each over the canonical frame of symbol, header and body."""
-    placed = placed_files(tree_files(spark, trees)).withColumn("header_text", header_text("header"))
+def _hashed(files: DataFrame) -> DataFrame:
+    """Files with header, body_offset and ``sha256``, which is over the canonical frame of symbol, header and body."""
+    placed = placed_files(with_heads(files)).withColumn("header_text", header_text("header"))
     body = F.col("length") - F.col("body_offset")
     prefix = F.concat(canonical_prefix(F.coalesce("symbol", "rel"), F.coalesce("header_text", F.lit(""))),
                       body.cast("string").cast("binary"), F.unhex(F.lit("00")))
     framed = placed.withColumns({"path": F.concat("root", F.lit("/"), "rel"), "prefix": prefix})
-    return with_digests(framed, prefix="prefix", skip="body_offset").drop("prefix")
+    return with_digests(framed, prefix="prefix", skip="body_offset").select(*files.columns, "header", "body_offset", "sha256")
+
+
+def _digested(spark: SparkSession, trees: dict[dt.date, str], root: str, rehash: bool) -> DataFrame:
+    """Placed files with header and digest; only those that changed since an earlier run are opened."""
+    listed = _stored(tree_files(spark, trees), "listing")
+    return placed_files(with_leaves(listed, root, _hashed, rehash)).withColumn("header_text", header_text("header"))
 
 
 def _stored(df: DataFrame, purpose: str) -> DataFrame:
@@ -97,7 +104,15 @@ def _with_short_times(outputs: DataFrame, root: str, days: list[dt.date], run: s
     return outputs.join(counts, ["day", "stream"], "left").fillna(0, ["n_short_times"])
 
 
-def _done_days(spark: SparkSession, root: str, sources: DataFrame, prefixes: tuple[str, ...]) -> dict[dt.date, str | None]:
+def _what_changed(files: DataFrame, root: str, base: Snapshot, days: list[dt.date]) -> dict[dt.date, str]:
+    """For each of the days, the first source file that changed since it was published, and how many did."""
+    changes = source_changes(files, root, {d: base.runs[d] for d in days if d in base.runs})
+    first = changes.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rel", "change")).alias("e"))
+    return {r["day"]: f": {r['e']['rel']} {r['e']['change']} ({r['n']} in all)" for r in first.collect()}
+
+
+def _done_days(spark: SparkSession, root: str, sources: DataFrame, prefixes: tuple[str, ...], files: DataFrame,
+               base: Snapshot) -> dict[dt.date, str | None]:
     """Days with a manifest: null when source, prefixes and output still agree with it, else what does not."""
     days = [r["day"] for r in sources.select("day").collect()]
     have = manifests(spark, root).filter(F.col("day").isin(days))
@@ -105,11 +120,13 @@ def _done_days(spark: SparkSession, root: str, sources: DataFrame, prefixes: tup
     if not rows:
         return {}
     now = {(r["day"], r["stream"]): r["parquet_sha256"] for r in _output_digests(spark, root, [r["day"] for r in rows]).collect()}
+    other = [r["day"] for r in rows if r["source_sha256"] != r["found"]]
+    changed = _what_changed(files, root, base, other) if other else {}
     out: dict[dt.date, str | None] = {}
     for r in rows:
         altered = [s["stream"] for s in r["streams"] if now.get((r["day"], s["stream"])) != s["parquet_sha256"]]
         if r["source_sha256"] != r["found"]:
-            out[r["day"]] = "already ingested from a source with another sha256"
+            out[r["day"]] = f"already ingested from a source with another sha256{changed.get(r['day'], '')}"
         elif tuple(r["prefixes"]) != prefixes:
             out[r["day"]] = "already ingested with other prefixes"
         elif {s["stream"] for s in r["streams"]} != set(STREAMS):
@@ -205,13 +222,13 @@ def _receipts(files: DataFrame, facts: DataFrame, outputs: DataFrame, sources: D
 
 
 def _ingest(spark: SparkSession, trees: dict[dt.date, str], root: str, prefixes: tuple[str, ...],
-            stop_on_error: bool) -> list[tuple[dt.date, str, str, str | None]]:
+            stop_on_error: bool, rehash: bool) -> list[tuple[dt.date, str, str, str | None]]:
     """Outcome rows in the order of ``trees``."""
-    files = _stored(_digested(spark, trees), "files")
+    files = _stored(_digested(spark, trees, root, rehash), "files")
     source = small_frame(spark, [(d, t) for d, t in trees.items()], "day date, source string")
     sources = _stored(source.join(files.groupBy("day").agg(rollup_digest("rel", "sha256").alias("found")), "day", "left"), "sources")
     base = snapshot(spark, root)
-    errors = _done_days(spark, root, sources, prefixes)
+    errors = _done_days(spark, root, sources, prefixes, files, base)
     done = {d for d, e in errors.items() if e is None}
     errors = {d: e for d, e in errors.items() if e}
     new = {d: t for d, t in trees.items() if d not in done and d not in errors}
@@ -267,22 +284,27 @@ def _publish(spark: SparkSession, root: str, run: str, base: Snapshot, files: Da
     """Record the good days' files and write their manifests, then publish them all at once."""
     index_store(spark, root, days=good, at=base.plus(good, run))
     chosen: Column = F.col("day").isin(good)
+    bind_sources(files.filter(chosen), root, run)
     receipts = _receipts(files.filter(chosen), facts.filter(chosen), outputs, sources.filter(chosen), prefixes)
     receipts.withColumn("date", F.date_format("day", "yyyyMMdd")).repartition("date").write.mode("overwrite") \
         .partitionBy("date").json(f"{root.rstrip('/')}/manifest/v={run}")
     commit(spark, root, good, run, base)
 
 
-def ingest(spark: SparkSession, day: dt.date, tree: str, root: str, prefixes: tuple[str, ...] = MAIN_PREFIXES) -> DataFrame:
-    """Ingest one unpacked day; its receipt. A day done before from the same source is left untouched."""
-    ((_, _, status, error),) = _ingest(spark, {day: tree}, root, tuple(prefixes), stop_on_error=True)
+def ingest(spark: SparkSession, day: dt.date, tree: str, root: str, prefixes: tuple[str, ...] = MAIN_PREFIXES,
+           rehash: bool = False) -> DataFrame:
+    """Ingest one unpacked day; its receipt. A day done before from the same source is left untouched.
+
+    Source files whose place, length and time of change are those of an earlier run are not hashed again unless ``rehash``.
+    """
+    ((_, _, status, error),) = _ingest(spark, {day: tree}, root, tuple(prefixes), True, rehash)
     if status != "ok":
         raise SourceError(f"{day:%Y-%m-%d}: {error}")
     return manifests(spark, root).filter(F.col("day") == F.lit(day))
 
 
 def ingest_days(spark: SparkSession, trees: list[str], root: str, prefixes: tuple[str, ...] = MAIN_PREFIXES,
-                stop_on_error: bool = True) -> BatchOutcome:
+                stop_on_error: bool = True, rehash: bool = False) -> BatchOutcome:
     """Ingest unpacked days, each in a folder named after its archive, ``YYYYMMDD.7z``.
 
     Other names are skipped and listed. With ``stop_on_error`` no day after the first bad one is published.
@@ -294,6 +316,6 @@ def ingest_days(spark: SparkSession, trees: list[str], root: str, prefixes: tupl
         raise ValueError(f"several archives for one day: {', '.join(f'{r['day']:%Y%m%d}' for r in twice)}")
     skipped = named.filter("day is null").select("source", F.lit("name is not YYYYMMDD.7z").alias("reason"))
     chosen = {r["day"]: r["source"] for r in named.filter("day is not null").sort("pos").collect()}
-    rows = _ingest(spark, chosen, root, tuple(prefixes), stop_on_error) if chosen else []
+    rows = _ingest(spark, chosen, root, tuple(prefixes), stop_on_error, rehash) if chosen else []
     outcomes = small_frame(spark, rows, "day date, source string, status string, error string")
     return BatchOutcome(outcomes, skipped)

@@ -266,25 +266,39 @@ def _tree_symbol() -> Column:
     return F.concat(pick(PREFIXES, u % 10), number, F.when(u % 2 == 0, ".SZ").otherwise(".SH"))
 
 
-def source_trees(spark: SparkSession, sf_dir: str) -> list[str]:
-    """GBK trees of all events in the shared folder, one a day, ``YYYYMMDD.7z/YYYYMMDD/symbol/csv``; their paths by day.
-
-    Every symbol of a day has all three files, some with a header alone. On days of the month 3, 10, 17, 24 and 31 every
-    fiftieth event's line holds a quote.
-    """
-    root = qualified(spark, shared_dir(spark, "trees"))
+def _tree_rows(spark: SparkSession, sf_dir: str, root: str, altered: bool) -> DataFrame:
+    """(path, place, line, changed) of the trees' files; ``altered`` gives the lines that are changed on even days another text."""
     e = table(spark, sf_dir, "events").select(
         F.date_format("ts", "yyyyMMdd").alias("ymd"), stream_of_event().alias("stream"), _tree_symbol().alias("symbol"),
         F.col("event_id").alias("place"), time_text().alias("t"), price_text().alias("p"), F.dayofmonth("ts").alias("d"))
+    changed = (F.col("d") % 2 == 0) & (F.col("place") % 61 == 7)
+    mark = F.when(changed, "y").otherwise("x") if altered else F.lit("x")
     spoilt = F.when((F.col("d") % 7 == 3) & (F.col("place") % 50 == 0), '"').otherwise("")
-    line = F.concat_ws(",", "symbol", F.lit("x"), "ymd", "t", "p", F.concat(F.col("place").cast("string"), spoilt))
+    line = F.concat_ws(",", "symbol", mark, "ymd", "t", "p", F.concat(F.col("place").cast("string"), spoilt))
     every = F.array(*[F.struct(F.lit(s).alias("stream"), F.lit(f"万得代码,{s},日期,时间,价格,编号").alias("line")) for s in STREAMS])
     heads = e.select("ymd", "symbol").distinct().select("ymd", "symbol", F.lit(-1).cast("bigint").alias("place"),
                                                         F.explode(every).alias("s")).select("ymd", "symbol", "place", "s.*")
-    rows = e.select("ymd", "symbol", "place", "stream", line.alias("line")).unionByName(heads)
+    rows = e.select("ymd", "symbol", "place", "stream", line.alias("line"), changed.alias("changed")) \
+        .unionByName(heads.withColumn("changed", F.lit(False)))
     csv = pick(tuple(CSV_NAME[s] for s in STREAMS), F.array_position(F.array(*[F.lit(s) for s in STREAMS]), F.col("stream")) - 1)
     path = F.concat_ws("/", F.lit(root), F.concat("ymd", F.lit(".7z")), "ymd", "symbol", csv)
-    written = write_lines(rows.select(path.alias("path"), "place", "line"))
+    return rows.select(path.alias("path"), "place", "line", "changed")
+
+
+def source_trees(spark: SparkSession, sf_dir: str) -> list[str]:
+    """GBK trees of all events in the shared folder, one a day, ``YYYYMMDD.7z/YYYYMMDD/symbol/csv``; their paths by day.
+
+    Every symbol of a day has all three files, some with a header alone. On days of the month 3, 10, 17, 24 and 31 every
+    fiftieth event's line holds a quote.
+    """
+    root = qualified(spark, shared_dir(spark, "trees"))
+    written = write_lines(_tree_rows(spark, sf_dir, root, altered=False))
     tree = F.substring_index("path", "/", -4)
     days = written.select(F.substring_index(tree, "/", 1).alias("tree")).distinct().collect()
     return sorted(f"{root}/{r['tree']}" for r in days)
+
+
+def alter_trees(spark: SparkSession, sf_dir: str, trees: list[str]) -> int:
+    """Write those files of the trees anew that hold a changed line; how many."""
+    rows = _tree_rows(spark, sf_dir, trees[0].rsplit("/", 1)[0], altered=True)
+    return write_lines(rows.join(rows.filter("changed").select("path").distinct(), "path", "left_semi")).count()

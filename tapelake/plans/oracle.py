@@ -286,6 +286,21 @@ SQL: dict[str, str] = {
     "ingest_batch_outcomes": f"""WITH {_TREES}
         SELECT day, ymd || '.7z' AS source, CASE WHEN n = 0 THEN 'ok' ELSE 'failed' END AS status,
           CASE WHEN n > 0 THEN 'body holds a quote: ' || place || ' (' || n || ' in all)' END AS error FROM outcomes""",
+    "ingest_again": f"""WITH {_TREES},
+        changed AS (SELECT day, count(DISTINCT rel) AS a, min(rel) AS first FROM (
+          SELECT day, ymd || '/' || symbol || '/' || CASE stream WHEN 'orders' THEN '逐笔委托.csv' WHEN 'trades' THEN '逐笔成交.csv'
+            ELSE '行情.csv' END AS rel FROM trees WHERE day(d) % 2 = 0 AND event_id % 61 = 7) GROUP BY day),
+        fewer AS (SELECT day, count(DISTINCT stream || ' ' || symbol) AS n, min(stream || ' ' || symbol) AS place FROM kept
+          WHERE spoilt AND substr(symbol, 1, 3) <> '{MAIN_PREFIXES[-1]}' GROUP BY day),
+        told AS (SELECT 'same' AS run, day, CASE WHEN n > 0 THEN 'body holds a quote: ' || place || ' (' || n || ' in all)' END AS error
+            FROM outcomes
+          UNION ALL SELECT r.run, day, CASE
+            WHEN o.n = 0 AND a > 0 THEN 'already ingested from a source with another sha256: ' || first || ' altered (' || a || ' in all)'
+            WHEN o.n = 0 AND r.run = 'prefixes' THEN 'already ingested with other prefixes'
+            WHEN r.run = 'altered' AND o.n > 0 THEN 'body holds a quote: ' || o.place || ' (' || o.n || ' in all)'
+            WHEN f.n > 0 THEN 'body holds a quote: ' || f.place || ' (' || f.n || ' in all)' END
+          FROM outcomes o LEFT JOIN changed USING (day) LEFT JOIN fewer f USING (day), (SELECT unnest(['altered', 'prefixes']) AS run) r)
+        SELECT run, day, CASE WHEN error IS NULL THEN 'ok' ELSE 'failed' END AS status, error FROM told""",
     "ingest_manifest": f"""WITH {_TREES},
         heads AS (SELECT unnest([{_ALL}]) AS stream),
         every AS (SELECT DISTINCT ymd, day, symbol, heads.stream FROM kept, heads),

@@ -17,9 +17,9 @@ from tapelake.operators.ingest_rules import (dropped_by_prefix, file_facts, file
                                              placed_files, quote_only, repeated_days, stream_receipts, symbol_streams)
 from tapelake.operators.row_groups import file_facts as footer_facts
 from tapelake.operators.typed_scan import short_times, typed_rows
-from tapelake.plans.encode import (chained_registry, earlier_registry, event_store, faulty_registry, later_registry, odd_time_text, part_registry,
+from tapelake.plans.encode import (alter_trees, chained_registry, earlier_registry, event_store, faulty_registry, later_registry, odd_time_text, part_registry,
                                    pick, raw_rows, source_files, source_lines, source_trees, symbol_of, table)
-from tapelake.schema import CONTINUOUS_EXCL_AUCTIONS, FIELDS, STREAMS, SYMBOL_COL, ReadRequest
+from tapelake.schema import CONTINUOUS_EXCL_AUCTIONS, FIELDS, MAIN_PREFIXES, STREAMS, SYMBOL_COL, ReadRequest
 from tapelake.session import prepare, shared_dir
 from tapelake.sources.files import read_footers
 from tapelake.sources.raw_store import RawStore, store_files
@@ -443,6 +443,21 @@ def ingest_read_back(spark, sf_dir):
     return _text_day(reduce(DataFrame.unionByName, rows))
 
 
+@query
+def ingest_again(spark, sf_dir):
+    """The same trees three times more: as they were, with some files altered, and with a prefix fewer; each day's outcome."""
+    trees, root = source_trees(spark, sf_dir), shared_dir(spark, "again")
+
+    def run(name: str, prefixes=MAIN_PREFIXES):
+        outcomes = ingest_days(spark, trees, root, prefixes, stop_on_error=False).outcomes
+        return outcomes.select(F.lit(name).alias("run"), "day", "status", "error")
+
+    ingest_days(spark, trees, root, stop_on_error=False)
+    same = run("same")
+    alter_trees(spark, sf_dir, trees)
+    return _text_day(same.unionByName(run("altered")).unionByName(run("prefixes", MAIN_PREFIXES[:-1])))
+
+
 def _archives(spark, sf_dir):
     k, date = F.col("o_orderkey") % 5, F.date_format("o_orderdate", "yyyyMMdd")
     name = F.when(k == 0, F.concat(date, F.lit(".7z"))).when(k == 1, F.concat(date, F.lit("(1).7z"))) \

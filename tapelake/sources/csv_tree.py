@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tapelake.schema import CSV_NAME
 from tapelake.session import qualified, small_frame
-from tapelake.sources.files import list_files, with_heads
+from tapelake.sources.files import list_files
 
 
 class SourceError(RuntimeError):
@@ -29,13 +29,13 @@ def stream_of(name: Column) -> Column:
 
 
 def tree_files(spark: SparkSession, trees: dict[dt.date, str]) -> DataFrame:
-    """(day, root, rel, length, header, body_offset) for every file of the trees, empty files included."""
+    """(day, root, rel, length, modified) for every file of the trees, empty files included. Opens none."""
     roots = small_frame(spark, [(qualified(spark, t).rstrip("/"), d) for d, t in trees.items()], "root string, day date")
     listed = list_files(spark, [t.rstrip("/") for t in trees.values()])
     absent = [r["root"] for r in listed.filter("rel is null").collect()]
     if absent:
         raise SourceError(f"no such source tree: {', '.join(sorted(absent))}")
-    return with_heads(listed).join(roots, "root").select("day", "root", "rel", "length", "header", "body_offset")
+    return listed.join(roots, "root").select("day", "root", "rel", "length", "modified")
 
 
 def tree_lines(spark: SparkSession, trees: dict[dt.date, str]) -> DataFrame:

@@ -1,9 +1,10 @@
 """What is known of a store's files, kept beside them so that no file is opened for it twice.
 
-Two tables below ``{root}/_index``, both keyed by a file's name in the store, its length and its time of change: footers, a row
-a file, and presence, the symbols of a file as bitmaps. A file that changed has another key and counts as unknown. Refreshing
-appends what the tables lack, found by an anti join of the listing; entries of files that are gone are never looked at. Two
-writers may append the same entries: an entry is a function of its key, and readers take one of each.
+Tables below ``{root}/_index``, keyed by a file's name in the store, its length and its time of change: footers, a row a file,
+and presence, the symbols of a file as bitmaps. Leaves, the digests of source files, have the source tree in their key as well. A
+file that changed has another key and counts as unknown. Refreshing appends what the tables lack, found by an anti join of the
+listing; entries of files that are gone are never looked at. Two writers may append the same entries: an entry is a function of
+its key, and readers take one of each. ``sources/v=RUN`` holds the names and digests that the days of a run are bound to.
 
 A symbol is six digits and a market, so it has a number below two million; a bitmap row covers ``BUCKET`` numbers, at most 62
 rows a file. Names of other shapes cannot be requested and are left out.
@@ -11,6 +12,10 @@ rows a file. Names of other shapes cannot be requested and are left out.
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +28,9 @@ _KEYS = "rel string, length bigint, modified bigint"
 FOOTERS = f"""{_KEYS}, file_rows bigint, columns array<string>, types array<string>, groups array<struct<
 row_group:int, rows:bigint, byte_size:bigint, symbol_min:string, symbol_max:string, has_range:boolean>>"""
 PRESENCE = f"{_KEYS}, bucket int, bits binary"
+LEAF_KEYS = ["root", *KEYS]
+LEAVES = f"root string, {_KEYS}, header binary, body_offset bigint, sha256 string"
+BOUND = "day date, rel string, sha256 string"
 #: Numbers in a bitmap of Spark's bitmap functions.
 BUCKET = 8 * 4096
 
@@ -36,7 +44,8 @@ def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def _append(rows: DataFrame, path: str) -> None:
-    rows.coalesce(8).write.mode("append").option("compression", "zstd").parquet(path)
+    # a shuffle of these few rows keeps the work that finds them spread
+    rows.repartition(8).write.mode("append").option("compression", "zstd").parquet(path)
 
 
 def symbol_number(symbol: Column) -> Column:
@@ -97,3 +106,44 @@ def unrecorded(files: DataFrame, root: str, index: str | None = None) -> DataFra
     spark = files.sparkSession
     known = _table(spark, f"{index or index_path(spark, root)}/presence", PRESENCE)
     return files.join(known.select(*KEYS), KEYS, "left_anti")
+
+
+def with_leaves(files: DataFrame, root: str, hashed: Callable[[DataFrame], DataFrame], anew: bool = False) -> DataFrame:
+    """``files`` of source trees (leaf keys among their columns) with header, body_offset and sha256.
+
+    ``hashed`` adds the three by opening files. It is given those without a leaf, or all of them if they are to be hashed ``anew``.
+    """
+    if anew:
+        return hashed(files)
+    spark = files.sparkSession
+    path = f"{index_path(spark, root)}/leaves"
+    known = _table(spark, path, LEAVES).select(*LEAF_KEYS)
+    unknown = files.join(known, LEAF_KEYS, "left_anti")
+    if not unknown.isEmpty():
+        _append(hashed(unknown).select(*known.columns, "header", "body_offset", "sha256"), path)
+    return files.join(_table(spark, path, LEAVES).dropDuplicates(LEAF_KEYS), LEAF_KEYS)
+
+
+def bind_sources(files: DataFrame, root: str, run: str) -> None:
+    """Record what the days of a run were made from, for ``source_changes``."""
+    _append(files.select("day", "rel", "sha256"), f"{index_path(files.sparkSession, root)}/sources/v={run}")
+
+
+def source_changes(files: DataFrame, root: str, runs: dict[dt.date, str]) -> DataFrame:
+    """(day, rel, change) of source files that are altered, added or missing since the given days' runs were bound to them.
+
+    Days without such a record, published before there were any, have no rows.
+    """
+    spark = files.sparkSession
+    days: dict[str, list[dt.date]] = {}
+    for day, run in runs.items():
+        days.setdefault(run, []).append(day)
+    none = small_frame(spark, [], BOUND)
+    bound = reduce(DataFrame.unionByName, [_table(spark, f"{index_path(spark, root)}/sources/v={run}", BOUND)
+                                           .filter(F.col("day").isin(own)) for run, own in sorted(days.items())], none)
+    told = bound.select("day").distinct()
+    both = files.join(told, "day", "left_semi").select("day", "rel", "sha256").alias("n") \
+        .join(bound.alias("o"), ["day", "rel"], "full_outer")
+    change = F.when(F.col("o.sha256").isNull(), "added").when(F.col("n.sha256").isNull(), "missing") \
+        .when(F.col("o.sha256") != F.col("n.sha256"), "altered")
+    return both.select("day", "rel", change.alias("change")).filter("change is not null")

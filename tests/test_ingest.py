@@ -18,6 +18,7 @@ from tapelake.sources.csv_tree import SourceError
 from tapelake.sources.files import digest_problems
 from tapelake.sources.raw_store import RawStore
 from tapelake.sources.registry import parse_registry
+from tapelake.sources.snapshots import snapshot
 from tapelake.sources.run_log import RecordConflict, append_records, run_records
 from tests.conftest import PLAIN, REGISTRY, header, put_source, source_files
 
@@ -97,6 +98,37 @@ def test_a_day_is_bound_to_its_source(spark, tmp_path, market):
         ingest(spark, PLAIN, source, str(market))
 
 
+def test_only_changed_sources_are_hashed_again(spark, tmp_path, market, monkeypatch):
+    files, source = market_day(tmp_path)
+    opened = []
+    hashed = ingest_module._hashed
+
+    def counted(rows):
+        opened.append(sorted(r["rel"] for r in rows.collect()))
+        return hashed(rows)
+
+    monkeypatch.setattr(ingest_module, "_hashed", counted)
+    ingest(spark, PLAIN, source, str(market))
+    assert [len(names) for names in opened] == [len(files)]
+    ingest(spark, PLAIN, source, str(market))
+    assert len(opened) == 1
+    ingest(spark, PLAIN, source, str(market), rehash=True)
+    assert [len(names) for names in opened] == [len(files)] * 2
+    folder = tmp_path / "source" / f"{PLAIN:%Y%m%d}"
+    changed = folder / "600519.SH" / ORDERS
+    changed.write_bytes(changed.read_bytes().replace(b"1", b"2"))
+    (folder / "601318.SH" / TRADES).rename(folder / "601318.SH" / "spare.csv")
+    with pytest.raises(SourceError) as error:
+        ingest(spark, PLAIN, source, str(market))
+    day = f"{PLAIN:%Y%m%d}"
+    assert f"another sha256: {day}/600519.SH/{ORDERS} altered (3 in all)" in str(error.value)
+    assert opened[2:] == [[f"{day}/600519.SH/{ORDERS}", f"{day}/601318.SH/spare.csv"]]
+    now = ingest_module._digested(spark, {PLAIN: source}, str(market), False)
+    changes = ingest_module.source_changes(now, str(market), snapshot(spark, str(market)).runs)
+    assert {(r["rel"].split("/", 1)[1], r["change"]) for r in changes.collect()} == {
+        (f"600519.SH/{ORDERS}", "altered"), (f"601318.SH/{TRADES}", "missing"), ("601318.SH/spare.csv", "added")}
+
+
 def test_headers_alone_make_an_empty_day(spark, tmp_path, market):
     ingest(spark, PLAIN, put_source(tmp_path / "flat", source_files({"600519.SH": 0})), str(market))
     store = RawStore(spark, str(market), parse_registry(spark, REGISTRY))
