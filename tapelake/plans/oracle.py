@@ -332,6 +332,13 @@ SQL: dict[str, str] = {
     "run_record_ids": f"""WITH {_RAW}, b AS (SELECT '{{"day":"' || day || '","first":' || min(event_id) || ',"n":' || count(*)
           || ',"stream":"' || stream || '"}}' AS body FROM raw GROUP BY day, stream)
         SELECT sha256(body) AS receipt_id, body FROM b""",
+    "run_records_appended": f"""WITH {_RAW}, b AS (SELECT '{{"day":"' || day || '","first":' || min(event_id) || ',"n":' || count(*)
+          || ',"stream":"' || stream || '"}}' AS body FROM raw GROUP BY day, stream)
+        SELECT sha256(body) AS receipt_id, body FROM b""",
+    "bound_files": f"""WITH {_RAW}, f AS (SELECT DISTINCT stream || '/' || (event_id // 256) || '.csv' AS path, event_id // 256 AS n FROM raw),
+        p AS (SELECT path, CASE WHEN n % 5 = 1 THEN 'missing' WHEN n % 7 = 3 AND n % 4 <> 2 THEN 'moved'
+            WHEN n % 7 = 3 THEN 'missing' WHEN n % 4 = 2 THEN 'altered' END AS problem FROM f)
+        SELECT path, problem, CASE WHEN problem = 'moved' THEN 'elsewhere/' || path END AS found_at FROM p WHERE problem IS NOT NULL""",
     "run_record_conflicts": f"""WITH {_RAW}, b AS (SELECT '{{"day":"' || day || '","first":' || min(event_id) || ',"n":' || count(*)
           || ',"stream":"' || stream || '"}}' AS body FROM raw WHERE stream = 'orders' GROUP BY day, stream)
         SELECT sha256(body) AS receipt_id FROM b""",

@@ -20,11 +20,11 @@ from tapelake.operators.typed_scan import short_times, typed_rows
 from tapelake.plans.encode import (alter_trees, chained_registry, earlier_registry, event_store, faulty_registry, later_registry, odd_time_text, part_registry,
                                    pick, raw_rows, source_files, source_lines, source_trees, symbol_of, table)
 from tapelake.schema import CONTINUOUS_EXCL_AUCTIONS, FIELDS, MAIN_PREFIXES, STREAMS, SYMBOL_COL, ReadRequest
-from tapelake.session import prepare, shared_dir
-from tapelake.sources.files import read_footers
+from tapelake.session import prepare, qualified, shared_dir
+from tapelake.sources.files import bound_file_problems, list_files, read_footers, with_digests, write_lines
 from tapelake.sources.raw_store import RawStore, store_files
 from tapelake.sources.registry import HANDLED_PATCHES, parse_registry, typed_entries
-from tapelake.sources.run_log import record_conflicts, run_records
+from tapelake.sources.run_log import append_records, record_conflicts, run_records
 from tapelake.sources.store_index import KEYS, unfolded, with_footers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -505,6 +505,34 @@ def run_record_ids(spark, sf_dir):
     return _records(spark, sf_dir)
 
 
+@query
+def run_records_appended(spark, sf_dir):
+    """A log after three appends: of the orders' records, of all, and of the quotes' once more."""
+    records, log = _records(spark, sf_dir), shared_dir(spark, "records")
+    for part in (records.filter("body like '%\"orders\"%'"), records, records.filter("body like '%\"xinqing\"%'")):
+        appended = append_records(part, log)
+    return appended.select("receipt_id", "body")
+
+
+@query
+def bound_files(spark, sf_dir):
+    """Files of up to 256 lines of a stream, against digests of their lines: some files lack, some differ, some have moved."""
+    root = qualified(spark, shared_dir(spark, "bound"))
+    n = F.col("n")
+    lines = raw_rows(spark, sf_dir).select(
+        "stream", F.call_function("div", "pos", F.lit(256)).alias("n"), F.col("pos").alias("place"),
+        F.concat_ws(",", F.col("pos").cast("string"), SYMBOL_COL).alias("line"))
+    name = F.concat("stream", F.lit("/"), n, F.lit(".csv"))
+    put = F.when(n % 7 == 3, F.concat(F.lit("elsewhere/"), name)).otherwise(name)
+    written = lines.filter(n % 5 != 1)
+    line = F.when(n % 4 == 2, F.concat(F.lit("altered "), "line")).otherwise(F.col("line"))
+    write_lines(written.select(F.concat_ws("/", F.lit(root), put).alias("path"), "place", line.alias("line"))).count()
+    listed = list_files(spark, [root]).select(F.concat("root", F.lit("/"), "rel").alias("full"), F.col("rel").alias("path"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda p: F.concat(p["line"], F.lit("\n"))), "")
+    expected = lines.groupBy("stream", "n").agg(F.sha2(text, 256).alias("sha256")).select(name.alias("path"), "sha256")
+    return bound_file_problems(expected, with_digests(listed, "full").select("path", "sha256"))
+
+
 @query
 def run_record_conflicts(spark, sf_dir):
     """Records against a log in which the orders' bodies were altered."""

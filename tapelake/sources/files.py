@@ -124,6 +124,22 @@ def digest_problems(expected: DataFrame, label: str = "file") -> DataFrame:
     return found.withColumn("problem", problem).filter("problem is not null")
 
 
+def bound_file_problems(expected: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, problem, found_at) of the expected (path, sha256) that ``files`` (path, sha256) do not hold as they should.
+
+    A file of the expected content under another name, which nothing else expects there, makes it ``moved``, and ``found_at`` is
+    the first such name. Otherwise the file is ``missing``, or ``altered`` where one of its name has other content. All joins
+    are by name or by content; names of equal content are reduced to the first before they meet.
+    """
+    wanted = expected.select("path", "sha256").distinct()
+    named = wanted.alias("e").join(files.alias("f"), "path", "left").select(
+        "path", F.col("e.sha256").alias("sha256"), F.col("f.sha256").alias("now"))
+    broken = named.filter(~F.col("sha256").eqNullSafe(F.col("now")))
+    spare = files.join(wanted, ["path", "sha256"], "left_anti").groupBy("sha256").agg(F.min("path").alias("found_at"))
+    problem = F.when(F.col("found_at").isNotNull(), "moved").when(F.col("now").isNull(), "missing").otherwise("altered")
+    return broken.join(spare, "sha256", "left").select("path", problem.alias("problem"), "found_at")
+
+
 def file_footers(files: DataFrame) -> DataFrame:
     """Add to each file in ``path`` its rows, columns, their types and its row groups."""
 

@@ -60,13 +60,21 @@ def snapshot(spark: SparkSession, root: str, version: int | None = None) -> Snap
         return Snapshot(0, {})
     if version not in known:
         raise ValueError(f"no version {version} of {root}")
+    return Snapshot(version, {dt.date.fromisoformat(d): run for d, run in _content(spark, root, version)["runs"].items()})
+
+
+def _content(spark: SparkSession, root: str, version: int) -> dict:
     files, folder = _folder(spark, root)
     stream = files.open(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, f"{version:0{_NUMBER}d}.json"))
     try:
-        told = json.loads(bytes(stream.readAllBytes()).decode())
+        return json.loads(bytes(stream.readAllBytes()).decode())
     finally:
         stream.close()
-    return Snapshot(version, {dt.date.fromisoformat(d): run for d, run in told["runs"].items()})
+
+
+def contents(spark: SparkSession, root: str) -> list[dict]:
+    """What every version of a log says, in order."""
+    return [_content(spark, root, v) for v in versions(spark, root)]
 
 
 def commit(spark: SparkSession, root: str, days: list[dt.date], run: str, base: Snapshot) -> Snapshot:
@@ -77,11 +85,11 @@ def commit(spark: SparkSession, root: str, days: list[dt.date], run: str, base:
         if taken:
             raise SnapshotConflict(f"published by another writer meanwhile: {', '.join(taken)}")
         runs = now.plus(days, run).runs
-        if _written(spark, root, now.version + 1, {"runs": {str(d): runs[d] for d in sorted(runs)}}):
+        if claim(spark, root, now.version + 1, {"runs": {str(d): runs[d] for d in sorted(runs)}}):
             return Snapshot(now.version + 1, runs)
 
 
-def _written(spark: SparkSession, root: str, version: int, content: dict) -> bool:
+def claim(spark: SparkSession, root: str, version: int, content: dict) -> bool:
     """Whether the version could be written: not if its number is taken."""
     jvm = spark.sparkContext._jvm
     files, folder = _folder(spark, root)

@@ -15,10 +15,11 @@ from tapelake.operators.content_digest import content_digests
 from tapelake.operators.ingest import ingest, ingest_days, manifests
 from tapelake.schema import CSV_NAME, ROW_GROUP_ROWS, ReadRequest
 from tapelake.sources.csv_tree import SourceError
-from tapelake.sources.files import digest_problems
+from tapelake.sources.files import bound_file_problems, digest_problems
 from tapelake.sources.raw_store import RawStore
 from tapelake.sources.registry import parse_registry
-from tapelake.sources.snapshots import snapshot
+from tapelake.sources import run_log
+from tapelake.sources.snapshots import snapshot, versions
 from tapelake.sources.run_log import RecordConflict, append_records, run_records
 from tests.conftest import PLAIN, REGISTRY, header, put_source, source_files
 
@@ -228,14 +229,64 @@ def test_file_digests_and_run_records(spark, tmp_path):
     row = records.filter("body like '%scan%'").first()
     assert row["body"] == '{"kind":"scan","n":1,"note":null}'
     assert row["receipt_id"] == hashlib.sha256(row["body"].encode()).hexdigest()
-    for p in (tmp_path / "log").glob("part-*.json"):
+    for p in (tmp_path / "log").glob("batch=*/part-*.json"):
         p.write_text(p.read_text().replace("scan", "scat"))
-    for p in (tmp_path / "log").glob(".part-*.crc"):
+    for p in (tmp_path / "log").glob("batch=*/.part-*.crc"):
         p.unlink()
     with pytest.raises(RecordConflict):
         append_records(records, log)
 
 
+def test_two_writers_of_records_meet(spark, tmp_path, monkeypatch):
+    """A writer appends between another's look at the log and its rename: each id is in once, a conflict is seen."""
+    def records(*rows):
+        return spark.createDataFrame(rows, "receipt_id string, body string")
+
+    def record(text):
+        return hashlib.sha256(text.encode()).hexdigest(), text
+
+    log, whole = str(tmp_path / "log"), run_log.claim
+    a, b, c = map(record, "abc")
+
+    def overtaken(other):
+        def first(spark, log, version, content):
+            monkeypatch.setattr(run_log, "claim", whole)
+            append_records(other, log)
+            return whole(spark, log, version, content)
+        monkeypatch.setattr(run_log, "claim", first)
+
+    overtaken(records(b, c))
+    got = append_records(records(a, b, b), log)
+    assert sorted((r["receipt_id"], r["body"]) for r in got.collect()) == sorted([a, b, c])
+    assert versions(spark, log) == [1, 2] and len(list((tmp_path / "log").glob("batch=*"))) == 2
+    overtaken(records((a[0][::-1], "x")))
+    with pytest.raises(RecordConflict):
+        append_records(records((a[0][::-1], "y")), log)
+
+    def dies(*args):
+        raise KeyboardInterrupt
+
+    log = str(tmp_path / "other")
+    append_records(records(a), log)
+    monkeypatch.setattr(run_log, "claim", dies)
+    with pytest.raises(KeyboardInterrupt):
+        append_records(records(b), log)
+    assert [r["body"] for r in run_log.log_records(spark, log).collect()] == ["a"]
+
+
+def test_bound_files_are_found_by_content(spark):
+    def frame(*rows):
+        return spark.createDataFrame(rows, "path string, sha256 string")
+
+    expected = frame(("a", "1"), ("b", "2"), ("c", "3"), ("d", "1"), ("e", "5"), ("e", "5"), ("g", "7"))
+    files = frame(("a", "1"), ("b", "9"), ("d", "8"), ("x", "3"), ("w", "3"), ("z", None), ("g", None))
+    got = {tuple(r) for r in bound_file_problems(expected, files).collect()}
+    # content expected at "a" and found there is no trace of "d"
+    assert got == {("b", "altered", None), ("c", "moved", "w"), ("d", "altered", None), ("e", "missing", None), ("g", "missing", None)}
+    assert bound_file_problems(expected.limit(0), files).count() == 0
+    assert bound_file_problems(expected, files.limit(0)).filter("problem = 'missing'").count() == 6
+
+
 def test_a_miscounted_day_fails_alone(spark, tmp_path, market, monkeypatch):
     """Rows lost on the way to staging show in the count: that day stays out of the store, the other is published."""
     sound = ingest_module._write_streams
