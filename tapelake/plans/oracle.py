@@ -148,6 +148,8 @@ SQL: dict[str, str] = {
     "store_order": f"""WITH {_RAW} SELECT day, row_number() OVER (PARTITION BY day ORDER BY symbol, event_id) - 1 AS place, symbol, event_id
         FROM raw WHERE stream = 'orders'""",
     "store_ordered_read": f"WITH {_RAW} SELECT day, symbol, price AS last_price FROM raw WHERE stream = 'xinqing'",
+    "store_placed_read": f"""WITH {_RAW} SELECT day, symbol, event_id AS oid, vol,
+        row_number() OVER (ORDER BY day DESC, symbol, event_id) - 1 AS place FROM raw WHERE stream = 'orders'""",
     "store_physical_text": f"""WITH {_RAW} SELECT day, price_len AS len, event_id % 16 = 2 AS is_nul, count(*) AS n FROM raw
         WHERE stream = 'orders' GROUP BY ALL""",
     "store_compare": f"""WITH {_RAW}, g AS (

@@ -151,6 +151,14 @@ def store_ordered_read(spark, sf_dir):
     return _text_day(store.read(ReadRequest("xinqing", days, ("last_price",))).ordered())
 
 
+@query
+def store_placed_read(spark, sf_dir):
+    """A read over days in descending request order in which every row states its place, without a sort."""
+    store = _store(spark, sf_dir)
+    days = tuple(reversed(store.days()))
+    return _text_day(store.read(ReadRequest("orders", days, ("oid", "vol"))).placed())
+
+
 @query
 def store_physical_text(spark, sf_dir):
     """Untouched text: lengths and NULs of the price column, day by day."""

@@ -59,6 +59,24 @@ class ReadResult:
         rows = self.frame.agg(F.count(F.lit(1)).alias("rows"))
         return read_stats(self.footers, self.request.symbols).join(rows, F.lit(True))
 
+    def placed(self) -> DataFrame:
+        """The rows with ``place``, their position in request day order and file order among all rows of these files.
+
+        Places come from the row counts in the footers and the row numbers the scan knows, so nothing is sorted or shuffled.
+        """
+        # one row a file, like the listing that names them
+        files = self.footers.select("day", "path", "file_rows").distinct().groupBy("day").agg(
+            F.array_sort(F.collect_list(F.struct(file_number("path").alias("number"), "path", "file_rows"))).alias("files"))
+        of_day = {r["day"]: r["files"] for r in files.collect()}
+        offsets, before = [], 0
+        for day in self.request.days:
+            for number, path, rows in of_day.get(day, ()):
+                offsets.append((day, path.rsplit("/", 1)[-1], before))
+                before += rows
+        table = small_frame(self.frame.sparkSession, offsets, f"day date, {_FILE} string, __before bigint")
+        rows = self._with_place().withColumn(_FILE, F.substring_index(_FILE, "/", -1)).join(table, ["day", _FILE])
+        return rows.select(*self.frame.columns, (F.col(_ROW) + F.col("__before")).alias("place"))
+
     def _day_ordinal(self) -> Column:
         return F.array_position(F.array(*[F.lit(d) for d in self.request.days]), F.col("day"))
 
@@ -104,8 +122,13 @@ def manifest_files(spark: SparkSession, root: str, at: Snapshot | None = None) -
 
 def file_order(path: str) -> tuple[Column, Column]:
     """Sort keys that bring part files in the order of their numbers, whatever the numbers' width."""
+    return file_number(path), F.col(path)
+
+
+def file_number(path: str) -> Column:
+    """The number of a part file; null for a file of another name."""
     number = F.regexp_extract(path, r"part-(\d+)[^/]*$", 1)
-    return F.when(number != "", number.cast("bigint")), F.col(path)
+    return F.when(number != "", number.cast("bigint"))
 
 
 def stored_days(spark: SparkSession, root: str) -> tuple[dt.date, ...]:
