@@ -288,6 +288,8 @@ SQL: dict[str, str] = {
     "ingest_batch_outcomes": f"""WITH {_TREES}
         SELECT day, ymd || '.7z' AS source, CASE WHEN n = 0 THEN 'ok' ELSE 'failed' END AS status,
           CASE WHEN n > 0 THEN 'body holds a quote: ' || place || ' (' || n || ' in all)' END AS error FROM outcomes""",
+    "time_shapes_streamed": f"""WITH {_TREES} SELECT day, stream, CASE WHEN h < 10 THEN 8 ELSE 9 END AS len, count(*) AS count
+        FROM kept JOIN outcomes USING (day) WHERE outcomes.n = 0 GROUP BY ALL""",
     "ingest_again": f"""WITH {_TREES},
         changed AS (SELECT day, count(DISTINCT rel) AS a, min(rel) AS first FROM (
           SELECT day, ymd || '/' || symbol || '/' || CASE stream WHEN 'orders' THEN '逐笔委托.csv' WHEN 'trades' THEN '逐笔成交.csv'

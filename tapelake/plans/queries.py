@@ -16,6 +16,7 @@ from tapelake.operators.ingest import ingest_days, manifests, sorted_rows, write
 from tapelake.operators.ingest_rules import (dropped_by_prefix, file_facts, file_problems, line_facts, path_problems,
                                              placed_files, quote_only, repeated_days, stream_receipts, symbol_streams)
 from tapelake.operators.row_groups import file_facts as footer_facts
+from tapelake.operators.shape_stream import stream_time_shapes, streamed_shapes
 from tapelake.operators.typed_scan import short_times, typed_rows
 from tapelake.plans.encode import (alter_trees, chained_registry, earlier_registry, event_store, faulty_registry, later_registry, odd_time_text, part_registry,
                                    pick, raw_rows, source_files, source_lines, source_trees, symbol_of, table)
@@ -259,6 +260,17 @@ def time_shapes_resumed(spark, sf_dir):
     return audit.append_time_shapes(spark, root, out)
 
 
+@query
+def time_shapes_streamed(spark, sf_dir):
+    """The histogram of published days, kept by a stream that ends and starts again between two batches of ingestion."""
+    trees, root = source_trees(spark, sf_dir), shared_dir(spark, "streamed")
+    out, checkpoint = shared_dir(spark, "streamed-shapes"), shared_dir(spark, "streamed-marks")
+    for part in (trees[::2], trees[1::2]):
+        ingest_days(spark, part, root, stop_on_error=False)
+        stream_time_shapes(spark, root, out, checkpoint)
+    return _text_day(streamed_shapes(spark, root, out))
+
+
 @query
 def pending_shapes(spark, sf_dir):
     """(day, stream) pairs not yet recorded, where those with a costly purchase or signup count as recorded."""

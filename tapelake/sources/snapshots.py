@@ -40,10 +40,15 @@ class Snapshot:
 
 def _folder(spark: SparkSession, root: str):
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{qualified(spark, root).rstrip('/')}/_versions")
+    path = jvm.org.apache.hadoop.fs.Path(log_folder(spark, root))
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
+def log_folder(spark: SparkSession, root: str) -> str:
+    """Where the versions of a store are, a JSON file each, named by its number."""
+    return f"{qualified(spark, root).rstrip('/')}/_versions"
+
+
 def versions(spark: SparkSession, root: str) -> list[int]:
     """All versions there are, ascending."""
     files, folder = _folder(spark, root)
