@@ -84,14 +84,14 @@ def test_two_writers(spark, market, monkeypatch):
         commit(spark, root, [DAYS[0]], "third", base)
     assert commit(spark, root, [DAYS[0]], "third", snapshot(spark, root)).runs[DAYS[0]] == "third"
     # The number is taken between looking and writing.
-    whole, raced = snapshots._written, []
+    whole, raced = snapshots.claim, []
 
     def race(s, r, version, content):
         if not raced:
             raced.append(whole(s, r, version, {"runs": {str(PLAIN): "other", str(DAYS[0]): "third", str(DAYS[1]): "second"}}))
         return whole(s, r, version, content)
 
-    monkeypatch.setattr(snapshots, "_written", race)
+    monkeypatch.setattr(snapshots, "claim", race)
     now = commit(spark, root, [DAYS[1]], "fourth", snapshot(spark, root))
     assert raced == [True] and now == Snapshot(5, {PLAIN: "other", DAYS[0]: "third", DAYS[1]: "fourth"}) == snapshot(spark, root)
     assert not list((market / "_versions").glob("*.tmp"))
