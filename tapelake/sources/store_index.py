@@ -39,11 +39,13 @@ def index_path(spark: SparkSession, root: str) -> str:
     return f"{qualified(spark, root).rstrip('/')}/_index"
 
 
-def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def stored_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table of the index, empty where there is none yet."""
     return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else small_frame(spark, [], schema)
 
 
-def _append(rows: DataFrame, path: str) -> None:
+def append_rows(rows: DataFrame, path: str) -> None:
+    """Add rows to a table of the index."""
     # a shuffle of these few rows keeps the work that finds them spread
     rows.repartition(8).write.mode("append").option("compression", "zstd").parquet(path)
 
@@ -70,10 +72,10 @@ def with_footers(files: DataFrame, root: str, index: str | None = None) -> DataF
     """``files`` (path and keys among their columns) with file_rows, columns, types and groups. Opens unknown files only."""
     spark = files.sparkSession
     path = f"{index or index_path(spark, root)}/footers"
-    unknown = files.select("path", *KEYS).join(_table(spark, path, FOOTERS).select(*KEYS), KEYS, "left_anti")
+    unknown = files.select("path", *KEYS).join(stored_table(spark, path, FOOTERS).select(*KEYS), KEYS, "left_anti")
     if not unknown.isEmpty():
-        _append(file_footers(unknown).drop("path"), path)
-    return files.join(_table(spark, path, FOOTERS).dropDuplicates(KEYS), KEYS)
+        append_rows(file_footers(unknown).drop("path"), path)
+    return files.join(stored_table(spark, path, FOOTERS).dropDuplicates(KEYS), KEYS)
 
 
 def unfolded(footers: DataFrame) -> DataFrame:
@@ -86,7 +88,7 @@ def unfolded(footers: DataFrame) -> DataFrame:
 def presence(files: DataFrame, root: str, index: str | None = None) -> DataFrame:
     """Bitmap rows of those files whose symbols are recorded; a file without any has one row with nulls."""
     spark = files.sparkSession
-    known = _table(spark, f"{index or index_path(spark, root)}/presence", PRESENCE)
+    known = stored_table(spark, f"{index or index_path(spark, root)}/presence", PRESENCE)
     return files.join(known.dropDuplicates([*KEYS, "bucket"]), KEYS)
 
 
@@ -94,17 +96,17 @@ def record_presence(files: DataFrame, symbols: DataFrame, root: str, index: str
     """Record the symbols of ``files`` that are not recorded yet, from ``symbols`` (rel, symbol) rows of at least those files."""
     spark = files.sparkSession
     path = f"{index or index_path(spark, root)}/presence"
-    unknown = files.select(*KEYS).join(_table(spark, path, PRESENCE).select(*KEYS), KEYS, "left_anti")
+    unknown = files.select(*KEYS).join(stored_table(spark, path, PRESENCE).select(*KEYS), KEYS, "left_anti")
     numbers = symbols.select("rel", symbol_number(F.col(SYMBOL_COL)).alias("n")).filter("n is not null")
     maps = numbers.groupBy("rel", bucket_of(F.col("n")).alias("bucket")).agg(
         F.bitmap_construct_agg((F.col("n") % BUCKET).cast("bigint")).alias("bits"))
-    _append(unknown.join(maps, "rel", "left"), path)
+    append_rows(unknown.join(maps, "rel", "left"), path)
 
 
 def unrecorded(files: DataFrame, root: str, index: str | None = None) -> DataFrame:
     """The files whose symbols are not recorded."""
     spark = files.sparkSession
-    known = _table(spark, f"{index or index_path(spark, root)}/presence", PRESENCE)
+    known = stored_table(spark, f"{index or index_path(spark, root)}/presence", PRESENCE)
     return files.join(known.select(*KEYS), KEYS, "left_anti")
 
 
@@ -117,16 +119,16 @@ def with_leaves(files: DataFrame, root: str, hashed: Callable[[DataFrame], DataF
         return hashed(files)
     spark = files.sparkSession
     path = f"{index_path(spark, root)}/leaves"
-    known = _table(spark, path, LEAVES).select(*LEAF_KEYS)
+    known = stored_table(spark, path, LEAVES).select(*LEAF_KEYS)
     unknown = files.join(known, LEAF_KEYS, "left_anti")
     if not unknown.isEmpty():
-        _append(hashed(unknown).select(*known.columns, "header", "body_offset", "sha256"), path)
-    return files.join(_table(spark, path, LEAVES).dropDuplicates(LEAF_KEYS), LEAF_KEYS)
+        append_rows(hashed(unknown).select(*known.columns, "header", "body_offset", "sha256"), path)
+    return files.join(stored_table(spark, path, LEAVES).dropDuplicates(LEAF_KEYS), LEAF_KEYS)
 
 
 def bind_sources(files: DataFrame, root: str, run: str) -> None:
     """Record what the days of a run were made from, for ``source_changes``."""
-    _append(files.select("day", "rel", "sha256"), f"{index_path(files.sparkSession, root)}/sources/v={run}")
+    append_rows(files.select("day", "rel", "sha256"), f"{index_path(files.sparkSession, root)}/sources/v={run}")
 
 
 def source_changes(files: DataFrame, root: str, runs: dict[dt.date, str]) -> DataFrame:
@@ -139,7 +141,7 @@ def source_changes(files: DataFrame, root: str, runs: dict[dt.date, str]) -> Dat
     for day, run in runs.items():
         days.setdefault(run, []).append(day)
     none = small_frame(spark, [], BOUND)
-    bound = reduce(DataFrame.unionByName, [_table(spark, f"{index_path(spark, root)}/sources/v={run}", BOUND)
+    bound = reduce(DataFrame.unionByName, [stored_table(spark, f"{index_path(spark, root)}/sources/v={run}", BOUND)
                                            .filter(F.col("day").isin(own)) for run, own in sorted(days.items())], none)
     told = bound.select("day").distinct()
     both = files.join(told, "day", "left_semi").select("day", "rel", "sha256").alias("n") \
