@@ -7,7 +7,9 @@ and blocks whose path and smoothed value reach a share of the page's average are
 paragraph beside long ones, and drops a long notice on a path of its own kind.
 
 Null pages and pages without text give an empty text; unclosed, misnested and cut-off markup is read as browsers do in
-spirit (paragraphs and items close implicitly, a stray end tag is ignored); long pages are read whole in linear time;
+spirit (paragraphs and items close implicitly, a stray end tag is ignored); long and deep pages are read whole: paths and flags
+are numbered nodes that know their parent, and the places of open elements are kept by name, so that neither depth nor stray end
+tags cost more than they are long;
 repeated rows give the same text; an empty table gives no rows; further columns are ignored.
 """
 
@@ -28,7 +30,7 @@ _BLOCKS = frozenset("address article aside blockquote body caption center dd det
                     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody "
                     "td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math canvas object audio video select".split())
+_RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg annotation annotation-xml canvas audio video select".split())
 _NEVER = frozenset("head nav footer aside form fieldset button label dialog menu select option datalist output".split())
 _MAIN = frozenset("article main".split())
 # Words of class, id and role names that tell what a container holds.
@@ -51,13 +53,17 @@ _ROLE_MAIN, _ROLE_PLAIN, _THRESHOLD, _MAIN_SHARE = 8.0, 1.0, 0.35, 0.3
 _KERNEL = (0.25, 0.5, 0.25)
 
 
-@dataclass
+#: No flag, no element: the parent of outermost ones.
+_NONE = -1
+
+
+@dataclass(slots=True)
 class _Open:
     tag: str
-    path: str
+    path: int
     role: float
     block: bool
-    flags: tuple[int, ...] = ()
+    flag: int = _NONE
     outer: tuple[int, int] | None = None
 
 
@@ -71,16 +77,21 @@ class _Path:
 
 @dataclass
 class _Page:
-    """Blocks of a page as they are read."""
+    """Blocks of a page as they are read: path, role, text, innermost flag, and (flag around it, number) of the main element."""
 
-    stack: list[_Open] = field(default_factory=lambda: [_Open("", "", _ROLE_PLAIN, True)])
-    counts: dict[str, int] = field(default_factory=dict)
+    stack: list[_Open] = field(default_factory=lambda: [_Open("", 0, _ROLE_PLAIN, True)])
+    #: Where open elements stand in the stack: by name, those that make blocks, and those of block names.
+    places: dict[str, list[int]] = field(default_factory=dict)
+    blocked: list[int] = field(default_factory=lambda: [0])
+    named: list[int] = field(default_factory=list)
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
-    blocks: list[tuple[str, float, str, tuple[int, ...], tuple[int, int] | None]] = field(default_factory=list)
-    flagged: int = 0
+    blocks: list[tuple[int, float, str, int, tuple[int, int] | None]] = field(default_factory=list)
+    #: The flag around each flag, and the number of each (parent path, label).
+    flags: list[int] = field(default_factory=list)
+    labels: dict[tuple[int, str], int] = field(default_factory=dict)
     mains: int = 0
-    paths: dict[str, _Path] = field(default_factory=dict)
+    paths: dict[int, _Path] = field(default_factory=dict)
 
     def flush(self) -> None:
         text = " ".join("".join(self.pieces).split()) if self.pieces else ""
@@ -91,33 +102,42 @@ class _Page:
             stats.marks += sum(c in _PUNCTUATION for c in text)
             stats.linked += min(self.linked, len(text))
             stats.blocks += 1
-            self.blocks.append((top.path, top.role, text, top.flags, top.outer))
+            self.blocks.append((top.path, top.role, text, top.flag, top.outer))
         self.pieces.clear()
         self.linked = 0
 
+    def last(self, tags: tuple[str, ...]) -> int:
+        """Where the innermost open element of these names stands."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=_NONE)
+
+    def push(self, element: _Open) -> None:
+        at = len(self.stack)
+        self.stack.append(element)
+        self.places.setdefault(element.tag, []).append(at)
+        if element.block:
+            self.blocked.append(at)
+            if element.tag in _BLOCKS:
+                self.named.append(at)
+
     def text(self, raw: str) -> None:
         text = html.unescape(raw) if "&" in raw else raw
         self.pieces.append(text)
-        if self.counts.get("a"):
+        if self.places.get("a"):
             self.linked += len(" ".join(text.split()))
 
-    def close(self, tag: str) -> None:
-        """Close elements up to and with the last open one of this name."""
-        while True:
-            top = self.stack.pop()
-            self.counts[top.tag] -= 1
-            if top.tag == tag:
-                return
+    def close(self, place: int) -> None:
+        """Close elements up to and with the one at this place."""
+        while len(self.stack) > place:
+            self.places[self.stack.pop().tag].pop()
+        for places in (self.blocked, self.named):
+            while places and places[-1] >= place:
+                places.pop()
 
     def close_in(self, tags: tuple[str, ...], limits: tuple[str, ...]) -> None:
         """Close the nearest of ``tags`` unless one of ``limits`` stands between."""
-        if any(self.counts.get(t) for t in tags):
-            for x in reversed(self.stack):
-                if x.tag in tags:
-                    self.close(x.tag)
-                    return
-                if x.tag in limits:
-                    return
+        place = self.last(tags)
+        if place > self.last(limits):
+            self.close(place)
 
     def open(self, tag: str, attributes: str) -> None:
         block = tag in _BLOCKS
@@ -140,32 +160,33 @@ class _Page:
         if attributes and (block or tag == "span"):
             names = {p for m in _NAMES.finditer(attributes) for p in _PART.findall(_CAMEL.sub(" ", m[1] or m[2] or m[3] or "").lower())}
             label = ".".join([tag, *sorted(names)])
-        flags, outer = top.flags, top.outer
+        flag, outer = top.flag, top.outer
         if role and tag in _NEVER or tag == "header" and role != _ROLE_MAIN or attributes and _HIDDEN.search(attributes):
             role = 0.0
         elif role and names & _OUTSIDE and tag not in ("html", "body", *_MAIN):
             # Whether the name speaks of all it holds shows when the page is read.
-            flags, self.flagged = (*flags, self.flagged), self.flagged + 1
+            self.flags.append(flag)
+            flag = len(self.flags) - 1
         elif role and (tag in _MAIN or names & _INSIDE and tag != "body"):
             role = _ROLE_MAIN
         if role and tag in _MAIN and outer is None and not names & _OUTSIDE:
-            outer, self.mains = (len(flags), self.mains), self.mains + 1
-        if not block and (role != top.role or flags != top.flags):
+            outer, self.mains = (flag, self.mains), self.mains + 1
+        if not block and (role != top.role or flag != top.flag):
             self.flush()
             block = True
-        self.stack.append(_Open(tag, f"{top.path}/{label}" if block else top.path, role, block, flags, outer))
-        self.counts[tag] = self.counts.get(tag, 0) + 1
+        path = self.labels.setdefault((top.path, label), len(self.labels) + 1) if block else top.path
+        self.push(_Open(tag, path, role, block, flag, outer))
 
     def end(self, tag: str) -> None:
-        if not self.counts.get(tag):
+        place = self.last((tag,))
+        if place == _NONE:
             return
-        depth = next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i].tag == tag)
         # An inline end tag does not close the blocks around it.
-        if tag not in _BLOCKS and any(x.block and x.tag in _BLOCKS for x in self.stack[depth + 1:]):
+        if tag not in _BLOCKS and self.named and self.named[-1] > place:
             return
-        if any(x.block for x in self.stack[depth:]):
+        if self.blocked[-1] >= place:
             self.flush()
-        self.close(tag)
+        self.close(place)
 
 
 def _read(source: str) -> _Page:
@@ -205,34 +226,44 @@ def _read(source: str) -> _Page:
     return page
 
 
-def _standing(page: _Page) -> list[tuple[str, float, str]]:
+def _standing(page: _Page) -> list[tuple[int, float, str]]:
     """The blocks outside containers whose names flag them, with the flags lifted that cannot be meant for all they hold.
 
     Without marked content outside flags, the outermost flags around most of the text are lifted, one layer at a time, then
     those around a single article or main element. If nothing is left, no name counts.
     """
     blocks = [x for x in page.blocks if x[1]]
-    total, lifted = sum(len(x[2]) for x in blocks), set()
-    while True:
-        standing = [tuple(f for f in x[3] if f not in lifted) for x in blocks]
-        kept = [x[:3] for x, flags in zip(blocks, standing) if not flags]
-        if any(role == _ROLE_MAIN for _, role, _ in kept):
-            return kept
-        held: dict[int, int] = {}
-        for x, flags in zip(blocks, standing):
-            if flags:
-                held[flags[0]] = held.get(flags[0], 0) + len(x[2])
-        bulk = [f for f, n in held.items() if 2 * n > total]
+    total = sum(len(x[2]) for x in blocks)
+    held, inner = [0] * len(page.flags), {}
+    for _, _, text, flag, _ in blocks:
+        if flag != _NONE:
+            held[flag] += len(text)
+    for flag in range(len(page.flags) - 1, -1, -1):      # a flag's number is above that of the flag around it
+        around = page.flags[flag]
+        inner.setdefault(around, []).append(flag)
+        if around != _NONE:
+            held[around] += held[flag]
+    # Only one flag of a layer can hold most of the text, so the lifted ones are nested in each other.
+    marked, lifted, last = {x[3] for x in blocks if x[1] == _ROLE_MAIN}, {_NONE}, _NONE
+    while last not in marked:
+        bulk = [f for f in inner.get(last, ()) if 2 * held[f] > total]
         if not bulk:
             break
-        lifted.update(bulk)
+        last = bulk[0]
+        lifted.add(last)
+    if last in marked:
+        return [x[:3] for x in blocks if x[3] in lifted]
     # Several articles in a flagged container are its items, such as comments.
+    top = {f: _NONE for f in lifted}
+    for flag, around in enumerate(page.flags):
+        if flag not in top:
+            top[flag] = flag if top[around] == _NONE else top[around]
     mains: dict[int, set[int]] = {}
-    for x, flags in zip(blocks, standing):
-        if flags and x[4]:
-            mains.setdefault(flags[0], set()).add(x[4][1])
-    inside = [x[:3] for x, flags in zip(blocks, standing)
-              if not flags or x[4] and len(mains[flags[0]]) == 1 and not set(flags) & set(x[3][x[4][0]:])]
+    for _, _, _, flag, outer in blocks:
+        if top[flag] != _NONE and outer:
+            mains.setdefault(top[flag], set()).add(outer[1])
+    inside = [x[:3] for x in blocks
+              if top[x[3]] == _NONE or x[4] and len(mains[top[x[3]]]) == 1 and x[3] == x[4][0]]
     return inside or [x[:3] for x in blocks] or [(path, _ROLE_PLAIN, text) for path, _, text, _, _ in page.blocks]
 
 

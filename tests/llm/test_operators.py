@@ -6,6 +6,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -250,6 +251,27 @@ def test_page_text_under_flagged_names():
     assert tag_paths.main_text(links).split("\n")[1:] == ["First linked item", "Second linked item"]
 
 
+def test_page_text_of_deep_pages():
+    """Depth and stray end tags cost no more than they are long: each page took minutes or gigabytes with whole paths kept."""
+    begun = time.process_time()
+    for page, text in (("<div>" * 100_000 + "text, here.", "text, here."), ("<div class='sidebar'>" * 20_000 + "text, here.", "text, here."),
+                       ("<b>" + "<div>" * 8_000 + "x" + "</b>" * 8_000, "x"), ("<ul><li>" * 20_000 + "Some, text.", "Some, text.")):
+        assert tag_paths.main_text(page) == text
+    layers = tag_paths.main_text("<div class='widget'>" + "<div class='widget'>some text, here." * 20_000)
+    assert layers.count("\n") == 19_999
+    assert time.process_time() - begun < 30
+
+
+def test_page_text_keeps_formulas_and_fallbacks():
+    page = "<article><p>As <math><mi>x</mi><annotation encoding='tex'>x_tex</annotation></math> says, it holds.</p><object data='a'>Told, plainly.</object></article>"
+    assert tag_paths.main_text(page) == "As x says, it holds.\nTold, plainly."
+
+
+def test_pages_of_an_empty_table(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string, text string")
+    assert tag_paths.extracted(none).collect() == []
+
+
 def test_pages(spark):
     rows = tag_paths.extracted(spark.read.parquet(f"{SF}/pages.parquet")).collect()
     assert rows and all(r.text and "var t" not in r.text for r in rows)
