@@ -257,8 +257,9 @@ def test_page_text_of_deep_pages():
     for page, text in (("<div>" * 100_000 + "text, here.", "text, here."), ("<div class='sidebar'>" * 20_000 + "text, here.", "text, here."),
                        ("<b>" + "<div>" * 8_000 + "x" + "</b>" * 8_000, "x"), ("<ul><li>" * 20_000 + "Some, text.", "Some, text.")):
         assert tag_paths.main_text(page) == text
-    layers = tag_paths.main_text("<div class='widget'>" + "<div class='widget'>some text, here." * 20_000)
-    assert layers.count("\n") == 19_999
+    # the outer half of the layers holds most of the text, so that their flags are lifted, and its blocks are what stands outside the rest
+    layers = tag_paths.main_text("<div class='widget'>some text, here." * 20_000)
+    assert layers.split("\n") == ["some text, here."] * 10_000
     assert time.process_time() - begun < 30
 
 
