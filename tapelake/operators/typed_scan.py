@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import heapq
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from tapelake.functions import in_windows, is_short_time, to_int64, with_time_ms
 from tapelake.schema import SYMBOL_COL, TIME_COL, Field, ReadRequest
 from tapelake.session import small_frame
 
-_IN_LIST = 1000
+#: Ranges a symbol filter is pushed into the scan as.
+_RANGES = 16
 
 
 class UnregisteredShape(RuntimeError):
@@ -26,17 +28,32 @@ def needed_columns(request: ReadRequest) -> list[str]:
     return list(dict.fromkeys(columns))
 
 
+def symbol_ranges(symbols: frozenset[str]) -> list[tuple[str, str]]:
+    """At most ``_RANGES`` closed ranges that hold the symbols, cut where neighbours are farthest apart."""
+    names = sorted(symbols)
+
+    def apart(i: int) -> int:
+        low, high = (int.from_bytes(s.encode()[:9].ljust(9, b"\0")) for s in names[i - 1:i + 1])
+        return high - low
+
+    cuts = sorted(heapq.nlargest(_RANGES - 1, range(1, len(names)), key=apart))
+    return [(names[first], names[end - 1]) for first, end in zip([0, *cuts], [*cuts, len(names)])] if names else []
+
+
 def keep_symbols(df: DataFrame, symbols: frozenset[str] | None) -> DataFrame:
-    """Exact symbol filter. Short lists are pushed into the parquet scan; long ones become a semi join."""
+    """Exact symbol filter of a list of any length: a few ranges are pushed into the parquet scan, a semi join does the rest.
+
+    Ranges of one symbol each are exact by themselves.
+    """
     if symbols is None:
         return df
-    if len(symbols) <= _IN_LIST:
-        # as text: one call into the JVM instead of one per symbol
-        quoted = [s.replace("\\", "\\\\").replace("'", "\\'") for s in sorted(symbols)]
-        return df.filter(f"{SYMBOL_COL} IN ({', '.join(f"'{s}'" for s in quoted)})")
+    quoted = [tuple("'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'" for s in ends) for ends in symbol_ranges(symbols)]
+    tests = [f"{SYMBOL_COL} = {low}" if low == high else f"{SYMBOL_COL} BETWEEN {low} AND {high}" for low, high in quoted]
+    near = df.filter(" OR ".join(tests) or "false")
+    if all(low == high for low, high in quoted):
+        return near
     wanted = small_frame(df.sparkSession, [(s,) for s in sorted(symbols)], f"{SYMBOL_COL} string")
-    low, high = min(symbols), max(symbols)
-    return df.filter(F.col(SYMBOL_COL).between(low, high)).join(wanted, SYMBOL_COL, "left_semi")
+    return near.join(wanted, SYMBOL_COL, "left_semi")
 
 
 def decoded(f: Field) -> Column:

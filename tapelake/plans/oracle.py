@@ -138,6 +138,8 @@ SQL: dict[str, str] = {
         event_id % 1000 AS bid_ref FROM raw WHERE stream = 'trades' AND {_SESSION}""",
     "store_read_symbols": f"""WITH {_RAW} SELECT day, symbol, ms AS time_ms, event_id AS oid, vol FROM raw
         WHERE stream = 'orders' AND symbol IN (SELECT {_symbol('s_suppkey')} FROM supplier)""",
+    "store_read_long_list": f"""WITH {_RAW} SELECT day, symbol, event_id AS oid, vol FROM raw
+        WHERE stream = 'orders' AND CAST(left(symbol, 6) AS INTEGER) % 40 < 2""",
     "store_quotes": f"WITH {_RAW} SELECT day, symbol, ms AS time_ms, price AS last_price, {_LADDER} FROM raw WHERE stream = 'xinqing'",
     "store_gaps": f"""WITH {_RAW},
         days AS (SELECT day FROM raw GROUP BY day HAVING count(DISTINCT stream) = 3),
