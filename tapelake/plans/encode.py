@@ -237,8 +237,9 @@ def source_lines(spark: SparkSession, sf_dir: str, faults: bool = True) -> DataF
     keys = ["day", "stream", "symbol"]
     body = e.select(*keys, F.lit(1).cast("bigint").alias("block"), "seq", text.alias("line"))
     blank = body.filter(F.col("seq") % 10 == 0).withColumn("line", F.lit(""))
-    head = e.select(*keys, "user_id").distinct().select(*keys, F.lit(0).cast("bigint").alias("block"),
-                                                        F.lit(0).cast("bigint").alias("seq"), _header_text().alias("line"))
+    # users ten thousand apart share a symbol, and so a file and its header
+    head = e.groupBy(*keys).agg(F.min(_header_text()).alias("line")).select(
+        *keys, F.lit(0).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("seq"), "line")
     return head.unionByName(body).unionByName(blank)
 
 
