@@ -111,7 +111,10 @@ def file_facts(placed: DataFrame, facts: DataFrame, prefixes: tuple[str, ...] =
 
 
 def file_problems(facts: DataFrame) -> DataFrame:
-    """Empty, headerless, non-ASCII, quoted and ragged files, headers that drift, streams that are empty throughout."""
+    """Empty, headerless, non-ASCII, quoted and ragged files, headers that drift, streams that are empty throughout.
+
+    Files of one day, stream and symbol have their lines in common, so what is wrong with a line is told once for all of them.
+    """
     c = F.col
     filled = c("length") > 0
     headed = filled & ~c("header").cast("string").rlike(BLANK)
@@ -121,6 +124,8 @@ def file_problems(facts: DataFrame) -> DataFrame:
     out = _problems(facts, detail, {
         "empty file in a stream not registered for it": ~filled & ~c("stream").isin(*EMPTY_FILE_STREAMS),
         "no header": filled & ~headed,
+    })
+    of_lines = _problems(facts, detail, {
         "body is not ASCII": headed & (c("n_not_ascii") > header_lines),
         "body holds a quote": headed & (c("n_quoted") > quoted_header),
         "line break inside a line": headed & (c("n_return") > 0),
@@ -128,6 +133,7 @@ def file_problems(facts: DataFrame) -> DataFrame:
         "field count differs from the header": headed & (c("n_rows") > 0)
         & ((c("least_fields") < c("header_fields")) | (c("most_fields") > c("header_fields"))),
     })
+    out = out.unionByName(of_lines.distinct())
     by_stream = facts.groupBy("day", "stream").agg(
         F.count_if(filled).alias("n_filled"), F.min(F.when(headed, F.hex("header"))).alias("low"),
         F.max(F.when(headed, F.hex("header"))).alias("high"))

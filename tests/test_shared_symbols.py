@@ -13,7 +13,7 @@ from tapelake.plans.queries import QUERIES
 EVENTS = "/root/testdata/sf0.001/events.parquet"
 
 
-@pytest.mark.parametrize("name", ["ingest_receipts", "ingest_row_counts"])
+@pytest.mark.parametrize("name", ["ingest_file_problems", "ingest_receipts", "ingest_row_counts"])
 def test_users_of_one_symbol(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute(f"""COPY (SELECT e.* REPLACE (event_id + 1000 * i AS event_id, user_id + 10000 * i AS user_id)
