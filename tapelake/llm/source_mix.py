@@ -5,8 +5,8 @@ words becomes a number of slots, one block each. The slots of all sources are sp
 are drawn multinomially over the shards, so a shard's source counts are multinomial given the totals of the mix, and the mix
 as a whole meets every target. Slots number the source's blocks through a keyed permutation of the block numbers, a new one
 for every pass; as a target is at most twice its source, no block is taken a third time. Slots and documents meet in a join by
-source and block. That is the mix in words; the mix in whole documents has the same targets but no blocks: it rounds every
-document's share to whole copies so that the roundings of a source cancel out.
+source and block. That is the mix in words; the mix in whole documents takes the same slots: the words that its blocks take of a
+document are its share, and shares are rounded to whole copies so that the roundings of a source cancel out.
 
 Draws, order and permutations depend on the rows and the seed alone, so reruns agree. Null texts have no words and are never
 taken; null sources are a source of their own, the last; ids may be null or repeat, identical rows being interchangeable; an
@@ -33,6 +33,8 @@ BLOCK, SHARD_SLOTS = 64, 1 << 16
 WEIGHTS, SHARE, PASSES = (3, 1, 2), 1.5, 2
 #: Whole documents of at least one part in LARGE of their source are dealt one by one.
 LARGE = 1024
+#: Parts of a whole copy in which shares of documents are summed.
+_ONE = 1 << 30
 
 
 def n_words(text: Column) -> Column:
@@ -134,35 +136,46 @@ def _takes(sources: DataFrame) -> DataFrame:
     return slots(sources).groupBy("_s", "_block").agg(F.count(F.lit(1)).cast("int").alias("_takes")).hint("merge")
 
 
-def mixed_words(docs: DataFrame) -> DataFrame:
-    """The rows with _size, source columns and _taken, the words of them in the mix, repeats counted."""
-    rows, sources = placed(docs.select("doc_id", "source", "text"))
-    rows = stored(rows, "mix-placed")
-    takes = _takes(sources)
-    taken = pieces(rows).join(takes, ["_s", "_block"]).groupBy("_s", "_from").agg(F.sum(F.col("_words") * F.col("_takes")).alias("_taken"))
+def taken_words(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Placed rows with _taken, the words of them in the blocks that the slots take, repeats counted."""
+    taken = pieces(rows).join(_takes(sources), ["_s", "_block"]).groupBy("_s", "_from").agg(F.sum(F.col("_words") * F.col("_takes")).alias("_taken"))
     taken = taken.select(F.col("_s").alias("_ts"), F.col("_from").alias("_tf"), "_taken").hint("merge")
     # An empty document shares its place with the next one and gets nothing.
     at = (F.col("_s") == F.col("_ts")) & (F.col("_from") == F.col("_tf")) & (F.col("_size") > 0)
-    out = rows.join(taken, at, "left").drop("_ts", "_tf").withColumn("_taken", F.coalesce("_taken", F.lit(0)))
+    return rows.join(taken, at, "left").drop("_ts", "_tf").withColumn("_taken", F.coalesce("_taken", F.lit(0)))
+
+
+def mixed_words(docs: DataFrame) -> DataFrame:
+    """The rows with _size, source columns and _taken, the words of them in the mix, repeats counted."""
+    rows, sources = placed(docs.select("doc_id", "source", "text"))
+    out = taken_words(stored(rows, "mix-placed"), sources)
     return out.join(sources.select("_s", "_source_size", "_target"), "_s")
 
 
-def _dealt(size: list[int], n: list[int], target: float, total: float, seed: list[int], passes: int = PASSES) -> list[int]:
+def _fitted(share: float, target: float, taken: float, total: float, passes: int = PASSES) -> float:
+    """A share of 0 to ``passes`` copies, moved so that documents of ``total`` words, ``taken`` by their shares, come to ``target``."""
+    if target <= taken:
+        return share * target / max(taken, 1.0)
+    return passes - (passes - share) * (passes * total - target) / (passes * total - taken)
+
+
+def _dealt(size: list[int], n: list[int], share: list[float], target: float, taken: float, total: float, seed: list[int],
+           passes: int = PASSES) -> list[int]:
     """Copies of a source's large documents, given largest first: as many of each as leave a target that the rest can meet.
 
-    Where both numbers next to the share do, one is drawn; where none does, the miss is at most half the document, and the
+    Where both numbers next to its fitted share do, one is drawn; where none does, the miss is at most half the document, and the
     smaller one is chosen.
     """
     rng, out = np.random.default_rng(seed), []
-    for words, rows in zip(size, n):
+    for words, rows, own in zip(size, n, share):
         copies = 0
         for _ in range(rows):
-            after, ratio = total - words, target / total
+            after, ratio = total - words, _fitted(own, target, taken, total, passes)
             low = min(math.floor(ratio), passes)
             misses = {c: max(c * words - target, target - c * words - passes * after, 0.0) for c in (low, low + 1) if c <= passes}
             best = [c for c, miss in misses.items() if miss == min(misses.values())]
             took = best[-1] if len(best) == 1 or rng.random() < ratio - low else best[0]
-            copies, total = copies + took, after
+            copies, total, taken = copies + took, after, max(taken - own * words, 0.0)
             target = min(max(target - took * words, 0.0), passes * total)
         out.append(copies)
     return out
@@ -171,50 +184,61 @@ def _dealt(size: list[int], n: list[int], target: float, total: float, seed: lis
 def copied(keyed: DataFrame, seed: int = 4, large: int = LARGE, passes: int = PASSES) -> DataFrame:
     """(_row, _rows, _copies) of all rows with words: how many rows have the same hash and how many are in the mix.
 
+    A document's share is the number of its words in the blocks that the slots take, over its size; here shares become whole copies.
     Documents with at least one part in ``large`` of their source's words, at most that many a source, are dealt one by one.
-    The others share what is left of the target by systematic sampling in the order of their sizes: sums of copies differ from
-    their share by less than one at every place, so sums of words do by less than the first and largest of them.
+    The others, fitted to what is left of the target, are rounded by systematic sampling in the order of their sizes: sums of copies
+    differ from sums of shares by less than one at every place, so sums of words do by less than the first and largest of them.
     """
-    size = F.when(F.col("text").isNull(), 0).otherwise(n_words(F.col("text"))).cast("long")
-    sized = keyed.select("_row", F.col("source").alias("_source"), size.alias("_size")).groupBy("_row", "_source", "_size").agg(
-        F.count(F.lit(1)).alias("_rows"))
-    sized = stored(sized, "mix-rows")
+    rows, sources = placed(keyed.select("_row", "source", "text"), key=("_row",))
+    drawn = taken_words(stored(rows, "mix-placed"), sources).filter(F.col("_size") > 0).groupBy("_s", "_row", "_size").agg(
+        F.count(F.lit(1)).alias("_rows"), F.sum("_taken").alias("_taken"))
+    drawn = stored(drawn.join(sources.select("_s", "_source_size", "_target"), "_s"), "mix-drawn")
     words = F.col("_size") * F.col("_rows")
-    sources = stored(targets(sized.groupBy("_source").agg(F.sum(words).alias("_source_size"))), "mix-sources")
-    of = sources.select(F.col("_source").alias("_name"), "_s", "_source_size", "_target")
-    rows = sized.filter(F.col("_size") > 0).join(of, F.col("_source").eqNullSafe(F.col("_name"))).drop("_source", "_name")
     is_large = F.col("_size") * large >= F.col("_source_size")
+    of_all = drawn.groupBy("_s", "_target").agg(F.sum(words).alias("_total"), F.sum("_taken").alias("_all_taken"))
 
     def deal(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["_size", "_row"], ascending=[False, True])
-        s, target, total = frame[["_s", "_target", "_source_size"]].iloc[0]
-        copies = _dealt(frame["_size"].tolist(), frame["_rows"].tolist(), float(target), float(total), [seed, int(s)], passes)
-        return frame[["_s", "_row", "_size", "_rows"]].assign(_copies=copies)
-
-    first = stored(rows.filter(is_large).groupBy("_s").applyInPandas(deal, "_s int, _row bigint, _size bigint, _rows bigint, _copies bigint"), "mix-large")
-    spent = first.groupBy("_s").agg(F.sum(words).alias("_large"), F.sum(F.col("_size") * F.col("_copies")).alias("_spent"))
-    left = sources.join(spent, "_s", "left").na.fill(0, ["_large", "_spent"])
-    ratio = F.try_divide(F.col("_target") - F.col("_spent"), F.col("_source_size") - F.col("_large"))
-    draw = F.pmod(F.xxhash64(F.lit(seed), "_s"), F.lit(1 << 20)) / (1 << 20)
-    left = left.select("_s", F.least(F.greatest(ratio, F.lit(0.0)), F.lit(float(passes))).alias("_ratio"), draw.alias("_draw"))
-    # Ranks: places in range partitions sorted by size, after the rows of the partitions before.
+        s, target, total, taken = frame[["_s", "_target", "_total", "_all_taken"]].iloc[0]
+        share = frame["_taken"] / (frame["_size"] * frame["_rows"])
+        copies = _dealt(frame["_size"].tolist(), frame["_rows"].tolist(), share.tolist(), float(target), float(taken), float(total),
+                        [seed, int(s)], passes)
+        return frame[["_s", "_row", "_size", "_rows", "_taken"]].assign(_copies=copies)
+
+    first = drawn.filter(is_large).join(of_all.drop("_target"), "_s").groupBy("_s").applyInPandas(
+        deal, "_s int, _row bigint, _size bigint, _rows bigint, _taken bigint, _copies bigint")
+    first = stored(first, "mix-large")
+    spent = first.groupBy("_s").agg(F.sum(words).alias("_large"), F.sum(F.col("_size") * F.col("_copies")).alias("_spent"),
+                                    F.sum("_taken").alias("_large_taken"))
+    left = of_all.join(spent, "_s", "left").na.fill(0, ["_large", "_spent", "_large_taken"])
+    total, taken = F.col("_total") - F.col("_large"), F.col("_all_taken") - F.col("_large_taken")
+    target = F.least(F.greatest(F.col("_target") - F.col("_spent"), F.lit(0.0)), total * passes)
+    draw = F.pmod(F.xxhash64(F.lit(seed), "_s"), F.lit(_ONE))
+    left = left.select("_s", target.alias("_left"), taken.alias("_left_taken"), total.alias("_left_total"), draw.alias("_draw"))
+    # Ranks: places in range partitions sorted by size, after the rows of the partitions before. Shares are whole numbers of small
+    # parts, whose sums do not depend on where partitions begin.
+    own = F.col("_taken") / words
+    more = passes - (passes - own) * F.try_divide(passes * F.col("_left_total") - F.col("_left"), passes * F.col("_left_total") - F.col("_left_taken"))
+    fitted = F.when(F.col("_left") <= F.col("_left_taken"), own * F.col("_left") / F.greatest("_left_taken", F.lit(1))).otherwise(more)
+    share = F.least(F.greatest(F.round(fitted * _ONE).cast("long"), F.lit(0)), F.lit(passes * _ONE)) * F.col("_rows")
     order = [F.col("_s"), F.col("_size").desc(), F.xxhash64(F.lit(seed), "_row"), F.col("_row")]
-    small = rows.filter(~is_large).select("_s", "_row", "_size", "_rows")
+    small = drawn.filter(~is_large).join(left, "_s").select("_s", "_row", "_size", "_rows", share.alias("_share"), "_draw")
     small = small.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
     small = stored(small.withColumn("_at", F.monotonically_increasing_id()), "mix-order")
     before = Window.partitionBy("_s").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = small.groupBy("_s", "_part").agg(F.sum("_rows").alias("_n")).select(
+    starts = small.groupBy("_s", "_part").agg(F.sum("_share").alias("_n")).select(
         "_s", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inner = Window.partitionBy("_s", "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = small.withColumn("_in", F.coalesce(F.sum("_rows").over(inner), F.lit(0))).join(starts, ["_s", "_part"]).join(left, "_s")
-    up_to = lambda rank: F.floor(F.col("_ratio") * rank + F.col("_draw"))
-    rank = F.col("_start") + F.col("_in")
-    ranked = ranked.withColumn("_copies", up_to(rank + F.col("_rows")) - up_to(rank))
+    ranked = small.withColumn("_in", F.coalesce(F.sum("_share").over(inner), F.lit(0))).join(starts, ["_s", "_part"])
+    up_to = lambda shares: F.call_function("div", shares + F.col("_draw"), F.lit(_ONE))
+    at = F.col("_start") + F.col("_in")
+    ranked = ranked.withColumn("_copies", up_to(at + F.col("_share")) - up_to(at))
     return first.select("_row", "_rows", "_copies").unionByName(ranked.select("_row", "_rows", "_copies"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix in whole documents: each row is repeated 0 to PASSES times, so that every source's words meet its target.
+    """The mix in whole documents: each row is repeated 0 to PASSES times, as the blocks that the slots take share it out, and
+    every source's words meet its target.
 
     Texts stay out of the work on the mix and move once, to meet their number of copies by a hash of the whole row; identical
     rows share the copies of all of them.
