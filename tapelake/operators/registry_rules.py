@@ -75,8 +75,8 @@ def rule_problems(rows: DataFrame, codes: Iterable[str] = DEFECT_CODES,
 def chain_problems(rows: DataFrame) -> DataFrame:
     """(id, problem) for supersede chains that break, circle, or do not end in a live entry.
 
-    Every entry's pointer is doubled per round, so chains of length n take log2(n) joins; entries that arrived leave
-    the rounds. Rounds are cut by checkpoints. Of entries with the same id the least by status and pointer counts; that
+    Pointers are doubled per round, so chains of length n take log2(n) joins, whatever the number of entries; entries that arrived
+    leave the rounds, and so do pointers of entries that no open one points at any more. Rounds are cut by checkpoints. Of entries with the same id the least by status and pointer counts; that
     ids are repeated is a rule of its own.
     """
     spark = rows.sparkSession
@@ -98,22 +98,25 @@ def chain_problems(rows: DataFrame) -> DataFrame:
     arrived = chained.filter("end is not null").select("id", "end")
     hops = steps.select(F.col("id").alias("at"), F.col("superseded_by").alias("next"), "end").checkpoint()
     open_rows = chained.filter("end is null").select("id", F.col("superseded_by").alias("at")).checkpoint()
-    left = open_rows.count()
-    total = left
-    reach = 1
+    places = open_rows.select("at").distinct().checkpoint()
+    left = places.count()
     while left:
         moved = open_rows.join(hops, "at", "left").select("id", F.col("next").alias("at"), "end").checkpoint()
         arrived = arrived.unionByName(moved.filter("end is not null").select("id", "end"))
         open_rows = moved.filter("end is null").select("id", "at")
-        if reach > total:         # as many hops as there are entries: only a circle is left
+        # Every entry is a row, so rows stand at places where rows stood before: as many places as before means the same ones, from
+        # which hops lead to each other and nowhere else.
+        before, places = left, open_rows.select("at").distinct().checkpoint()
+        left = places.count()
+        if left == before:
             arrived = arrived.unionByName(open_rows.select("id", F.lit("supersede chain circles").alias("end")))
             break
+        # for the same reason hops from other places are not needed again
+        hops = hops.join(places, "at", "left_semi").checkpoint()
         # hops that arrived stay as they are: their pointers, null or far from unique, take no part in the join
         doubled = hops.filter("end is null").alias("a").join(hops.alias("b"), F.col("a.next") == F.col("b.at"), "left") \
             .select(F.col("a.at"), F.col("b.next"), F.col("b.end"))
         hops = hops.filter("end is not null").unionByName(doubled).checkpoint()
-        reach *= 2
-        left = open_rows.count()
     return arrived.filter("end <> 'ok'").select("id", F.col("end").alias("problem"))
 
 
