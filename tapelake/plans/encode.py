@@ -66,7 +66,10 @@ def price_text() -> Column:
 
 def raw_rows(spark: SparkSession, sf_dir: str, time: Column | None = None) -> DataFrame:
     """Every event as one raw row of its stream: day, stream, pos, ``_symbol`` and text columns."""
-    e = table(spark, sf_dir, "events")
+    return _as_raw(table(spark, sf_dir, "events"), time)
+
+
+def _as_raw(e: DataFrame, time: Column | None = None, *kept: str) -> DataFrame:
     cells = {1: symbol_of("user_id"), 2: F.lpad((F.col("user_id") % 1_000_000).cast("string"), 6, "0"),
              3: F.date_format(F.to_date("ts"), "yyyyMMdd"), 4: time_text() if time is None else time, 5: price_text(),
              6: F.col("event_id").cast("string"), 7: F.upper(F.substring("event_type", 1, 1)),
@@ -74,10 +77,12 @@ def raw_rows(spark: SparkSession, sf_dir: str, time: Column | None = None) -> Da
              9: price_text(), 10: F.regexp_extract("props", "([0-9]+)", 1), 11: F.col("user_id").cast("string"),
              12: (F.col("event_id") % 1000).cast("string"), 13: F.lit("")}
     return e.select(F.to_date("ts").alias("day"), stream_of_event().alias("stream"), F.col("event_id").alias("pos"),
-                    symbol_of("user_id").alias(SYMBOL_COL), *[c.alias(f"column_{i}") for i, c in cells.items()])
+                    symbol_of("user_id").alias(SYMBOL_COL), *[c.alias(f"column_{i}") for i, c in cells.items()], *kept)
 
 
 _STORES: dict[tuple, str] = {}
+#: Cells of a stream that one task sorts and writes.
+_CELLS_PER_TASK = 4_000_000
 
 
 def altered_rows(rows: DataFrame) -> DataFrame:
@@ -90,22 +95,27 @@ def altered_rows(rows: DataFrame) -> DataFrame:
 
 
 def event_store(spark: SparkSession, sf_dir: str, parts: int | None = None, altered: bool = False) -> str:
-    """A raw store of all events in the shared folder, written once per application, in about ``parts`` part files a stream."""
+    """A raw store of all events in the shared folder, written once per application, in about ``parts`` part files a stream.
+
+    Events are sorted as they are and become text behind the sort, so what a task reads does not grow with a stream's width.
+    """
     key = (spark.sparkContext.applicationId, sf_dir, parts, altered)
     if key not in _STORES:
         root = shared_dir(spark, "events")
-        rows = raw_rows(spark, sf_dir)
-        rows = (altered_rows(rows) if altered else rows).withColumn("date", F.date_format("day", "yyyyMMdd").cast("int"))
-        order = ["date", SYMBOL_COL, "pos"]
+        events = table(spark, sf_dir, "events").withColumns({
+            "date": F.date_format("ts", "yyyyMMdd").cast("int"), SYMBOL_COL: symbol_of("user_id"), "stream": stream_of_event()})
+        order = ["date", SYMBOL_COL, "event_id"]
         base = F.col("column_11").cast("bigint")
         ladder = {f"column_{i}": (base * 10 + i).cast("string") for i in range(14, WIDTH["xinqing"] + 1)}
-        parts = parts or 1 + rows.count() // 5_000_000
+        sizes = {r["stream"]: r["count"] for r in events.groupBy("stream").count().collect()}
         for stream in STREAMS:
             names = [f"column_{i}" for i in range(1, WIDTH[stream] + 1)]
-            chosen = rows.filter(F.col("stream") == stream)
-            chosen = chosen.withColumns(ladder) if stream == "xinqing" else chosen
-            spread = chosen.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-            write_rows(spread.select(*names, SYMBOL_COL, "date"), f"{root}/{stream}")
+            n = parts or 1 + sizes.get(stream, 0) * WIDTH[stream] // _CELLS_PER_TASK
+            spread = events.filter(F.col("stream") == stream).repartitionByRange(n, *order).sortWithinPartitions(*order)
+            rows = _as_raw(spread, None, "date")
+            rows = altered_rows(rows) if altered else rows
+            rows = rows.withColumns(ladder) if stream == "xinqing" else rows
+            write_rows(rows.select(*names, SYMBOL_COL, "date"), f"{root}/{stream}")
         index_store(spark, root)
         _STORES[key] = root
     return _STORES[key]

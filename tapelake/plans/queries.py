@@ -428,7 +428,7 @@ def ingest_row_counts(spark, sf_dir):
     lines = source_lines(spark, sf_dir, faults=False)
     root = shared_dir(spark, "rows")
     data = lines.filter("block = 1 and octet_length(line) > 0")
-    parts = 1 + data.count() // 5_000_000
+    parts = 1 + data.count() // 500_000
     for s in STREAMS:
         write_rows(sorted_rows(data.filter(F.col("stream") == s), 6, parts), f"{root}/{s}")
     files = store_files(spark, root).select("day", "stream", "path")
