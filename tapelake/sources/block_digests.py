@@ -63,6 +63,8 @@ def positions(spark: SparkSession, root: str, stream: str, days: list[dt.date],
     before = Window.partitionBy("day").orderBy(*file_order("path")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_file.select("day", F.substring_index("path", "/", -1).alias("__name"), "n",
                               F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset"))
+    # one row a file, like the listing: of known size, so that rows need no shuffle to meet it
+    offsets = small_frame(spark, [tuple(r) for r in offsets.collect()], "day date, __name string, n bigint, __offset bigint")
     rows = scan(spark, root, stream, days, columns, place=True).withColumn("__name", F.substring_index("__file", "/", -1))
     if blocks is not None:
         held = offsets.filter("n > 0").withColumn("__last", F.col("__offset") + F.col("n") - 1) \
