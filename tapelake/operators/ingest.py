@@ -30,7 +30,8 @@ from tapelake.sources.raw_store import index_store, manifest_files, scan_contain
 from tapelake.sources.snapshots import Snapshot, commit, snapshot
 from tapelake.sources.store_index import bind_sources, source_changes, with_leaves
 
-_BYTES_PER_TASK = 512 << 20
+#: What one task sorts and writes: as many bytes, or as many rows.
+_BYTES_PER_TASK, _ROWS_PER_TASK = 128 << 20, 4 * ROW_GROUP_ROWS
 RECEIPT = """
 quality string, day date, source string, source_sha256 string, prefixes array<string>,
 streams array<struct<stream:string, n_symbols:bigint, n_rows_csv:bigint, n_rows_parquet:bigint, n_short_times:bigint,
@@ -190,8 +191,8 @@ def _write_streams(lines: DataFrame, facts: DataFrame, root: str, run: str, days
         filled = [r["day"] for r in group if r["n"]]
         if filled:
             chosen = body.filter((F.col("stream") == stream) & F.col("day").isin(filled))
-            size = sum(r["bytes"] for r in group)
-            write_rows(sorted_rows(chosen, width, 1 + size // _BYTES_PER_TASK), target)
+            parts = 1 + max(sum(r["bytes"] for r in group) // _BYTES_PER_TASK, sum(r["n"] for r in group) // _ROWS_PER_TASK)
+            write_rows(sorted_rows(chosen, width, parts), target)
         for r in group:           # a day of headers only still gets its file
             if not r["n"]:
                 names = [f"column_{i + 1}" for i in range(width)] + [SYMBOL_COL]
