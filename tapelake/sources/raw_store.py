@@ -25,7 +25,7 @@ from tapelake.session import prepare, qualified, small_frame
 from tapelake.sources.files import list_files
 from tapelake.sources.registry import HANDLED_PATCHES, Registry
 from tapelake.sources.snapshots import Snapshot, snapshot, visible
-from tapelake.sources.store_index import KEYS, index_path, presence, record_presence, unfolded, unrecorded, with_footers
+from tapelake.sources.store_index import KEYS, index_path, presence, record_presence, symbol_bitmaps, unfolded, unrecorded, with_footers
 
 _FILE, _ROW = "__file", "__row"
 
@@ -195,9 +195,9 @@ def index_store(spark: SparkSession, root: str, streams: tuple[str, ...] = STREA
         own = unrecorded(files.filter(F.col("stream") == stream), root, index)
         containers = [r["container"] for r in own.select("container").distinct().collect()]
         if containers:
-            rows = scan_containers(spark, containers, [SYMBOL_COL], place=True)
+            maps = symbol_bitmaps(scan_containers(spark, containers, [SYMBOL_COL], place=True), _FILE)
             rel = F.regexp_extract(_FILE, f".*/({stream}/(?:v=[^/]+/)?date=.*)$", 1).alias("rel")
-            record_presence(own, rows.select(rel, SYMBOL_COL), root, index)
+            record_presence(own, maps.select(rel, "bucket", "bits"), root, index)
 
 
 class RawStore:

@@ -55,7 +55,7 @@ def symbol_number(symbol: Column) -> Column:
     digits, market = F.substring(symbol, 1, 6), F.substring(symbol, 8, 2)
     place = F.array_position(F.array(*map(F.lit, SYMBOL_MARKETS)), market) - 1
     shaped = symbol.rlike(rf"^[0-9]{{6}}\.({'|'.join(SYMBOL_MARKETS)})$")
-    return F.when(shaped, F.try_to_number(digits, F.lit("999999")).cast("int") * len(SYMBOL_MARKETS) + place.cast("int"))
+    return F.when(shaped, digits.try_cast("int") * len(SYMBOL_MARKETS) + place.cast("int"))
 
 
 def bucket_of(number: Column) -> Column:
@@ -92,15 +92,22 @@ def presence(files: DataFrame, root: str, index: str | None = None) -> DataFrame
     return files.join(known.dropDuplicates([*KEYS, "bucket"]), KEYS)
 
 
-def record_presence(files: DataFrame, symbols: DataFrame, root: str, index: str | None = None) -> None:
-    """Record the symbols of ``files`` that are not recorded yet, from ``symbols`` (rel, symbol) rows of at least those files."""
+def symbol_bitmaps(symbols: DataFrame, file: str) -> DataFrame:
+    """(file, bucket, bits) of rows (file, symbol): one bitmap a file and bucket.
+
+    A row's number is made once, behind an explode, and its file is left as the scan names it.
+    """
+    numbers = symbols.select(file, F.explode(F.array(symbol_number(F.col(SYMBOL_COL)))).alias("n")).filter("n is not null")
+    return numbers.groupBy(file, bucket_of(F.col("n")).alias("bucket")).agg(
+        F.bitmap_construct_agg((F.col("n") % BUCKET).cast("bigint")).alias("bits"))
+
+
+def record_presence(files: DataFrame, bitmaps: DataFrame, root: str, index: str | None = None) -> None:
+    """Record the symbols of ``files`` that are not recorded yet, from ``bitmaps`` (rel, bucket, bits) of at least those files."""
     spark = files.sparkSession
     path = f"{index or index_path(spark, root)}/presence"
     unknown = files.select(*KEYS).join(stored_table(spark, path, PRESENCE).select(*KEYS), KEYS, "left_anti")
-    numbers = symbols.select("rel", symbol_number(F.col(SYMBOL_COL)).alias("n")).filter("n is not null")
-    maps = numbers.groupBy("rel", bucket_of(F.col("n")).alias("bucket")).agg(
-        F.bitmap_construct_agg((F.col("n") % BUCKET).cast("bigint")).alias("bits"))
-    append_rows(unknown.join(maps, "rel", "left"), path)
+    append_rows(unknown.join(bitmaps, "rel", "left"), path)
 
 
 def unrecorded(files: DataFrame, root: str, index: str | None = None) -> DataFrame:
