@@ -307,6 +307,22 @@ def test_quality_on_labels(spark):
     assert sum(good) / len(good) > 0.99 and sum(bad) / len(bad) < 0.6
 
 
+def test_quality_work(odd):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    # Words are exploded and counted once, and no order is worked out by an interpreted comparison.
+    assert plan(quality_divergence.common_words(odd)).count("explode(") == 1
+    assert "array_sort(" not in plan(quality_divergence.text_counts(odd, ["doc_id"]))
+
+
+def test_quality_windows_with_the_same_high_bits(spark):
+    five = 5 << 31
+    rows = spark.createDataFrame([([five + 1, five + 2, 7 << 31, five + 1, -1],), ([five + 1, five + 2],), ([],)], "w array<long>")
+    rows = rows.select("w", quality_divergence._alike(quality_divergence._keys(F.col("w"))).alias("at"))
+    found = F.sort_array(F.transform("at", lambda i: F.struct(F.get("w", i).alias("h"), (i + 1).alias("i"))))
+    got = rows.select("at", quality_divergence._repeats(found).alias("places")).collect()
+    assert (sorted(got[0].at), got[0].places) == ([0, 1, 3], [1, 4]) and [r.places for r in got[1:]] == [None, None]
+
+
 # --- op7
 
 def test_patterns():
